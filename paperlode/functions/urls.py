@@ -64,11 +64,10 @@ def norm_url(c: Column) -> Column:
     def normal(body: Column) -> Column:
         head = F.regexp_replace(F.substring_index(body, "?", 1), _SCHEME, "")
         query = F.when(F.instr(body, "?") > 0, clean_query(F.substring(body, F.instr(body, "?") + 1, F.length(body))))
-        # The authority is lower-cased with the path; only the path can end in slashes.
-        place = bind(head, lambda h: F.when(h.rlike("^//[^/]*/"), F.rtrim(F.lower(h), F.lit("/"))).otherwise(F.lower(h)))
-        return F.concat(F.when(place != "//", place).otherwise(""), bind(
-            F.coalesce(query, F.lit("")), lambda q: F.when(q != "", F.concat(F.lit("?"), q)).otherwise("")
-        ))
+        # Trailing slashes belong to the path; without a path they are the empty authority mark.
+        place = F.rtrim(F.lower(head), F.lit("/"))
+        marked = bind(F.coalesce(query, F.lit("")), lambda q: F.when(q != "", F.concat(F.lit("?"), q)).otherwise(""))
+        return F.concat(place, marked)
 
     return bind(_before_fragment(strip(F.coalesce(c, F.lit("")))), normal)
 
@@ -210,7 +209,7 @@ def link_forms(text: Column) -> Column:
         F.regexp_extract_all(text, F.lit(rules.URL_COMMAND_PATTERN), 1),
         F.regexp_extract_all(text, F.lit(rules.BARE_LINK_PATTERN), 1),
     )
-    return F.array_sort(F.array_distinct(F.transform(found, clean_link)))
+    return F.array_sort(F.array_distinct(F.transform(found, lambda u: clean_link(u))))
 
 
 def text_links(text: Column) -> Column:

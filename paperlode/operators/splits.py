@@ -48,7 +48,7 @@ def balanced_shards(papers: DataFrame, k: int) -> DataFrame:
         return pd.DataFrame({"size": sorted(pdf["size"], reverse=True), "loads": out})
 
     histogram = papers.groupBy("size").agg(F.count(F.lit(1)).alias("n"))
-    before = histogram.groupBy(F.lit(0)).applyInPandas(fold, "size LONG, loads ARRAY<LONG>")
+    before = histogram.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(fold, "size LONG, loads ARRAY<LONG>")
 
     @F.pandas_udf("int")
     def place(sizes: pd.Series, loads: pd.Series, ranks: pd.Series) -> pd.Series:
