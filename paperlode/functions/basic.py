@@ -36,8 +36,7 @@ def not_blank(c: Column) -> Column:
 
 
 def blank_to_null(c: Column) -> Column:
-    trimmed = strip(c)
-    return F.when(trimmed != "", trimmed)
+    return F.nullif(strip(c), F.lit(""))
 
 
 def any_of(conditions: list[Column]) -> Column:

@@ -1,5 +1,7 @@
 """URL and identifier expressions; all stay in the JVM."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -77,6 +79,11 @@ def host_path(c: Column) -> Column:
     return F.lower(F.regexp_replace(_after_scheme(c), "^//", ""))
 
 
+def with_keys(url: Column, use: Callable[[Column, Column], Column]) -> Column:
+    """``use(normalised url, host and path)`` with both computed once, also where Spark moves the result."""
+    return bind(norm_url(url), lambda n: bind(host_path(n), lambda h: use(n, h)))
+
+
 def url_host(c: Column) -> Column:
     return F.lower(authority(c))
 

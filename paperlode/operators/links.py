@@ -3,13 +3,13 @@
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperlode import rules
 from paperlode.config import LinkConfig
 from paperlode.functions import scoring, text, urls
-from paperlode.functions.basic import any_of, blank_to_null, not_blank, squeeze, strip
+from paperlode.functions.basic import bind, blank_to_null, strip
 from paperlode.operators.ranks import first_rows, row_numbers, top_rows
 
 # --- extraction --------------------------------------------------------------------------------
@@ -246,7 +246,8 @@ def resolve_primary(
     order = {"rule": [by_rule], "llm": [by_model], "hybrid": [by_rule, by_model]}[cfg.mode]
     if cfg.fallback_top1:
         order.append(option("fallback-top1", "top1", "anchor"))
-    return picked.select("paper_id", F.coalesce(*order).alias("p")).filter("p is not null").select("paper_id", "p.*")
+    found = picked.select("paper_id", F.coalesce(*order).alias("p"))
+    return (found if cfg.fallback_top1 else found.filter("p is not null")).select("paper_id", "p.*")
 
 
 def ranked_candidates(cands: DataFrame, pos: str = "pos") -> DataFrame:
@@ -270,9 +271,9 @@ def final_records(
     drops picks without one; the default falls back to the paper description, then to "host — anchor".
     ``papers`` has paper_id, paper_link_pdf, dataset_description; ``picks`` has paper_id, url, desc, why.
     """
-    rows = with_url_keys(picks.withColumn("url", strip(F.col("url")))).filter(
-        urls.is_dataset_url(F.col("norm_url"), F.col("host_path"))
-    ).join(papers, "paper_id")
+    # A filter moves below the columns it reads, so the test carries its own keys.
+    rows = picks.withColumn("url", strip(F.col("url"))).filter(urls.with_keys(F.col("url"), urls.is_dataset_url))
+    rows = rows.withColumn("norm_url", urls.norm_url(F.col("url"))).join(papers, "paper_id")
     said = F.coalesce(F.when(F.col("desc") != "", F.col("desc")), F.col("why"), F.lit(""))
     if strict:
         line = text.clean_summary(strip(said))
@@ -280,21 +281,18 @@ def final_records(
     else:
 
         def summary(c: Column) -> Column:
-            return text.clean_summary_with_hosts(text.links_to_hosts(strip(c)))
+            """Clean line of a text; null if nothing or only the link itself is left."""
+            line = text.clean_summary_with_hosts(text.links_to_hosts(strip(c)))
+            return bind(line, lambda s: F.when((s != "") & (urls.norm_url(s) != F.col("norm_url")), s))
 
         anchor = F.coalesce(blank_to_null(F.col("why")), F.lit("dataset link"))
-        described = (
-            rows.withColumn("__own", summary(said))
-            .withColumn("__paper", summary(F.coalesce("dataset_description", F.lit(""))))
-            .withColumn("__own", F.when(urls.norm_url(F.col("__own")) == F.col("norm_url"), "").otherwise(F.col("__own")))
-            .withColumn(
-                "__line",
-                F.coalesce(
-                    blank_to_null(F.col("__own")),
-                    F.when(urls.norm_url(F.col("__paper")) != F.col("norm_url"), blank_to_null(F.col("__paper"))),
-                    F.concat(urls.url_host(F.col("url")), F.lit(" — "), anchor),
-                ),
-            )
+        described = rows.withColumn(
+            "__line",
+            F.coalesce(
+                summary(said),
+                summary(F.coalesce("dataset_description", F.lit(""))),
+                F.concat(urls.url_host(F.col("url")), F.lit(" — "), anchor),
+            ),
         )
     return described.select(
         F.col("paper_link_pdf").alias("Paper Link"),

@@ -199,7 +199,7 @@ def gate_content(entries: DataFrame, label: str | None = None) -> DataFrame:
     return rows
 
 
-def training_text(samples: DataFrame, label: str = "label") -> DataFrame:
+def training_text(samples: DataFrame, label: str = "label", keep: list[str] | None = None) -> DataFrame:
     """(text, label) of training samples; fails on samples that lack either."""
     have = set(samples.columns)
 
@@ -213,6 +213,7 @@ def training_text(samples: DataFrame, label: str = "label") -> DataFrame:
     text = F.coalesce(both, column("text", "string"))
     target = F.coalesce(column(label, "int"), column("has_dataset", "int")).cast("int")
     return samples.select(
+        *(keep or []),
         F.when(text.isNull(), F.raise_error(F.lit("sample without text"))).otherwise(text).alias("text"),
         F.when(target.isNull(), F.raise_error(F.lit("sample without label"))).otherwise(target).alias("label"),
     )

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperlode.functions.basic import blank_to_null, count_of, squeeze, strip
+from paperlode.functions.basic import bind, count_of, strip
 from paperlode.operators.ranks import broadcast_limit, top_rows
 
 METRICS = ["hit_rate", "mrr", "precision", "recall", "f1", "ndcg", "average_precision"]
@@ -179,12 +179,11 @@ def keyword_search(
     if not tokens:
         return latest_records(records, limit, tie=tie)
     names = fields or ["Paper Link", "Dataset Link", "Dataset Description"]
-    rows = records.withColumn(
-        "__text", F.lower(F.concat_ws(" ", *[F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in names]))
-    )
-    score = reduce(lambda a, b: a + b, [count_of(F.col("__text"), F.lit(t)) for t in tokens])
-    scored = rows.withColumn("score", score).filter("score > 0").drop("__text")
-    return scored.orderBy(F.col("score").desc(), *(tie or [])).limit(limit)
+    text = F.lower(F.concat_ws(" ", *[F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in names]))
+    score = bind(text, lambda t: reduce(lambda a, b: a + b, [count_of(t, F.lit(w)) for w in tokens]))
+    # Matches sort before the rest, so the cut may come first and the score is computed once.
+    best = records.withColumn("score", score).orderBy(F.col("score").desc(), *(tie or [])).limit(limit)
+    return best.filter("score > 0")
 
 
 def result_columns(df: DataFrame, with_score: bool = True) -> DataFrame:

@@ -6,7 +6,7 @@ leaves. These small tables are folded level by level (a parallel scan with bound
 gives every chunk its true entry. So a paper of any length is spread over many tasks.
 """
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,6 +20,9 @@ from paperlode.operators.ranks import position_block
 _FAN = 256
 
 
+Columns = dict[str, np.ndarray]
+
+
 def _leave(steps: np.ndarray, width: int) -> list[int]:
     """Exit position behind the chunk for each of the first ``width`` entry positions."""
     n = len(steps)
@@ -32,22 +35,53 @@ def _leave(steps: np.ndarray, width: int) -> list[int]:
     return padded.tolist()
 
 
+def _per_group(key: str, make: Callable[[Columns], Columns]) -> Callable:
+    """Arrow batches of rows sorted by (key, chunk) to one call of ``make`` per group, many groups per batch."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def made(pdf: pd.DataFrame, cuts: np.ndarray) -> pd.DataFrame:
+            columns = {c: pdf[c].to_numpy() for c in pdf.columns}
+            parts = [make({c: v[i:j] for c, v in columns.items()}) for i, j in zip(cuts[:-1], cuts[1:])]
+            return pd.DataFrame({c: np.concatenate([p[c] for p in parts]) for c in parts[0]})
+
+        held: pd.DataFrame | None = None
+        for pdf in batches:
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            k, c = pdf[key].to_numpy(), pdf["__chunk"].to_numpy()
+            cuts = np.flatnonzero((k[1:] != k[:-1]) | (c[1:] != c[:-1])) + 1
+            if len(cuts):
+                yield made(pdf, np.concatenate([[0], cuts]))
+                pdf = pdf.iloc[cuts[-1]:].reset_index(drop=True)
+            held = pdf
+        if held is not None and len(held):
+            yield made(held, np.array([0, len(held)]))
+
+    return run
+
+
+def _objects(values: list) -> np.ndarray:
+    out = np.empty(len(values), dtype=object)
+    out[:] = values
+    return out
+
+
 def chain(
     rows: DataFrame,
     key: str,
     index: str,
     lookahead: int,
-    steps: Callable[[pd.DataFrame, int], np.ndarray],
-    emit: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame],
+    steps: Callable[[Columns, int], np.ndarray],
+    emit: Callable[[Columns, np.ndarray], Columns],
     schema: str,
     chunk: int,
     max_index: int | None = None,
 ) -> DataFrame:
     """Run a chain over each key and emit rows for its stops.
 
-    ``steps(pdf, own)`` gives the step at each of the first ``own`` positions, using at most
-    ``lookahead`` rows behind them; no step exceeds ``lookahead``. ``emit(pdf, stops)`` builds output
-    for the stops of one chunk. ``index`` runs from 0 without gaps. ``max_index`` saves one pass if known.
+    ``steps(columns, own)`` gives the step at each of the first ``own`` positions, using at most
+    ``lookahead`` rows behind them; no step exceeds ``lookahead``. ``emit(columns, stops)`` builds output
+    columns for the stops of one chunk; the key is added. ``index`` runs from 0 without gaps.
+    ``max_index`` saves one pass if known.
     """
     chunk = max(chunk, lookahead + 1)
     own = position_block(F.col(index), chunk)
@@ -56,38 +90,36 @@ def chain(
     spread = rows.withColumn("__chunk", F.explode(homes))
     if max_index is None:
         max_index = rows.agg(F.max(index)).first()[0] or 0
-    names = [f.strip().split(" ")[0].strip("`") for f in schema.split(",")]
+    key_type = rows.schema[key].dataType.simpleString()
+    out_schema = f"`{key}` {key_type}, {schema}"
 
-    def ordered(pdf: pd.DataFrame) -> tuple[pd.DataFrame, int]:
-        pdf = pdf.sort_values(index, ignore_index=True)
-        first = int(pdf["__chunk"].iloc[0]) * chunk
-        return pdf, int((pdf[index] < first + chunk).sum())
+    def grouped(df: DataFrame) -> DataFrame:
+        return df.repartition(key, "__chunk").sortWithinPartitions(key, "__chunk", index)
 
-    def stops_of(pdf: pd.DataFrame, own_n: int, entry: int) -> np.ndarray:
-        jump, at, found = steps(pdf, own_n), entry, []
-        while at < own_n:
-            found.append(at)
-            at += int(jump[at])
-        return np.asarray(found, dtype=np.int64)
+    def own_rows(columns: Columns) -> int:
+        return int(np.searchsorted(columns[index], (int(columns["__chunk"][0]) + 1) * chunk))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, own_n = ordered(pdf)
-        entry = int(pdf["__entry"].iloc[0])
-        return emit(pdf, stops_of(pdf, own_n, entry))[names]
+    def walk(columns: Columns) -> Columns:
+        own_n = own_rows(columns)
+        jump = steps(columns, own_n).tolist()
+        at, stops = int(columns["__entry"][0]), []
+        while at < own_n:
+            stops.append(at)
+            at += jump[at]
+        out = emit(columns, np.asarray(stops, dtype=np.int64))
+        size = len(next(iter(out.values())))
+        return {key: np.repeat(columns[key][:1], size), **out}
 
     if max_index < chunk:
-        return spread.withColumn("__entry", F.lit(0)).groupBy(key, "__chunk").applyInPandas(run, schema)
+        return grouped(spread.withColumn("__entry", F.lit(0))).mapInPandas(_per_group(key, walk), out_schema)
 
-    key_type = rows.schema[key].dataType.simpleString()
-
-    def exits(pdf: pd.DataFrame) -> pd.DataFrame:
-        k = pdf[key].iloc[0]
-        pdf, own_n = ordered(pdf)
-        table = _leave(steps(pdf, own_n), lookahead + 1) if own_n else list(range(lookahead + 1))
-        return pd.DataFrame({key: [k], "block": [int(pdf["__chunk"].iloc[0])], "exits": [table]})
+    def exits(columns: Columns) -> Columns:
+        own_n = own_rows(columns)
+        table = _leave(steps(columns, own_n), lookahead + 1) if own_n else list(range(lookahead + 1))
+        return {key: columns[key][:1], "block": columns["__chunk"][:1], "exits": _objects([table])}
 
     table_schema = f"`{key}` {key_type}, block LONG, exits ARRAY<LONG>"
-    level = spread.groupBy(key, "__chunk").applyInPandas(exits, table_schema)
+    level = grouped(spread).mapInPandas(_per_group(key, exits), table_schema)
 
     # Up: fold tables of up to _FAN neighbours until each key has one.
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -117,14 +149,14 @@ def chain(
     entry_schema = f"`{key}` {key_type}, block LONG, __entry LONG"
     above = None
     for tables in reversed(levels):
-        grouped = tables.withColumn("__up", F.floor(F.col("block") / _FAN))
+        members = tables.withColumn("__up", F.floor(F.col("block") / _FAN))
         if above is None:
-            grouped = grouped.withColumn("__entry", F.lit(0).cast("long"))
+            members = members.withColumn("__entry", F.lit(0).cast("long"))
         else:
-            grouped = grouped.join(above.withColumnRenamed("block", "__up"), [key, "__up"])
-        above = grouped.groupBy(key, "__up").applyInPandas(spread_entries, entry_schema)
+            members = members.join(above.withColumnRenamed("block", "__up"), [key, "__up"])
+        above = members.groupBy(key, "__up").applyInPandas(spread_entries, entry_schema)
     entries = above.withColumnRenamed("block", "__chunk")
-    return spread.join(entries, [key, "__chunk"]).groupBy(key, "__chunk").applyInPandas(run, schema)
+    return grouped(spread.join(entries, [key, "__chunk"])).mapInPandas(_per_group(key, walk), out_schema)
 
 
 # --- token windows -----------------------------------------------------------------------------
@@ -137,53 +169,45 @@ def token_windows(
 
     ``sentences`` has paper_name, gid, tokens and, for training, label. A window takes sentences
     while their tokens and separators stay below the budget, at least ``min_sentences``. In training
-    a window with a positive shrinks around its first one, and windows below the minimum are dropped.
+    a window with a positive shrinks around its first one. Windows below the minimum are dropped.
     The next window starts half a window later, or a third after one with a positive.
     """
     limit, least, context, div = cfg.max_tokens, cfg.min_sentences, cfg.context, cfg.positive_step_div
 
-    def sizes(pdf: pd.DataFrame, own: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def spans(c: Columns, own: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Size, end and "has a positive" of the window at each own position."""
         # A separator per sentence and two frame tokens; the last allowed total is limit - 3.
-        total = np.concatenate([[0], np.cumsum(pdf["tokens"].to_numpy(np.int64) + 1)])
-        size = np.searchsorted(total, total[:own] + limit - 3, side="left") - 1 - np.arange(own)
-        size = np.maximum(size, least)
-        end = np.minimum(np.arange(own) + size, len(pdf))
-        marks = (pdf["label"].to_numpy() == 1) if training else np.zeros(len(pdf), dtype=bool)
+        total = np.concatenate([[0], np.cumsum(c["tokens"].astype(np.int64) + 1)])
+        at = np.arange(own)
+        size = np.maximum(np.searchsorted(total, total[:own] + limit - 3, side="left") - 1 - at, least)
+        end = np.minimum(at + size, len(c["gid"]))
+        marks = (c["label"] == 1) if training else np.zeros(len(c["gid"]), dtype=bool)
         seen = np.concatenate([[0], np.cumsum(marks)])
         return size, end, seen[end] > seen[:own]
 
-    def steps(pdf: pd.DataFrame, own: int) -> np.ndarray:
-        size, _, positive = sizes(pdf, own)
+    def steps(c: Columns, own: int) -> np.ndarray:
+        size, _, positive = spans(c, own)
         return np.maximum(np.where(positive, size // div, size // 2), 1)
 
-    def emit(pdf: pd.DataFrame, stops: np.ndarray) -> pd.DataFrame:
-        gid = pdf["gid"].to_numpy(np.int64)
-        total = np.concatenate([[0], np.cumsum(pdf["tokens"].to_numpy(np.int64))])
-        own = int(stops[-1]) + 1 if len(stops) else 0
-        _, end, positive = sizes(pdf, own) if own else (None, np.empty(0, int), np.empty(0, bool))
-        begin, stop, positive = stops.copy(), end[stops], positive[stops]
-        if training and len(stops):
-            marks = np.flatnonzero(pdf["label"].to_numpy() == 1)
-            at = np.searchsorted(marks, begin)
-            for w in np.flatnonzero(positive):
-                first = marks[at[w]]
-                begin[w], stop[w] = max(begin[w], first - context), min(stop[w], first + context + 1)
+    def emit(c: Columns, stops: np.ndarray) -> Columns:
+        gid = c["gid"].astype(np.int64)
+        total = np.concatenate([[0], np.cumsum(c["tokens"].astype(np.int64))])
+        _, end, positive = spans(c, int(stops[-1]) + 1 if len(stops) else 0)
+        begin, stop, positive = stops, end[stops].astype(np.int64), positive[stops]
+        if training and positive.any():
+            marks = np.flatnonzero(c["label"] == 1)
+            first = marks[np.minimum(np.searchsorted(marks, begin), len(marks) - 1)]
+            begin = np.where(positive, np.maximum(begin, first - context), begin)
+            stop = np.where(positive, np.minimum(stop, first + context + 1), stop)
         kept = (stop - begin) >= least
         begin, stop = begin[kept], stop[kept]
-        return pd.DataFrame({
-            "paper_name": pdf["paper_name"].iloc[0],
-            "window_id": gid[stops[kept]],
-            "first": gid[begin] if len(begin) else begin,
-            "last": gid[stop - 1] if len(stop) else stop,
-            "window_tokens": total[stop] - total[begin],
-            "has_positive": positive[kept],
-        })
+        return {
+            "window_id": gid[stops[kept]], "first": gid[begin], "last": gid[stop - 1],
+            "window_tokens": total[stop] - total[begin], "has_positive": positive[kept],
+        }
 
     columns = ["paper_name", "gid", "tokens"] + (["label"] if training else [])
-    name_type = sentences.schema["paper_name"].dataType.simpleString()
-    schema = (
-        f"paper_name {name_type}, window_id LONG, first LONG, last LONG, window_tokens LONG, has_positive BOOLEAN"
-    )
+    schema = "window_id LONG, first LONG, last LONG, window_tokens LONG, has_positive BOOLEAN"
     return chain(
         sentences.select(*columns), "paper_name", "gid", max(limit, least), steps, emit, schema, cfg.chunk, max_index
     )
@@ -205,21 +229,24 @@ def pack_by_characters(sentences: DataFrame, cfg: PackConfig = PackConfig(), max
     too long alone is cut to ``cut`` = max(200, budget / 8).
     """
     frame = len(LABEL_REQUEST) - len("{title}{first}{last}")
+    powers = 10 ** np.arange(1, 19)
 
     def digits(x: np.ndarray) -> np.ndarray:
-        return np.char.str_len(x.astype(str)) if len(x) else x
+        return np.searchsorted(powers, x, side="right") + 1
 
-    def fits(pdf: pd.DataFrame, own: int) -> np.ndarray:
+    def fits(c: Columns, own: int) -> np.ndarray:
         """Items of the request that starts at each position; 0 if even one is too long."""
-        n = len(pdf)
-        gid = pdf["gid"].to_numpy(np.int64)
-        raw = pdf["n_chars"].to_numpy(np.int64)
+        gid, raw = c["gid"].astype(np.int64), c["n_chars"].astype(np.int64)
+        n = len(gid)
         shown = np.where(raw > cfg.cut, cfg.cut + 3, raw)
         # "句子N: text" and a line break in front of all but the first line.
         total = np.concatenate([[0], np.cumsum(shown + digits(gid + 1) + 5)])
         at = np.arange(own)
-        head = frame + len(str(pdf["paper_name"].iloc[0])) + digits(gid[:own] + 1) - 1
-        taken = np.zeros(own, dtype=np.int64)
+        head = frame + len(str(c["paper_name"][0])) + digits(gid[:own] + 1) - 1
+        # The last number of a request grows with it by at most one digit per item taken.
+        room = cfg.budget - head - digits(gid[:own] + cfg.max_items)
+        taken = np.searchsorted(total, total[:own] + room, side="right") - 1 - at
+        taken = np.clip(taken, 0, np.minimum(cfg.max_items, n - at))
         while True:
             longer = np.minimum(taken + 1, n - at)
             size = head + digits(gid[at + longer - 1] + 1) + total[at + longer] - total[at]
@@ -228,25 +255,20 @@ def pack_by_characters(sentences: DataFrame, cfg: PackConfig = PackConfig(), max
                 return taken
             taken = np.where(grows, longer, taken)
 
-    def steps(pdf: pd.DataFrame, own: int) -> np.ndarray:
-        return np.maximum(fits(pdf, own), 1)
-
-    def emit(pdf: pd.DataFrame, stops: np.ndarray) -> pd.DataFrame:
-        gid = pdf["gid"].to_numpy(np.int64)
-        own = int(stops[-1]) + 1 if len(stops) else 0
-        taken = fits(pdf, own)[stops] if own else stops
-        return pd.DataFrame({
-            "paper_name": pdf["paper_name"].iloc[0],
-            "first": gid[stops],
-            "last": gid[stops + np.maximum(taken, 1) - 1],
+    def steps(c: Columns, own: int) -> np.ndarray:
+        return np.maximum(fits(c, own), 1)
+
+    def emit(c: Columns, stops: np.ndarray) -> Columns:
+        gid = c["gid"].astype(np.int64)
+        taken = fits(c, int(stops[-1]) + 1 if len(stops) else 0)[stops]
+        return {
+            "first": gid[stops], "last": gid[stops + np.maximum(taken, 1) - 1],
             "cut": np.where(taken == 0, max(200, cfg.budget // 8), cfg.cut),
-        })
+        }
 
-    name_type = sentences.schema["paper_name"].dataType.simpleString()
-    schema = f"paper_name {name_type}, first LONG, last LONG, cut LONG"
     return chain(
         sentences.select("paper_name", "gid", "n_chars"),
-        "paper_name", "gid", cfg.max_items, steps, emit, schema, cfg.chunk, max_index,
+        "paper_name", "gid", cfg.max_items, steps, emit, "first LONG, last LONG, cut LONG", cfg.chunk, max_index,
     )
 
 

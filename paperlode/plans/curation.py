@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperlode.config import LinkConfig, WindowConfig
-from paperlode.functions.basic import not_blank
 from paperlode.functions.text import count_tokens
 from paperlode.hooks import clue_probability, score_papers, tag_windows
 from paperlode.operators.filters import gate
@@ -19,6 +18,7 @@ from paperlode.operators.sentences import (
 )
 from paperlode.operators.windows import any_vote, mean_vote, token_windows, window_members
 from paperlode.plans.link_ranking import ledger_records
+from paperlode.session import staged
 
 
 def accepted_papers(papers: DataFrame, scorer: Callable[[Column], Column] = clue_probability, threshold: float = 0.5) -> DataFrame:
@@ -33,9 +33,14 @@ def label_sentences(
     vote: str = "any",
     threshold: float = 0.5,
 ) -> DataFrame:
-    """Corpus items to labelled sentences through token windows and a vote."""
-    rows = global_sentence_ids(items).filter(not_blank(F.col("text")))
-    windows = token_windows(rows.withColumn("tokens", count_tokens(F.col("text"))), cfg)
+    """Corpus items to labelled sentences through token windows and a vote.
+
+    The numbered sentences feed the windows, their members and the write-back, so they are staged.
+    """
+    numbered = global_sentence_ids(items).withColumn("tokens", count_tokens(F.col("text")))
+    tokens = staged(numbered, "sentences")
+    windows = token_windows(tokens, cfg)
+    rows = tokens.drop("tokens")
     members = window_members(windows).join(rows.select("paper_name", "gid", "text"), ["paper_name", "gid"])
     tagged = tag_windows(members, scorer, threshold)
     if vote == "mean":
@@ -66,12 +71,13 @@ def curate(
     ``papers`` has id, title, abstract, pdf_link; ``items`` are corpus items whose paper_name is the
     id; ``sources`` has paper_id, path and text. Each step keeps only papers that passed the one before.
     """
-    kept = accepted_papers(papers, scorer)
+    kept = staged(accepted_papers(papers, scorer), "accepted")
     wanted = items.join(kept.select(F.col("id").alias("paper_name")), "paper_name", "left_semi")
-    records = stage_records(kept, label_sentences(wanted, scorer, windows)).filter("desc_gate.accepted")
+    labelled = label_sentences(wanted, scorer, windows)
+    records = staged(stage_records(kept, labelled).filter("desc_gate.accepted"), "described")
     keys = records.select(
         F.col("id").alias("paper_id"), F.col("pdf_link").alias("paper_link_pdf"), "dataset_description"
     )
     files = sources.join(keys.select("paper_id"), "paper_id", "left_semi")
     found = extract_links(files).withColumn("window_sentences", F.concat("ctx_before", "ctx_after"))
-    return ledger_records(keys, found, ["form", "path", "pos"], timestamp, cfg=links)
+    return ledger_records(keys, staged(found, "links"), ["form", "path", "pos"], timestamp, cfg=links)

@@ -3,7 +3,7 @@
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(app: str = "paperlode", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -37,3 +37,14 @@ def work_root(spark: SparkSession) -> str:
 def new_work_dir(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared working folder; nothing is created yet."""
     return f"{work_root(spark)}/paperlode/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write a result that several later steps read, and read it back.
+
+    The written table cuts the lineage: later steps neither repeat the work nor depend on executors
+    that did it.
+    """
+    path = new_work_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -14,12 +14,13 @@ from paperlode.functions.urls import (
 from paperlode.operators.ledger import normalise_fields
 from paperlode.operators.ranks import first_rows
 
-_FILE = F.col("_metadata.file_path")
+def _file() -> Column:
+    return F.col("_metadata.file_path")
 
 
 def _folder(up: int) -> Column:
     """Name of a parent folder of the file, 1 for the nearest."""
-    return F.url_decode(F.element_at(F.split(_FILE, "/"), -1 - up))
+    return F.url_decode(F.element_at(F.split(_file(), "/"), -1 - up))
 
 
 def read_papers(spark: SparkSession, path: str, schema: str = schemas.PAPER) -> DataFrame:
@@ -33,7 +34,7 @@ def read_papers(spark: SparkSession, path: str, schema: str = schemas.PAPER) ->
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     """Corpus items with their file and position in the file."""
     raw = spark.read.schema(schemas.CORPUS_FILE).option("multiLine", True).json(path)
-    items = raw.select(_FILE.alias("file"), F.posexplode("data").alias("item_pos", "i"))
+    items = raw.select(_file().alias("file"), F.posexplode("data").alias("item_pos", "i"))
     return items.select("file", "item_pos", "i.*")
 
 
@@ -53,7 +54,7 @@ def read_training_shards(spark: SparkSession, pattern: str, schema: str = schema
     raw = spark.read.schema(both).option("multiLine", True).json(pattern)
     names = [f.name for f in raw.schema.fields if f.name != "data"]
     single = F.array(F.struct(*names))
-    rows = raw.select(_FILE.alias("file"), F.posexplode(F.coalesce("data", single)).alias("pos", "s"))
+    rows = raw.select(_file().alias("file"), F.posexplode(F.coalesce("data", single)).alias("pos", "s"))
     return rows.select("file", "pos", "s.*")
 
 
@@ -86,7 +87,7 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
         .option("mode", "DROPMALFORMED")
         .option("ignoreCorruptFiles", True)
         .json(path)
-        .withColumn("file", _FILE)
+        .withColumn("file", _file())
     )
 
 
@@ -122,7 +123,7 @@ def read_whole(spark: SparkSession, path: str) -> DataFrame:
     """Whole files as text with path, name and time of change."""
     raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
     return raw.select(
-        _FILE.alias("file"),
+        _file().alias("file"),
         F.col("_metadata.file_name").alias("name"),
         F.col("_metadata.file_modification_time").alias("mtime"),
         F.col("value").alias("text"),

@@ -1,6 +1,6 @@
 """Sinks. Partitioned sinks replace only the partitions they write."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -9,6 +9,11 @@ def write_metadata(papers: DataFrame, path: str) -> None:
     papers.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "category").json(path)
 
 
+def read_metadata(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What :func:`write_metadata` wrote; filters on day and category skip whole partitions."""
+    return spark.read.schema(schema + ", day STRING, category STRING").json(path)
+
+
 def append_samples(samples: DataFrame, path: str) -> None:
     """Labelled link samples as JSON lines per day and category."""
     samples.write.mode("append").partitionBy("day", "category").json(path)
