@@ -50,7 +50,16 @@ def with_instruction(query: Column, instruction: Column) -> Column:
 # --- vector search -----------------------------------------------------------------------------
 
 
-def _packed(df: DataFrame, key: str, vector: str, size: int) -> DataFrame:
+def _matrix(vectors: pd.Series, unit: bool) -> bytes:
+    """Vectors of a block as one matrix, of unit length if asked; zero vectors stay zero."""
+    matrix = np.stack(vectors.to_numpy()).astype(np.float64)
+    if unit:
+        lengths = np.linalg.norm(matrix, axis=1, keepdims=True)
+        matrix /= np.where(lengths == 0, 1.0, lengths)
+    return matrix.tobytes()
+
+
+def _packed(df: DataFrame, key: str, vector: str, size: int, unit: bool) -> DataFrame:
     """Blocks of vectors, packed where they are read: one row per Arrow slice."""
     key_type = df.schema[key].dataType.simpleString()
 
@@ -58,15 +67,12 @@ def _packed(df: DataFrame, key: str, vector: str, size: int) -> DataFrame:
         for pdf in batches:
             for i in range(0, len(pdf), size):
                 part = pdf.iloc[i:i + size]
-                matrix = np.stack(part[vector].to_numpy()).astype(np.float64)
-                lengths = np.linalg.norm(matrix, axis=1, keepdims=True)
-                matrix /= np.where(lengths == 0, 1.0, lengths)
-                yield pd.DataFrame({"ids": [part[key].to_list()], "matrix": [matrix.tobytes()], "n": [len(part)]})
+                yield pd.DataFrame({"ids": [part[key].to_list()], "matrix": [_matrix(part[vector], unit)], "n": [len(part)]})
 
     return df.select(key, vector).mapInPandas(pack, f"ids ARRAY<{key_type}>, matrix BINARY, n INT")
 
 
-def _block_pairs(queries: DataFrame, cands: DataFrame, query: str, cand: str, vector: str, size: int) -> DataFrame:
+def _block_pairs(queries: DataFrame, cands: DataFrame, query: str, cand: str, vector: str, size: int, unit: bool = True) -> DataFrame:
     """Every block of candidates next to every block of queries.
 
     Candidate blocks are copied per query group and meet them by an equi-join on the group number. The
@@ -81,18 +87,16 @@ def _block_pairs(queries: DataFrame, cands: DataFrame, query: str, cand: str, ve
     key_type = queries.schema[query].dataType.simpleString()
 
     def pack_group(pdf: pd.DataFrame) -> pd.DataFrame:
-        matrix = np.stack(pdf[vector].to_numpy()).astype(np.float64)
-        lengths = np.linalg.norm(matrix, axis=1, keepdims=True)
-        matrix /= np.where(lengths == 0, 1.0, lengths)
         return pd.DataFrame({
-            "group": [int(pdf["group"].iloc[0])], "query_ids": [pdf[query].to_list()], "query_matrix": [matrix.tobytes()],
+            "group": [int(pdf["group"].iloc[0])], "query_ids": [pdf[query].to_list()],
+            "query_matrix": [_matrix(pdf[vector], unit)],
         })
 
     grouped = queries.select(query, vector, F.pmod(F.xxhash64(query), F.lit(groups)).cast("int").alias("group"))
     left = grouped.groupBy("group").applyInPandas(
         pack_group, f"group INT, query_ids ARRAY<{key_type}>, query_matrix BINARY"
     )
-    right = _packed(cands, cand, vector, size).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    right = _packed(cands, cand, vector, size, unit).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     if small:
         return right.join(F.broadcast(left), "group")
     left = left.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
@@ -107,12 +111,19 @@ def _similarities(row) -> np.ndarray:
 
 
 def cosine_top_k(
-    queries: DataFrame, cands: DataFrame, k: int, query: str = "query_id", cand: str = "cand_id", vector: str = "vector", size: int = 1024
+    queries: DataFrame,
+    cands: DataFrame,
+    k: int,
+    query: str = "query_id",
+    cand: str = "cand_id",
+    vector: str = "vector",
+    size: int = 1024,
+    inner: bool = False,
 ) -> DataFrame:
     """Best ``k`` candidates of every query by cosine, ties by candidate id: (query, cand, score, rank).
 
-    Block products keep their own best ``k``, so the global ranking sees few rows. On unit vectors this
-    is the inner-product order of a flat index.
+    Block products keep their own best ``k``, so the global ranking sees few rows. ``inner`` ranks by
+    inner product instead, as a flat index does; on unit vectors both orders agree.
     """
     query_type = queries.schema[query].dataType.simpleString()
     cand_type = cands.schema[cand].dataType.simpleString()
@@ -132,7 +143,7 @@ def cosine_top_k(
                     out.append(pd.DataFrame({query: q, cand: ids[order], "score": line[order]}))
                 yield pd.concat(out, ignore_index=True)
 
-    partial = _block_pairs(queries, cands, query, cand, vector, size).mapInPandas(
+    partial = _block_pairs(queries, cands, query, cand, vector, size, not inner).mapInPandas(
         best, f"`{query}` {query_type}, `{cand}` {cand_type}, score DOUBLE"
     )
     return top_rows(partial, [query], [F.col("score").desc(), F.col(cand)], k)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperlode.functions.text import split_sentences, strip_tags
+from paperlode.session import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,8 +28,13 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+# Tables of long texts, with their keys: a small one comes as a single split.
+_TEXTS = {"documents": "doc_id", "pages": "page_id"}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(df, _TEXTS[name]) if name in _TEXTS else df
 
 
 # --- SQL fragments -----------------------------------------------------------------------------

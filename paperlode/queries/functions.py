@@ -582,7 +582,7 @@ def f27(spark, sf):
 # --- F: dates ----------------------------------------------------------------------------------
 
 
-@query("f28_year", """SELECT doc_id, TRY_CAST(CASE WHEN length(trim(t)) >= 4 THEN substr(trim(t), 1, 4) END AS INTEGER) AS year FROM (
+@query("f28_year", """SELECT doc_id, CASE WHEN regexp_matches(substr(trim(t), 1, 4), '^[+-]?[0-9]+\\s*$') AND length(trim(t)) >= 4 THEN TRY_CAST(substr(trim(t), 1, 4) AS INTEGER) END AS year FROM (
   SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN CAST(1990 + doc_id % 40 AS VARCHAR) || '-01-01' WHEN 1 THEN 'abc' WHEN 2 THEN ' 2025-11-11T00:00:00Z' ELSE text END AS t FROM documents)""")
 def f28(spark, sf):
     i = F.col("doc_id") % 4

@@ -8,8 +8,8 @@ SPACE_CHARS = (
     " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\u00a0\u1680"
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
-SPACE = r"[\s\x{b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-NOT_SPACE = SPACE.replace("[", "[^", 1)
+SPACE = r"[\p{IsWhite_Space}\x1c-\x1f]"
+NOT_SPACE = r"[^\p{IsWhite_Space}\x1c-\x1f]"
 
 # Additive link score, matched as substrings of host + path.
 HOST_WEIGHTS = [

@@ -48,3 +48,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = new_work_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Redistribute a scan that has fewer splits than the session has cores; others stay as they are.
+
+    For text work that costs far more than moving the rows. A large table has enough splits.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
