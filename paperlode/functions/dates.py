@@ -17,8 +17,13 @@ def utc(c: Column) -> Column:
     return F.try_to_timestamp(c)
 
 
+def in_utc(ts: Column) -> Column:
+    """Wall clock of an instant in UTC, whatever the time zone of the session."""
+    return F.to_utc_timestamp(ts, F.current_timezone())
+
+
 def feed_time(ts: Column) -> Column:
-    return F.date_format(ts, "yyyyMMddHHmm")
+    return F.date_format(in_utc(ts), "yyyyMMddHHmm")
 
 
 def iso_seconds(ts: Column) -> Column:

@@ -57,6 +57,7 @@ def _occurrences(window: int):
 def link_rows(content: str, sentences: list[str], patterns: list, heading, window: int) -> list[dict]:
     """Links of one file; positions are looked up by bisection."""
     from bisect import bisect_right
+    from itertools import accumulate
 
     starts, ends, at = [], [], 0
     for s in sentences:
@@ -64,7 +65,7 @@ def link_rows(content: str, sentences: list[str], patterns: list, heading, windo
         starts.append(at)
         at += len(s)
         ends.append(at)
-    lines = [0] + [i + 1 for i, ch in enumerate(content) if ch == "\n"]
+    lines = [0, *accumulate(len(line) + 1 for line in content.split("\n"))]
     heads = [(m.start(), m.group(1).strip()) for m in heading.finditer(content)]
     head_at = [p for p, _ in heads]
     out = []
@@ -106,10 +107,11 @@ def build_candidates(links: DataFrame, order: list[str], cfg: LinkConfig = LinkC
     """Distinct candidates of each paper with context and score.
 
     ``links`` has paper_id, url, anchor, window_sentences and the order columns. The first link per
-    normalised URL wins, and only winners get their context cleaned.
+    normalised URL wins; only the sentences of the context travel, and only winners get theirs cleaned.
     """
     keyed = with_url_keys(links.withColumn("url", strip(F.col("url"))).filter(F.col("url") != ""))
-    first = first_rows(keyed, ["paper_id", "norm_url"], [F.col(c) for c in order])
+    narrow = keyed.withColumn("window_sentences", F.slice("window_sentences", 1, cfg.context_sentences))
+    first = first_rows(narrow, ["paper_id", "norm_url"], [F.col(c) for c in order])
     return score_candidates(
         first.withColumn("anchor", strip(F.coalesce("anchor", F.lit(""))))
         .withColumn("ctx", clean_context(F.col("window_sentences"), cfg))

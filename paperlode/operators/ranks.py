@@ -27,17 +27,25 @@ def hash_block(h: Column) -> Column:
     return F.substring(h, 1, 3)
 
 
-def _null_safe(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
-    condition = F.lit(True)
-    for n in names:
-        condition = condition & left[n].eqNullSafe(right["__k_" + n])
-    return condition
-
-
-def _attach(df: DataFrame, totals: DataFrame, names: list[str], value: str) -> DataFrame:
-    renamed = totals.select(*[F.col(n).alias("__k_" + n) for n in names], value)
-    joined = df.join(renamed, _null_safe(df, renamed, names), "left")
-    return joined.drop(*["__k_" + n for n in names])
+def _keyed(df: DataFrame, keys: list[str], coarse: dict[str, Column]) -> tuple[DataFrame, list[str], list[str]]:
+    """Columns to group by that hold no null: values with a default, behind a mark that sorts null first.
+
+    Totals, join and window all use the same plain columns, so they share one hash partitioning.
+    """
+    made = df.withColumns({f"__c_{n}": c for n, c in coarse.items()})
+    names: list[list[str]] = []
+    for source in [*keys, *[f"__c_{n}" for n in coarse]]:
+        field = made.schema[source]
+        if not field.nullable:
+            names.append([source])
+            continue
+        value, mark = f"__v_{source}", f"__n_{source}"
+        default = F.lit("") if field.dataType.typeName() == "string" else F.lit(0).cast(field.dataType)
+        made = made.withColumns({value: F.coalesce(F.col(f"`{source}`"), default), mark: F.col(f"`{source}`").isNotNull()})
+        names.append([mark, value])
+    key_names = [n for group in names[: len(keys)] for n in group]
+    block_names = [n for group in names[len(keys):] for n in group]
+    return made, key_names, block_names
 
 
 def running_total(
@@ -49,17 +57,18 @@ def running_total(
     name: str,
 ) -> DataFrame:
     """Sum of ``size`` over all earlier rows of the key, as column ``name`` (0 for the first row)."""
-    marked = df.withColumns({f"__c_{n}": c for n, c in coarse.items()} | {"__size": size.cast("long")})
-    blocks = [f"__c_{n}" for n in coarse]
+    marked, by, blocks = _keyed(df, keys, coarse)
+    marked = marked.withColumn("__size", size.cast("long"))
     totals = (
-        marked.groupBy(*keys, *blocks)
+        marked.groupBy(*by, *blocks)
         .agg(F.sum("__size").alias("__total"))
-        .withColumn("__start", F.sum("__total").over(Window.partitionBy(*keys).orderBy(*blocks).rowsBetween(*_BEFORE)))
+        .withColumn("__start", F.sum("__total").over(Window.partitionBy(*by).orderBy(*blocks).rowsBetween(*_BEFORE)))
+        .drop("__total")
     )
-    joined = _attach(marked, totals, keys + blocks, "__start")
-    inner = Window.partitionBy(*keys, *blocks).orderBy(*order).rowsBetween(*_BEFORE)
+    inner = Window.partitionBy(*by, *blocks).orderBy(*order).rowsBetween(*_BEFORE)
     local = F.coalesce(F.sum("__size").over(inner), F.lit(0))
-    return joined.withColumn(name, local + F.coalesce(F.col("__start"), F.lit(0))).drop("__size", "__start", *blocks)
+    joined = marked.join(totals, [*by, *blocks], "left")
+    return joined.withColumn(name, local + F.coalesce(F.col("__start"), F.lit(0))).select(*[f"`{c}`" for c in df.columns], name)
 
 
 def row_numbers(
@@ -73,23 +82,23 @@ def last_seen(
     df: DataFrame, keys: list[str], coarse: dict[str, Column], order: list[str], value: str, name: str
 ) -> DataFrame:
     """Latest non-null ``value`` at or before each row (as-of lookup)."""
-    marked = df.withColumns({f"__c_{n}": c for n, c in coarse.items()})
-    blocks = [f"__c_{n}" for n in coarse]
+    marked, by, blocks = _keyed(df, keys, coarse)
     order_key = F.when(F.col(value).isNotNull(), F.struct(*order))
     totals = (
-        marked.groupBy(*keys, *blocks)
+        marked.groupBy(*by, *blocks)
         .agg(F.max_by(value, order_key).alias("__block_last"))
         .withColumn(
             "__carry",
             F.last("__block_last", ignorenulls=True).over(
-                Window.partitionBy(*keys).orderBy(*blocks).rowsBetween(*_BEFORE)
+                Window.partitionBy(*by).orderBy(*blocks).rowsBetween(*_BEFORE)
             ),
         )
+        .drop("__block_last")
     )
-    joined = _attach(marked, totals, keys + blocks, "__carry")
-    inner = Window.partitionBy(*keys, *blocks).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inner = Window.partitionBy(*by, *blocks).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     here = F.last(value, ignorenulls=True).over(inner)
-    return joined.withColumn(name, F.coalesce(here, F.col("__carry"))).drop("__carry", *blocks)
+    joined = marked.join(totals, [*by, *blocks], "left")
+    return joined.withColumn(name, F.coalesce(here, F.col("__carry"))).select(*[f"`{c}`" for c in df.columns], name)
 
 
 def first_rows(df: DataFrame, keys: list[Column | str], order: list[Column], k: int = 1) -> DataFrame:

@@ -162,27 +162,16 @@ def collect_description(
 ) -> DataFrame:
     """Positive sentences of each paper in order, joined to one description.
 
-    Only positive sentences are shuffled. Papers without one give an empty description. The older
-    form looks at the first section only.
+    Only positive sentences enter the shuffled lists. Papers without one give an empty description.
+    The older form looks at the first section only.
     """
     rows = sentences
     if first_section_only:
         head = rows.groupBy(*keys).agg(F.min(F.struct("section", "paragraph_id")).alias("__first"))
         rows = rows.join(head, keys).filter(F.struct("section", "paragraph_id") == F.col("__first"))
-    chosen = rows.filter((F.col("label") == 1) & not_blank(F.col("text")))
-    described = chosen.groupBy(*keys).agg(
-        F.array_join(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct(*order, strip(F.col("text")).alias("text")))),
-                lambda s: s["text"],
-            ),
-            " ",
-        ).alias("description")
-    )
-    papers = sentences.select(*keys).distinct()
-    return papers.join(described, keys, "left").withColumn(
-        "description", cut_description(F.coalesce("description", F.lit("")), max_chars)
-    )
+    chosen = F.when((F.col("label") == 1) & not_blank(F.col("text")), F.struct(*order, strip(F.col("text")).alias("text")))
+    found = F.transform(F.array_sort(F.collect_list(chosen)), lambda s: s["text"])
+    return rows.groupBy(*keys).agg(cut_description(F.array_join(found, " "), max_chars).alias("description"))
 
 
 def description_gate(records: DataFrame, threshold: float = 0.5, min_chars: int = 1) -> DataFrame:

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperlode.functions.basic import blank_to_null
-from paperlode.functions.dates import utc, year_of
+from paperlode.functions.dates import in_utc, utc, year_of
 from paperlode.operators.ranks import first_rows
 
 
@@ -84,7 +84,7 @@ def corpus_size(items: DataFrame, sentences: str = "sentences") -> DataFrame:
 
 def update_span(entries: DataFrame, keys: list[str]) -> DataFrame:
     """Entries with newest and oldest update per page; unreadable times are skipped."""
-    ts = utc(F.col("updated"))
+    ts = in_utc(utc(F.col("updated")))
     iso = "yyyy-MM-dd'T'HH:mm:ss'Z'"
     return entries.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("entries"),

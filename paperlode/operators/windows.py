@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from paperlode.config import PackConfig, WindowConfig
 from paperlode.functions.text import LABEL_REQUEST
 from paperlode.operators.ranks import position_block
+from paperlode.session import staged
 
 _FAN = 256
 
@@ -81,15 +82,17 @@ def chain(
     ``steps(columns, own)`` gives the step at each of the first ``own`` positions, using at most
     ``lookahead`` rows behind them; no step exceeds ``lookahead``. ``emit(columns, stops)`` builds output
     columns for the stops of one chunk; the key is added. ``index`` runs from 0 without gaps.
-    ``max_index`` saves one pass if known.
+    Without ``max_index`` the narrow rows are staged to find it.
     """
     chunk = max(chunk, lookahead + 1)
+    if max_index is None or max_index >= chunk:
+        rows = staged(rows, "chain")  # read several times below
+    if max_index is None:
+        max_index = rows.agg(F.max(index)).first()[0] or 0
     own = position_block(F.col(index), chunk)
     # Rows near the start of a chunk are also the look-ahead of the chunk before.
     homes = F.when((own > 0) & (F.col(index) % chunk < lookahead), F.array(own, own - 1)).otherwise(F.array(own))
     spread = rows.withColumn("__chunk", F.explode(homes))
-    if max_index is None:
-        max_index = rows.agg(F.max(index)).first()[0] or 0
     key_type = rows.schema[key].dataType.simpleString()
     out_schema = f"`{key}` {key_type}, {schema}"
 

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperlode.functions.text import split_sentences, strip_tags
+from paperlode.functions.text import split_sentences
 from paperlode.session import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,21 +94,31 @@ def _cycle(values: list[str], i: Column) -> Column:
     return F.array(*[F.lit(v) for v in values])[F.pmod(i, F.lit(len(values))).cast("int")]
 
 
-def page_links(spark: SparkSession, sf: str, html: bool = False) -> DataFrame:
-    """Links of every page on hosts the rules know: (paper_id, pos, url, anchor)."""
+def link_array(page_id: Column, html: Column) -> Column:
+    """Links of one page on hosts the rules know, in order: (pos, url, anchor)."""
+
+    def link(a: Column, pos: Column) -> Column:
+        ending = _cycle(ENDINGS, page_id * 3 + pos)
+        return F.struct(
+            pos.alias("pos"),
+            F.concat(F.lit("https://"), _cycle(HOSTS, page_id + pos), F.regexp_extract(a, _ANCHOR, 1), ending).alias("url"),
+            F.concat_ws(" ", F.regexp_extract(a, _ANCHOR, 2), _cycle(WORDS, page_id + pos)).alias("anchor"),
+        )
+
+    return F.transform(F.regexp_extract_all(html, F.lit(_ANCHOR), 0), link)
+
+
+def pages_with_links(spark: SparkSession, sf: str, **extra: Column) -> DataFrame:
+    """One row per page with its links in an array: (paper_id, links)."""
     pages = table(spark, sf, "pages")
-    keep = ["html"] if html else []
-    rows = pages.select(
-        F.col("page_id").alias("paper_id"), *keep, F.posexplode(F.regexp_extract_all("html", F.lit(_ANCHOR), 0)).alias("pos", "a")
-    )
-    i = F.col("paper_id") + F.col("pos")
-    return rows.select(
-        "paper_id", "pos", *keep,
-        F.concat(
-            F.lit("https://"), _cycle(HOSTS, i), F.regexp_extract("a", _ANCHOR, 1), _cycle(ENDINGS, F.col("paper_id") * 3 + F.col("pos"))
-        ).alias("url"),
-        F.concat_ws(" ", F.regexp_extract("a", _ANCHOR, 2), _cycle(WORDS, i)).alias("anchor"),
-    )
+    links = link_array(F.col("page_id"), F.col("html"))
+    return pages.select(F.col("page_id").alias("paper_id"), links.alias("links"), *[c.alias(n) for n, c in extra.items()])
+
+
+def page_links(spark: SparkSession, sf: str, **extra: Column) -> DataFrame:
+    """One row per link: (paper_id, pos, url, anchor). ``extra`` is computed once per page."""
+    rows = pages_with_links(spark, sf, **extra).select("paper_id", *extra, F.explode("links").alias("l"))
+    return rows.select("paper_id", *extra, "l.*")
 
 
 S_PAGE_LINKS = f"""
@@ -162,10 +172,6 @@ doc_sents AS (
   SELECT paper_name, unnest(s) AS text, CAST(generate_subscripts(s, 1) - 1 AS BIGINT) AS gid FROM doc_items)"""
 
 
-def page_text(c: Column) -> Column:
-    return strip_tags(c)
-
-
 # --- papers of documents -----------------------------------------------------------------------
 
 CATEGORIES = ["cs.en", "cs.de", "cs.fr", "cs.es"]

@@ -62,12 +62,12 @@ def _land_corpus(spark, sf):
     return _land(blocks.select("shard", F.to_json(F.struct("data")).alias("value")), new_work_dir(spark, "corpus"))
 
 
-@query("s02_read_corpus", f"""WITH s AS (SELECT lang, source, doc_id, {s_sentences('text')} AS s FROM documents)
-SELECT lang AS paper_name, sum(len(s))::BIGINT AS n, md5(string_agg(array_to_string(s, '|'), '|' ORDER BY source, doc_id)) AS digest FROM s WHERE len(s) > 0 GROUP BY lang""")
+@query("s02_read_corpus", f"""WITH s AS (SELECT lang, source, doc_id, {s_sentences('text')} AS s FROM documents),
+r AS (SELECT lang, source, doc_id, unnest(s) AS text, generate_subscripts(s, 1) AS i FROM s)
+SELECT lang AS paper_name, row_number() OVER (PARTITION BY lang ORDER BY source, doc_id, i) - 1 AS gid, text FROM r""")
 def s02(spark, sf):
-    found = json_files.ordered_sentences(json_files.read_corpus(spark, _land_corpus(spark, sf)).filter(F.size("sentences") > 0))
-    joined = F.array_join(F.transform("sentences", lambda s: s["text"]), "|")
-    return found.select("paper_name", F.size("sentences").cast("long").alias("n"), F.md5(joined).alias("digest"))
+    items = json_files.read_corpus(spark, _land_corpus(spark, sf))
+    return sentences.global_sentence_ids(items).select("paper_name", "gid", "text")
 
 
 @query("s03_consecutive_groups", f"""WITH p AS (SELECT doc_id, doc_id // {BLOCK} AS shard, lang, CAST(coalesce(lag(lang) OVER (PARTITION BY doc_id // {BLOCK} ORDER BY doc_id) <> lang, TRUE) AS INTEGER) AS starts FROM documents)

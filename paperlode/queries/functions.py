@@ -17,6 +17,7 @@ from paperlode.operators.links import (
     with_url_keys,
 )
 from paperlode.operators.ledger import normalise_fields, prune_blank
+from paperlode.operators.ranks import top_rows
 from paperlode.operators.sentences import description_gate, non_blank_sentences
 from paperlode.queries.base import (
     S_DOCUMENT_SENTENCES,
@@ -26,7 +27,7 @@ from paperlode.queries.base import (
     corpus_items,
     document_sentences,
     page_links,
-    papers,
+    pages_with_links,
     predictions,
     query,
     s_any,
@@ -376,7 +377,7 @@ SELECT paper_id, pos, CASE WHEN length(h || b) <= 400 THEN h || b
   ELSE h || {"rtrim(left(b, greatest(0, 400 - 3 - CAST(length(h) AS INTEGER))), ' ' || chr(9) || chr(10) || chr(13))"} || '...' END AS request FROM req""")
 def f14(spark, sf):
     made = text.request_text(F.col("url"), F.col("anchor"), F.col("html"))
-    return page_links(spark, sf, html=True).select("paper_id", "pos", text.truncate_request(made, 400).alias("request"))
+    return page_links(spark, sf, html=F.col("html")).select("paper_id", "pos", text.truncate_request(made, 400).alias("request"))
 
 
 def _label_request_sql() -> str:
@@ -397,17 +398,20 @@ def f15(spark, sf):
     )
 
 
-@query("f15_pick_request", f"""WITH {S_KEYED}, entries AS (
-  SELECT paper_id, pos, '- #' || (pos + 1) || chr(10) || '  url: ' || url || chr(10) || '  host: ' || split_part(host_path, '/', 1) || chr(10)
-    || '  anchor: ' || anchor || chr(10) || '  score_hint: ' || {s_score(S_SAID)} || chr(10) || '  ctx: ' || anchor || chr(10) AS line FROM hosted)
+@query("f15_pick_request", f"""WITH {S_KEYED}, s AS (SELECT *, {s_score('lower(anchor)')} AS score FROM hosted),
+top AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY score DESC, pos) AS rank FROM s QUALIFY rank <= 12), entries AS (
+  SELECT paper_id, rank, '- #' || rank || chr(10) || '  url: ' || url || chr(10) || '  host: ' || split_part(host_path, '/', 1) || chr(10)
+    || '  anchor: ' || anchor || chr(10) || '  score_hint: ' || score || chr(10) || '  ctx: ' || anchor || chr(10) AS line FROM top)
 SELECT paper_id, md5('{text.PICK_REQUEST.replace(chr(10), "' || chr(10) || '")}' || '[PAPER]' || chr(10) || 'Title: p' || paper_id || chr(10) || 'Abstract: a'
-  || chr(10) || chr(10) || '[CANDIDATES]' || chr(10) || string_agg(line, chr(10) ORDER BY pos)) AS digest FROM entries GROUP BY paper_id""")
+  || chr(10) || chr(10) || '[CANDIDATES]' || chr(10) || string_agg(line, chr(10) ORDER BY rank)) AS digest FROM entries GROUP BY paper_id""")
 def f15_pick(spark, sf):
+    """The best twelve candidates of each paper in one request."""
     cands = score_candidates(with_url_keys(page_links(spark, sf)).withColumn("ctx", F.lit("")), reasons=False)
+    best = top_rows(cands, ["paper_id"], [F.col("score").desc(), F.col("pos")], 12)
     entry = F.struct(
-        "pos", "url", urls.url_host(F.col("norm_url")).alias("host"), "anchor", "score", F.col("anchor").alias("ctx")
+        "rank", "url", urls.url_host(F.col("norm_url")).alias("host"), "anchor", "score", F.col("anchor").alias("ctx")
     )
-    per_paper = cands.groupBy("paper_id").agg(F.array_sort(F.collect_list(entry)).alias("c"))
+    per_paper = best.groupBy("paper_id").agg(F.array_sort(F.collect_list(entry)).alias("c"))
     made = text.pick_request(F.concat(F.lit("p"), F.col("paper_id").cast("string")), F.lit("a"), F.col("c"), 10**9)
     return per_paper.select("paper_id", F.md5(made).alias("digest"))
 
@@ -767,11 +771,7 @@ def f41_strict(spark, sf):
 SELECT DISTINCT paper_id, url AS link FROM page_links UNION ALL
 SELECT page_id, '' FROM pages WHERE page_id NOT IN (SELECT paper_id FROM page_links)""")
 def f42(spark, sf):
-    found = F.regexp_extract_all("html", F.lit(r'<a href="([^"]*)">([^<]*)</a>'), 0)
-    links = page_links(spark, sf).groupBy("paper_id").agg(F.collect_set("url").alias("links"))
-    pages = table(spark, sf, "pages").select(F.col("page_id").alias("paper_id"), F.size(found).alias("n"))
-    records = pages.join(links, "paper_id", "left").select("paper_id", F.coalesce("links", F.array().cast("array<string>")).alias("links"))
-    return fan_out_links(records)
+    return fan_out_links(pages_with_links(spark, sf).withColumn("links", F.transform("links", lambda x: x["url"])))
 
 
 # --- P: predicates and projections -------------------------------------------------------------

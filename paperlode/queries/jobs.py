@@ -16,6 +16,7 @@ from paperlode.queries.base import (
     corpus_items,
     document_sentences,
     page_links,
+    pages_with_links,
     papers,
     query,
     s_array,
@@ -267,10 +268,10 @@ def curate(spark, sf):
         F.col("doc_id").cast("string").alias("paper_name"), F.col("lang").alias("section"), F.lit(0).alias("paragraph_id"), "text"
     )
     sentence = F.transform(split_sentences(F.col("text")), lambda t, i: F.struct(i.alias("sentence_id"), t.alias("text"), F.lit(0).alias("label")))
-    rows = page_links(spark, sf)
-    lines = rows.groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("pos", "url", "anchor"))).alias("x"))
-    tex = F.array_join(F.transform("x", lambda x: F.concat(F.lit("We release \\href{"), x["url"], F.lit("}{"), x["anchor"], F.lit("}. "))), "")
-    sources = lines.select(F.col("paper_id").cast("string").alias("paper_id"), F.lit("main.tex").alias("path"), tex.alias("text"))
+    tex = F.array_join(
+        F.transform("links", lambda x: F.concat(F.lit("We release \\href{"), x["url"], F.lit("}{"), x["anchor"], F.lit("}. "))), ""
+    )
+    sources = pages_with_links(spark, sf).select(F.col("paper_id").cast("string").alias("paper_id"), F.lit("main.tex").alias("path"), tex.alias("text"))
     return curation.curate(
         entries, items.select("paper_name", "section", "paragraph_id", sentence.alias("sentences")), sources, F.lit("now"), _scorer, WindowConfig()
     )

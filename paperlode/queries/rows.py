@@ -18,6 +18,7 @@ from paperlode.queries.base import (
     corpus_items,
     document_sentences,
     page_links,
+    pages_with_links,
     papers,
     predictions,
     query,
@@ -149,14 +150,14 @@ def j07(spark, sf):
     return filters.zip_by_position(left, right, ["paper_id", "pos"])
 
 
-S_LABEL_GROUPS = """
-truth AS (SELECT q.vec_id AS query_id, c.vec_id AS link FROM embeddings q JOIN embeddings c ON q.label = c.label)"""
+S_TRUTH = """
+truth AS (SELECT vec_id AS query_id, unnest(range(vec_id // 5 * 5, vec_id // 5 * 5 + 5)) AS link FROM embeddings)"""
 
 
 def _truth(spark, sf):
-    """Relevance of the stored vectors: the same label."""
-    e = table(spark, sf, "embeddings")
-    return e.select(F.col("vec_id").alias("query_id"), "label").join(e.select(F.col("vec_id").alias("link"), "label"), "label").drop("label")
+    """Known answers of the stored vectors: the block of five ids a vector belongs to."""
+    first = F.floor(F.col("vec_id") / 5) * 5
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), F.explode(F.sequence(first, first + 4)).alias("link"))
 
 
 def _vectors(spark, sf, name: str):
@@ -169,27 +170,25 @@ sims AS (SELECT q.vec_id AS query_id, c.vec_id AS cand_id,
 top10 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, cand_id) AS rank FROM sims QUALIFY rank <= 10)"""
 
 
-@query("j08_relevance", f"""WITH {S_TOP10}, {S_LABEL_GROUPS}
+@query("j08_relevance", f"""WITH {S_TOP10}, {S_TRUTH}
 SELECT t.query_id, CAST(t.rank AS INTEGER) AS rank, t.cand_id AS link, CAST(r.link IS NOT NULL AS INTEGER) AS hit FROM top10 t LEFT JOIN truth r ON r.query_id = t.query_id AND r.link = t.cand_id""")
 def j08(spark, sf):
     ranked = retrieval.cosine_top_k(_vectors(spark, sf, "query_id"), _vectors(spark, sf, "cand_id"), 10)
     return retrieval.mark_hits(ranked.withColumnRenamed("cand_id", "link").drop("score"), _truth(spark, sf)).select("query_id", "rank", "link", "hit")
 
 
-@query("j09_align_responses", f"""WITH a AS (SELECT * FROM conversations WHERE role <> 'user')
-SELECT c.conv_id AS batch_id, CAST(c.turn AS INTEGER) AS idx, CASE WHEN c.turn % 2 = 0 THEN 'u' || c.conv_id ELSE 'w' || c.turn END AS url,
-  CASE WHEN c.turn % 3 = 0 THEN 'dataset' WHEN c.turn % 3 = 1 THEN 'other' ELSE 'other' END AS label
-FROM conversations c""")
+@query("j09_align_responses", """SELECT conv_id * 1000 + turn // 4 AS batch_id, CAST(turn % 4 AS INTEGER) AS idx, CASE WHEN turn % 2 = 0 OR turn % 4 = 3 THEN 'u' || conv_id ELSE 'w' || turn END AS url,
+  CASE WHEN turn % 4 <> 3 AND turn % 3 = 0 THEN 'dataset' ELSE 'other' END AS label FROM conversations""")
 def j09(spark, sf):
-    c = table(spark, sf, "conversations")
-    requests = c.select(F.col("conv_id").alias("batch_id"), F.col("turn").cast("int").alias("idx"), F.concat(F.lit("u"), F.col("conv_id")).alias("url"), F.lit("no clue").alias("context"))
-    # Turns are the positions of a conversation: each answers in place, two turns of three with a label.
+    """Batches of four requests; the last answer of each full batch is missing."""
+    c = table(spark, sf, "conversations").withColumns({"batch_id": F.col("conv_id") * 1000 + F.floor(F.col("turn") / 4), "idx": (F.col("turn") % 4).cast("int")})
+    requests = c.select("batch_id", "idx", F.concat(F.lit("u"), F.col("conv_id")).alias("url"), F.lit("no clue").alias("context"))
     item = F.struct(
         F.when(F.col("turn") % 2 == 1, F.concat(F.lit("w"), F.col("turn").cast("string"))).alias("url"),
         F.when(F.col("turn") % 3 == 0, "some data").when(F.col("turn") % 3 == 1, "none").alias("label"),
         F.lit(None).cast("string").alias("why"), F.lit(None).cast("string").alias("desc"),
     )
-    answers = c.groupBy(F.col("conv_id").alias("batch_id")).agg(F.array_sort(F.collect_list(F.struct("turn", item.alias("item")))).alias("x"))
+    answers = c.groupBy("batch_id").agg(F.array_sort(F.collect_list(F.when(F.col("idx") < 3, F.struct("idx", item.alias("item"))))).alias("x"))
     answers = answers.select("batch_id", F.transform("x", lambda e: e["item"]).alias("items"))
     return filters.align_responses(requests, answers).select("batch_id", "idx", "url", "label")
 
@@ -350,11 +349,11 @@ def a08(spark, sf):
     return windows.any_vote(_window_probs(spark, sf))
 
 
-@query("a09_description", f"""WITH {S_SENTENCES}, papers AS (SELECT DISTINCT paper_name FROM numbered),
-d AS (SELECT paper_name, string_agg(text, ' ' ORDER BY gid) AS t FROM numbered WHERE label = 1 GROUP BY 1)
+@query("a09_description", f"""WITH {S_DOCUMENT_SENTENCES}, papers AS (SELECT DISTINCT paper_name FROM doc_sents),
+d AS (SELECT paper_name, string_agg(text, ' ' ORDER BY gid) AS t FROM doc_sents WHERE length(text) % 2 = 1 GROUP BY 1)
 SELECT paper_name, md5(coalesce(t, '')) AS digest, coalesce(length(t), 0) AS n FROM papers LEFT JOIN d USING (paper_name)""")
 def a09(spark, sf):
-    rows = sentences.global_sentence_ids(corpus_items(spark, sf))
+    rows = document_sentences(spark, sf).withColumn("label", F.length("text") % 2)
     d = sentences.collect_description(rows, ["paper_name"], ["gid"])
     return d.select("paper_name", F.md5("description").alias("digest"), F.length("description").cast("long").alias("n"))
 
@@ -432,7 +431,7 @@ def a16(spark, sf):
 
 
 _KS = [1, 3, 5, 10]
-S_METRICS = f"""{S_TOP10}, {S_LABEL_GROUPS},
+S_METRICS = f"""{S_TOP10}, {S_TRUTH},
 sizes AS (SELECT query_id, count(*) AS rel FROM truth GROUP BY 1),
 hits AS (SELECT t.query_id, t.rank, CAST(r.link IS NOT NULL AS INTEGER) AS hit FROM top10 t LEFT JOIN truth r ON r.query_id = t.query_id AND r.link = t.cand_id),
 running AS (SELECT *, sum(hit) OVER (PARTITION BY query_id ORDER BY rank) AS so_far FROM hits),
@@ -724,8 +723,9 @@ def w19(spark, sf):
 
 
 def _occurrences(spark, sf):
-    rows = page_links(spark, sf, html=True)
-    return rows.select("paper_id", F.lit(2).alias("form"), "pos", "url", "anchor", split_sentences(strip_tags(F.col("html"))).alias("window_sentences"))
+    """Links of every page with the first sentences of the page as their context."""
+    context = F.slice(split_sentences(strip_tags(F.col("html"))), 1, 6)
+    return page_links(spark, sf, window_sentences=context).withColumn("form", F.lit(2))
 
 
 S_CANDIDATES = f"""{S_KEYED},
@@ -797,11 +797,10 @@ def o05(spark, sf):
 k AS (SELECT *, coalesce(list_min(list_filter([{', '.join(f"CASE WHEN contains(lower(url), '{d}') THEN {i} END" for i, d in enumerate(rules.DOMAIN_ORDER))}], lambda r: r IS NOT NULL)), 999) AS rank FROM u WHERE NOT contains(lower(url), 'arxiv.org'))
 SELECT p.page_id AS paper_id, coalesce(k.url, '') AS link FROM pages p LEFT JOIN (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY paper_id ORDER BY rank, length(url), pos) = 1) k ON k.paper_id = p.page_id""")
 def o06(spark, sf):
-    rows = page_links(spark, sf)
-    text = F.concat(F.lit("see "), F.when(F.col("pos") % 4 == 0, "https://arxiv.org/abs/1").otherwise(F.col("url")), F.lit("). Next"))
-    per_page = rows.groupBy("paper_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", text.alias("t")))), lambda x: x["t"]).alias("texts"))
-    pages = table(spark, sf, "pages").select(F.col("page_id").alias("paper_id")).join(per_page, "paper_id", "left")
-    return pages.select("paper_id", urls.best_link(F.coalesce("texts", F.array().cast("array<string>"))).alias("link"))
+    def text(x):
+        return F.concat(F.lit("see "), F.when(x["pos"] % 4 == 0, "https://arxiv.org/abs/1").otherwise(x["url"]), F.lit("). Next"))
+
+    return pages_with_links(spark, sf).select("paper_id", urls.best_link(F.transform("links", text)).alias("link"))
 
 
 S_PREFERRED = f"""({s_any('host_path', rules.PREFERRED_HOSTS)} OR (contains(host_path, 'github.com') AND contains(host_path, '/releases'))
@@ -892,14 +891,16 @@ def u01(spark, sf):
 
 
 def _tex_links(spark, sf):
-    rows = page_links(spark, sf)
-    form = F.col("pos") % 3
-    text = (
-        F.when(form == 0, F.concat(F.lit("\\href{"), F.col("url"), F.lit("}{here}")))
-        .when(form == 1, F.concat(F.lit("\\url{"), F.col("url"), F.lit("}")))
-        .otherwise(F.concat(F.lit("at "), F.col("url"), F.lit(").")))
-    )
-    return rows.groupBy("paper_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", text.alias("t")))), lambda x: x["t"]), " \n ").alias("text"))
+    def text(x):
+        form = x["pos"] % 3
+        return (
+            F.when(form == 0, F.concat(F.lit("\\href{"), x["url"], F.lit("}{here}")))
+            .when(form == 1, F.concat(F.lit("\\url{"), x["url"], F.lit("}")))
+            .otherwise(F.concat(F.lit("at "), x["url"], F.lit(").")))
+        )
+
+    rows = pages_with_links(spark, sf).filter(F.size("links") > 0)
+    return rows.select("paper_id", F.array_join(F.transform("links", text), " \n ").alias("text"))
 
 
 @query("u02_link_forms", f"""WITH {S_PAGE_LINKS}, d AS (SELECT DISTINCT paper_id, trim(url, ').,;]') AS url FROM page_links)
@@ -922,11 +923,12 @@ def u03(spark, sf):
 
 @query("u04_url_union", f"WITH {S_PAGE_LINKS}, d AS (SELECT DISTINCT paper_id, url FROM page_links WHERE pos % 2 = 0 OR pos < 3) SELECT paper_id, count(*) AS n, md5(string_agg(url, ' ' ORDER BY url)) AS digest FROM d GROUP BY 1")
 def u04(spark, sf):
-    sets = page_links(spark, sf).groupBy("paper_id").agg(
-        F.collect_set(F.when(F.col("pos") % 2 == 0, F.col("url"))).alias("a"), F.collect_set(F.when(F.col("pos") < 3, F.col("url"))).alias("b")
-    )
-    both = F.array_sort(F.array_union("a", "b"))
-    return sets.select("paper_id", F.size(both).cast("long").alias("n"), F.md5(F.array_join(both, " ")).alias("digest"))
+    def chosen(test):
+        return F.transform(F.filter("links", test), lambda x: x["url"])
+
+    both = F.array_sort(F.array_union(chosen(lambda x: x["pos"] % 2 == 0), chosen(lambda x: x["pos"] < 3)))
+    rows = pages_with_links(spark, sf).filter(F.size("links") > 0)
+    return rows.select("paper_id", F.size(both).cast("long").alias("n"), F.md5(F.array_join(both, " ")).alias("digest"))
 
 
 @query("u05_lossless", f"""WITH {S_SHARDED}, lost AS (SELECT paper_name, section, pos, sha1(text) AS digest FROM sents WHERE paragraph_id % 50 = 0)

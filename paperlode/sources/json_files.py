@@ -32,22 +32,15 @@ def read_papers(spark: SparkSession, path: str, schema: str = schemas.PAPER) ->
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """Corpus items with their file and position in the file."""
+    """Corpus items with their file and position in the file.
+
+    ``global_sentence_ids`` orders them into the sentences of each paper.
+    """
     raw = spark.read.schema(schemas.CORPUS_FILE).option("multiLine", True).json(path)
     items = raw.select(_file().alias("file"), F.posexplode("data").alias("item_pos", "i"))
     return items.select("file", "item_pos", "i.*")
 
 
-def ordered_sentences(items: DataFrame) -> DataFrame:
-    """One ordered sentence array per paper, sorted by (section, paragraph_id, position).
-
-    A paper becomes one row here; use ``global_sentence_ids`` to keep rows.
-    """
-    rows = items.select("paper_name", "section", "paragraph_id", "item_pos", "sentences")
-    ordered = F.array_sort(F.collect_list(F.struct("section", "paragraph_id", "item_pos", "sentences")))
-    return rows.groupBy("paper_name").agg(F.flatten(F.transform(ordered, lambda x: x["sentences"])).alias("sentences"))
-
-
 def read_training_shards(spark: SparkSession, pattern: str, schema: str = schemas.GATE_SAMPLE) -> DataFrame:
     """Samples of all shards that match; a shard is an array of samples or ``{"data": [...]}``."""
     both = f"{schema}, data ARRAY<STRUCT<{_typed(schema)}>>"

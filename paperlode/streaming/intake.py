@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from paperlode import schemas
+from paperlode import rules, schemas
 from paperlode.config import FeedConfig
 from paperlode.functions.basic import not_blank
 from paperlode.functions.urls import norm_url
@@ -50,8 +50,10 @@ def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def create_state(spark: SparkSession, root: str) -> StateTables:
     """Empty tables of a new intake; an existing one is left as it is."""
     tables = StateTables(root)
-    for path, schema in ((tables.results, STAGED), (tables.ledger, schemas.LEDGER + ", ledger_day STRING")):
-        spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{path}/batch_id=-1")
+    start = spark.createDataFrame([], STAGED + ", ledger_day STRING")
+    start.drop("ledger_day").write.mode("ignore").parquet(f"{tables.results}/batch_id=-1")
+    fields = [f"`{c}`" for c in rules.LEDGER_FIELDS]
+    start.select(*fields, "ledger_day").write.mode("ignore").partitionBy("ledger_day").parquet(f"{tables.ledger}/batch_id=-1")
     return tables
 
 
@@ -98,12 +100,12 @@ def ledger(spark: SparkSession, tables: StateTables, before: int | None = None)
 
 def upsert_ledger(spark: SparkSession, tables: StateTables, records: DataFrame, batch_id: int) -> None:
     """Merge new records into the days they touch and write these days as a new version."""
-    fields = ["ledger_day", *[f"`{c}`" for c in ("Paper Link", "Dataset Link", "Dataset Description", "Timestamp")]]
+    fields = ["ledger_day", *[f"`{c}`" for c in rules.LEDGER_FIELDS]]
     fresh = records.select(*fields)
     days = fresh.select("ledger_day").distinct()
     existing = ledger(spark, tables, before=batch_id).join(days, "ledger_day", "left_semi").select(*fields)
     merged = merge_days(fresh, existing)
-    merged.write.mode("overwrite").parquet(f"{tables.ledger}/batch_id={batch_id}")
+    merged.write.mode("overwrite").partitionBy("ledger_day").parquet(f"{tables.ledger}/batch_id={batch_id}")
 
 
 def merge_days(fresh: DataFrame, existing: DataFrame) -> DataFrame:
