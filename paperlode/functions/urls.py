@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from paperlode import rules
-from paperlode.functions.basic import any_of, bind, blank_to_null, contains_any, ends_with_any, strip
+from paperlode.functions.basic import any_of, bind, blank_to_null, contains_any, ends_with_any, rstrip, strip
 
 _SCHEME = r"^[A-Za-z][A-Za-z0-9+.\-]*:"
 
@@ -197,15 +197,22 @@ def candidate_key(paper_link: Column, dataset_link: Column, link: Column | None
 # --- safe names --------------------------------------------------------------------------------
 
 
-def slug(c: Column) -> Column:
+def slug(c: Column, default: str = "model") -> Column:
     """Name usable as a folder: everything but letters, digits, dot, dash and underscore becomes ``_``."""
-    return F.regexp_replace(c, r"[^\p{L}\p{N}._-]", "_")
+    safe = F.btrim(F.regexp_replace(c, r"[^\p{L}\p{N}._-]", "_"), F.lit("_"))
+    return F.coalesce(F.nullif(safe, F.lit("")), F.lit(default))
 
 
 def safe_title(c: Column) -> Column:
+    """Title with every other character as ``_``."""
     return strip(F.regexp_replace(c, r"[^\p{L}\p{N} _-]", "_"))
 
 
+def safe_file_name(c: Column) -> Column:
+    """Title without the other characters."""
+    return rstrip(F.regexp_replace(c, r"[^\p{L}\p{N} _-]", ""))
+
+
 # --- links in text -----------------------------------------------------------------------------
 
 

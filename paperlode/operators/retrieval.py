@@ -59,17 +59,26 @@ def _matrix(vectors: pd.Series, unit: bool) -> bytes:
     return matrix.tobytes()
 
 
-def _packed(df: DataFrame, key: str, vector: str, size: int, unit: bool) -> DataFrame:
-    """Blocks of vectors, packed where they are read: one row per Arrow slice."""
+def _packed(df: DataFrame, key: str, vector: str, size: int, unit: bool, salts: int) -> DataFrame:
+    """Blocks of vectors, packed where they are read: one row per salt and slice of an Arrow batch.
+
+    The salt of a vector follows from its key, so a task that runs again puts it into the same place.
+    """
     key_type = df.schema[key].dataType.simpleString()
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for i in range(0, len(pdf), size):
-                part = pdf.iloc[i:i + size]
-                yield pd.DataFrame({"ids": [part[key].to_list()], "matrix": [_matrix(part[vector], unit)], "n": [len(part)]})
-
-    return df.select(key, vector).mapInPandas(pack, f"ids ARRAY<{key_type}>, matrix BINARY, n INT")
+            for salt, rows in pdf.groupby("salt"):
+                for i in range(0, len(rows), size):
+                    part = rows.iloc[i:i + size]
+                    yield pd.DataFrame({
+                        "ids": [part[key].to_list()], "matrix": [_matrix(part[vector], unit)], "n": [len(part)], "salt": [salt],
+                    })
+
+    salt = F.pmod(F.xxhash64(key), F.lit(salts)).cast("int")
+    return df.select(key, vector, salt.alias("salt")).mapInPandas(
+        pack, f"ids ARRAY<{key_type}>, matrix BINARY, n INT, salt INT"
+    )
 
 
 def _block_pairs(queries: DataFrame, cands: DataFrame, query: str, cand: str, vector: str, size: int, unit: bool = True) -> DataFrame:
@@ -83,7 +92,8 @@ def _block_pairs(queries: DataFrame, cands: DataFrame, query: str, cand: str, ve
     n, dim = queries.agg(F.count(F.lit(1)), F.max(F.size(vector))).first()
     groups = max(1, -(-n // size))
     small = n * (dim or 1) * 8 <= broadcast_limit(spark)
-    salts = 1 if small else int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    salts = 1 if small else max(1, -(-tasks // groups))
     key_type = queries.schema[query].dataType.simpleString()
 
     def pack_group(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -96,11 +106,11 @@ def _block_pairs(queries: DataFrame, cands: DataFrame, query: str, cand: str, ve
     left = grouped.groupBy("group").applyInPandas(
         pack_group, f"group INT, query_ids ARRAY<{key_type}>, query_matrix BINARY"
     )
-    right = _packed(cands, cand, vector, size, unit).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    copies = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
+    right = _packed(cands, cand, vector, size, unit, salts).withColumn("group", copies)
     if small:
         return right.join(F.broadcast(left), "group")
     left = left.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    right = right.withColumn("salt", F.pmod(F.xxhash64(F.col("ids")[0]), F.lit(salts)).cast("int"))
     return right.join(left, ["group", "salt"])
 
 

@@ -41,10 +41,10 @@ def yearly_counts(papers: DataFrame, first: int, last: int, passed: Column, year
     return years.join(counted, "year", "left").select("year", F.coalesce("n", F.lit(0)).alias("count"))
 
 
-def year_by_owner(papers: DataFrame, year: int, of: Column) -> DataFrame:
-    """Papers of one year per category and in total; the first category that lists an id owns it."""
-    rows = papers.withColumn("__year", of).filter(F.col("__year") == year)
-    owned = first_rows(rows, ["id"], [F.col("category_rank"), F.col("pos")])
+def year_by_owner(papers: DataFrame, year: int, of: Column, passed: Column) -> DataFrame:
+    """Papers of one year that pass the gate, per category and in total; the first category that lists an id owns it."""
+    rows = papers.filter(blank_to_null(F.col("id")).isNotNull() & (of == year))
+    owned = first_rows(rows, ["id"], [F.col("category_rank"), F.col("pos")]).filter(passed)
     rolled = owned.rollup("category").agg(F.grouping("category").alias("__all"), F.count(F.lit(1)).alias("count"))
     return rolled.select(F.when(F.col("__all") == 1, "TOTAL").otherwise(F.col("category")).alias("category"), "count")
 

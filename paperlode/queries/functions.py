@@ -892,9 +892,13 @@ def p15(spark, sf):
     return non_blank_sentences(table(spark, sf, "documents").select("doc_id", pieces.alias("sentences"))).select("doc_id", "pos", "text")
 
 
-@query("p16_safe_names", """SELECT page_id, regexp_replace(url, '[^\\pL\\pN._-]', '_', 'g') AS slug, trim(regexp_replace(url, '[^\\pL\\pN _-]', '_', 'g')) AS title FROM pages""")
+@query("p16_safe_names", """SELECT page_id, coalesce(nullif(trim(regexp_replace(url, '[^\\pL\\pN._-]', '_', 'g'), '_'), ''), 'model') AS slug,
+  trim(regexp_replace(url, '[^\\pL\\pN _-]', '_', 'g')) AS title, rtrim(regexp_replace(url, '[^\\pL\\pN _-]', '', 'g')) AS file_name FROM pages""")
 def p16(spark, sf):
-    return table(spark, sf, "pages").select("page_id", urls.slug(F.col("url")).alias("slug"), urls.safe_title(F.col("url")).alias("title"))
+    c = F.col("url")
+    return table(spark, sf, "pages").select(
+        "page_id", urls.slug(c).alias("slug"), urls.safe_title(c).alias("title"), urls.safe_file_name(c).alias("file_name")
+    )
 
 
 @query("p17_preview", "SELECT doc_id, CASE WHEN length(text) > 80 THEN left(text, 80) || '...' ELSE text END AS preview, regexp_replace(left(text, 120), '\\s+', ' ', 'g') AS log_line FROM documents")

@@ -1,5 +1,7 @@
 """Queries of the streaming intake (T) and the extension points (X)."""
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,20 +67,26 @@ _done: dict[tuple[str, str], intake.StateTables] = {}
 
 
 def _run(spark, sf) -> intake.StateTables:
-    """Land the entries file by file, then run the stream over all of them; once per session and input."""
+    """Land the entries part by part and let the stream take each part; once per session and input."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _done:
         root = new_work_dir(spark, "intake")
-        entries = _entries(spark, sf)
-        for i in range(LANDINGS):
-            entries.filter(F.col("landing") == i).coalesce(1).write.mode("append").parquet(root + "/landing")
         tables = intake.create_state(spark, root)
-        stream = intake.read_stream(spark, root + "/landing", ENTRY)
-        intake.start(stream, tables, _work, _CFG, order=("event_id",), available_now=True).awaitTermination()
+        for _ in _land(spark, sf, root):
+            stream = intake.read_stream(spark, root + "/landing", ENTRY)
+            intake.start(stream, tables, _work, _CFG, order=("event_id",), available_now=True).awaitTermination()
         _done[key] = tables
     return _done[key]
 
 
+def _land(spark, sf, root: str) -> Iterator[int]:
+    """Write one landing after the other."""
+    entries = _entries(spark, sf)
+    for i in range(LANDINGS):
+        entries.filter(F.col("landing") == i).write.mode("append").parquet(root + "/landing")
+        yield i
+
+
 S_INTAKE = f"""
 quarters AS (SELECT CAST(user_id AS VARCHAR) || '-' || strftime(ts, '%d') AS id, event_type AS category, ts AS updated, event_id, user_id, value, least((day(ts) - 1) // 8, {LANDINGS - 1}) AS q FROM events),
 landed AS (SELECT *, q AS landing FROM quarters UNION ALL SELECT *, q + 1 FROM quarters WHERE q + 1 < {LANDINGS}),
@@ -111,13 +119,10 @@ def t03(spark, sf):
 def t04(spark, sf):
     """Repeats of the look-back removed by the bounded state of the stream."""
     root = new_work_dir(spark, "repeats")
-    entries = _entries(spark, sf)
-    for i in range(LANDINGS):
-        entries.filter(F.col("landing") == i).coalesce(1).write.mode("append").parquet(root + "/landing")
-    unique = intake.without_late_repeats(intake.read_stream(spark, root + "/landing", ENTRY), 40)
-    unique.select("id", "updated").writeStream.format("parquet").option("path", root + "/out").option(
-        "checkpointLocation", root + "/checkpoint"
-    ).trigger(availableNow=True).start().awaitTermination()
+    for _ in _land(spark, sf, root):
+        unique = intake.without_late_repeats(intake.read_stream(spark, root + "/landing", ENTRY), 40)
+        writer = unique.select("id", "updated").writeStream.format("parquet").option("path", root + "/out")
+        writer.option("checkpointLocation", root + "/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("id STRING").parquet(root + "/out")
 
 

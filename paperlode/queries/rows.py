@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from paperlode.config import LinkConfig, PackConfig, WindowConfig
 from paperlode.functions import scoring, urls
-from paperlode.functions.text import count_tokens, latex_to_text, split_sentences, strip_tags
+from paperlode.functions.dates import year_of
+from paperlode.functions.text import count_tokens, has_latex, split_sentences, strip_tags
 from paperlode.operators import filters, ledger, links, quality, retrieval, sentences, splits, statistics, windows
 from paperlode.operators.ranks import row_numbers, top_rows
 from paperlode.plans.consolidation import consolidate
@@ -266,21 +267,15 @@ def _tex_papers(spark, sf):
     return table(spark, sf, "documents").select(F.concat(F.lit("cs."), F.col("lang")).alias("category"), body.alias("body"))
 
 
-def _has_latex():
-    from paperlode.functions.text import has_latex
-
-    return has_latex(F.col("body"))
-
-
 @query("a01_share_by_category", f"WITH {S_TEX_DOC} SELECT category, count(*) AS total, count(*) FILTER (hit) AS hits, round(100.0::DOUBLE * count(*) FILTER (hit) / count(*), 2) AS percent FROM tex GROUP BY category")
 def a01(spark, sf):
-    return statistics.share_by_category(_tex_papers(spark, sf), _has_latex())
+    return statistics.share_by_category(_tex_papers(spark, sf), has_latex(F.col("body")))
 
 
 @query("a02_share_with_total", f"""WITH {S_TEX_DOC} SELECT CASE WHEN grouping(category) = 1 THEN 'TOTAL' ELSE category END AS category, count(*) AS total, count(*) FILTER (hit) AS hits,
   round(100.0::DOUBLE * count(*) FILTER (hit) / count(*), 2) AS percent FROM tex GROUP BY ROLLUP (category)""")
 def a02(spark, sf):
-    return statistics.share_with_total(_tex_papers(spark, sf), _has_latex())
+    return statistics.share_with_total(_tex_papers(spark, sf), has_latex(F.col("body")))
 
 
 _ORDER = ["cs.en", "cs.de", "cs.fr", "cs.es"]
@@ -305,11 +300,9 @@ def a03(spark, sf):
 
 
 @query("a04_year_by_owner", f"""WITH {S_RANKED}, owned AS (SELECT * FROM ranked WHERE left(updated, 4) = '2020' QUALIFY row_number() OVER (PARTITION BY id ORDER BY category_rank, pos) = 1)
-SELECT CASE WHEN grouping(category) = 1 THEN 'TOTAL' ELSE category END AS category, count(*) AS count FROM owned GROUP BY ROLLUP (category)""")
+SELECT CASE WHEN grouping(category) = 1 THEN 'TOTAL' ELSE category END AS category, count(*) AS count FROM owned WHERE length(abstract) % 2 = 0 GROUP BY ROLLUP (category)""")
 def a04(spark, sf):
-    from paperlode.functions.dates import year_of
-
-    return statistics.year_by_owner(_ranked_papers(spark, sf), 2020, year_of(F.col("updated")))
+    return statistics.year_by_owner(_ranked_papers(spark, sf), 2020, year_of(F.col("updated")), F.length("abstract") % 2 == 0)
 
 
 @query("a05_category_by_year", """SELECT CAST(year(o_orderdate) AS INTEGER) AS year, count(*) FILTER (o_orderstatus = 'F') AS "F", count(*) FILTER (o_orderstatus = 'O') AS "O",

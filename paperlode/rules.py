@@ -167,7 +167,7 @@ SUMMARY_LINK_PATTERN = r"https?://[^\s)\]]+"
 
 # Signs of code, logs and prompts in a summary.
 LEAK_PATTERN = (
-    r"(?im)(\bEVIDENCE\b|\bOUTPUT\s*FORMAT\b|\{context\}|\bTool Response\b|\bAgent\b|\bAPI[-\s]|```|^>>|^#+\s)"
+    r"(?imd)(\bEVIDENCE\b|\bOUTPUT\s*FORMAT\b|\{context\}|\bTool Response\b|\bAgent\b|\bAPI[-\s]|```|^>>|^#+\s)"
 )
 ONE_LINE_JSON_PATTERN = r"^\s*[{\[][^\n]*[\]}]"
 CAPS_HEADER_PATTERN = r"^[A-Z ][A-Z0-9 \-:_]{12,}\n?\z"

@@ -57,9 +57,10 @@ def create_state(spark: SparkSession, root: str) -> StateTables:
     return tables
 
 
-def read_stream(spark: SparkSession, path: str, schema: str, files: int = 1, kind: str = "parquet") -> DataFrame:
-    """Landed files as a stream, oldest first."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).format(kind).load(path)
+def read_stream(spark: SparkSession, path: str, schema: str, files: int | None = None, kind: str = "parquet") -> DataFrame:
+    """Landed files as a stream, oldest first; ``files`` bounds one batch, else it takes all that is new."""
+    reader = spark.readStream.schema(schema).format(kind)
+    return (reader.option("maxFilesPerTrigger", files) if files else reader).load(path)
 
 
 def without_late_repeats(stream: DataFrame, days: int, time_column: str = "updated") -> DataFrame:

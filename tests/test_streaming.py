@@ -73,7 +73,7 @@ def test_stream_equals_batch(spark, tmp_path):
         part.coalesce(1).write.mode("append").parquet(landing)
     batch.filter("n < 50").coalesce(1).write.mode("append").parquet(landing)
     streamed = intake.create_state(spark, str(tmp_path / "stream"))
-    stream = intake.read_stream(spark, landing, SCHEMA)
+    stream = intake.read_stream(spark, landing, SCHEMA, files=1)
     intake.start(stream, streamed, _work, CFG, ("n",), available_now=True).awaitTermination()
     whole = intake.create_state(spark, str(tmp_path / "whole"))
     intake.process_batch(batch, 0, whole, _work, CFG, ("n",))
@@ -89,7 +89,7 @@ def test_late_repeats_are_dropped(spark, tmp_path):
     df = _batch(spark, ("x", "a", 1, 1), ("y", "a", 2, 1))
     df.write.mode("append").parquet(landing)
     df.write.mode("append").parquet(landing)
-    unique = intake.without_late_repeats(intake.read_stream(spark, landing, SCHEMA), 3)
+    unique = intake.without_late_repeats(intake.read_stream(spark, landing, SCHEMA, files=1), 3)
     out = str(tmp_path / "out")
     unique.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
     assert spark.read.schema(SCHEMA).parquet(out).count() == 2
