@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from paperlode.config import LinkConfig, PackConfig, WindowConfig
 from paperlode.functions import scoring, urls
 from paperlode.functions.dates import year_of
-from paperlode.functions.text import count_tokens, has_latex, split_sentences, strip_tags
+from paperlode.functions.text import LABEL_REQUEST, count_tokens, has_latex, split_sentences, strip_tags
 from paperlode.operators import filters, ledger, links, quality, retrieval, sentences, splits, statistics, windows
 from paperlode.operators.ranks import row_numbers, top_rows
 from paperlode.plans.consolidation import consolidate
@@ -570,20 +570,45 @@ def _token_rows(spark, sf):
     return rows.withColumn("tokens", count_tokens(F.col("text")))
 
 
-@query("w04_token_windows")
+def s_windows(training: bool) -> str:
+    """The same windows by recursion: steps of all positions first, then one walk per paper."""
+    positive = "ft IS NOT NULL AND ft < least(i + size, n)" if training else "FALSE"
+    return f"""RECURSIVE {S_SENTENCES},
+t AS (SELECT paper_name, gid, label, len(regexp_extract_all(text, '[\\pL\\pN_]+|[^\\pL\\pN_\\s]')) AS k FROM numbered),
+pos AS (SELECT paper_name, gid AS i, sum(k + 1) OVER w - (k + 1) AS p, sum(k) OVER w - k AS c, count(*) OVER (PARTITION BY paper_name) AS n,
+  min(CASE WHEN label = 1 THEN gid END) OVER (PARTITION BY paper_name ORDER BY gid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ft
+  FROM t WINDOW w AS (PARTITION BY paper_name ORDER BY gid ROWS UNBOUNDED PRECEDING)),
+ends AS (SELECT paper_name, i, p, c FROM pos UNION ALL SELECT paper_name, max(gid) + 1, sum(k + 1), sum(k) FROM t GROUP BY paper_name),
+sized AS (SELECT s.*, greatest(3, e.i - s.i) AS size FROM (SELECT *, p + {WindowConfig().max_tokens - 3} AS bound FROM pos) s ASOF JOIN ends e ON s.paper_name = e.paper_name AND s.bound > e.p),
+steps AS MATERIALIZED (SELECT *, {positive} AS pos, greatest(1, CASE WHEN {positive} THEN size // 3 ELSE size // 2 END) AS step FROM sized),
+walk AS (SELECT paper_name, CAST(0 AS BIGINT) AS i FROM (SELECT DISTINCT paper_name FROM t) UNION ALL
+  SELECT w.paper_name, CAST(w.i + s.step AS BIGINT) FROM walk w JOIN steps s ON s.paper_name = w.paper_name AND s.i = w.i WHERE w.i + s.step < s.n),
+spans AS (SELECT s.paper_name, s.i, CASE WHEN s.pos THEN greatest(s.i, ft - 2) ELSE s.i END AS a,
+  CASE WHEN s.pos THEN least(s.i + size, n, ft + 3) ELSE least(s.i + size, n) END AS b, s.pos FROM walk JOIN steps s USING (paper_name, i))
+SELECT s.paper_name, s.i AS window_id, CAST(a AS BIGINT) AS first, CAST(b - 1 AS BIGINT) AS last, CAST(y.c - x.c AS BIGINT) AS window_tokens, pos AS has_positive FROM spans s
+JOIN ends x ON x.paper_name = s.paper_name AND x.i = a JOIN ends y ON y.paper_name = s.paper_name AND y.i = b WHERE b - a >= 3"""
+
+
+@query("w04_token_windows", f"WITH {s_windows(False)}")
 def w04(spark, sf):
-    """Window starts follow from one another; checked by properties and a sequential fixture."""
     return windows.token_windows(_token_rows(spark, sf), WindowConfig())
 
 
-@query("w04_training_windows")
+@query("w04_training_windows", f"WITH {s_windows(True)}")
 def w04_training(spark, sf):
     return windows.token_windows(_token_rows(spark, sf), WindowConfig(), training=True)
 
 
-@query("w05_pivot_window")
+@query("w05_pivot_window", f"""WITH RECURSIVE d AS (SELECT doc_id, {s_sentences('text')} AS s FROM documents),
+q AS (SELECT doc_id, len(s) // 2 AS p, list_concat(list_append(s[1:len(s) // 2], '[URL_PIVOT] ' || doc_id), s[len(s) // 2 + 1:]) AS q FROM d),
+k AS (SELECT *, len(q) AS n, list_transform(q, lambda t: len(regexp_extract_all(t, '[\\pL\\pN_]+|[^\\pL\\pN_\\s]'))) AS k FROM q),
+c AS MATERIALIZED (SELECT doc_id, p, n, list_concat([0], list_transform(range(1, n + 1), lambda i: list_sum(k[1:i]))) AS c FROM k),
+walk AS (SELECT doc_id, CAST(greatest(0, p - 2) AS BIGINT) AS a, CAST(least(n, p + 3) AS BIGINT) AS b, TRUE AS moved FROM c UNION ALL
+  SELECT doc_id, a2, CASE WHEN b < n AND c[b + 2] - c[a2 + 1] + b - a2 <= 510 THEN b + 1 ELSE b END, a2 < a OR (b < n AND c[b + 2] - c[a2 + 1] + b - a2 <= 510) FROM (
+    SELECT doc_id, n, c, a, b, CASE WHEN a > 0 AND c[b + 1] - c[a] + b - a <= 510 THEN a - 1 ELSE a END AS a2 FROM walk JOIN c USING (doc_id) WHERE moved))
+SELECT doc_id, CAST(b - a AS INTEGER) AS n, md5(array_to_string(q[a + 1:b], '|')) AS digest FROM walk JOIN q USING (doc_id) WHERE NOT moved""")
 def w05(spark, sf):
-    """Windows around a link between the sentences of a document; checked on fixtures."""
+    """Windows around a link put between the sentences of a document."""
     s = split_sentences(F.col("text"))
     d = table(spark, sf, "documents").select("doc_id", s.alias("s")).withColumn("half", F.floor(F.size("s") / 2).cast("int"))
     d = d.select("doc_id", F.slice("s", 1, F.col("half")).alias("before"), F.slice("s", F.col("half") + 1, F.size("s")).alias("after"))
@@ -650,11 +675,24 @@ def w13(spark, sf):
     return sentences.chunk_sentences(rows, ["paper_name"], "gid", 100).groupBy("paper_name", "chunk").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("w14_character_packing")
+_PACK = PackConfig()
+S_PACK = f"""RECURSIVE {S_SENTENCES},
+t AS (SELECT paper_name, gid, least(length(text), {_PACK.cut}) + CASE WHEN length(text) > {_PACK.cut} THEN 3 ELSE 0 END + length(CAST(gid + 1 AS VARCHAR)) + 5 AS k FROM numbered),
+pos AS (SELECT paper_name, gid AS i, sum(k) OVER w AS upto, sum(k) OVER w - k AS before, count(*) OVER (PARTITION BY paper_name) AS n FROM t WINDOW w AS (PARTITION BY paper_name ORDER BY gid ROWS UNBOUNDED PRECEDING)),
+reach AS (SELECT paper_name, i, upto + length(CAST(i + 1 AS VARCHAR)) AS q FROM pos),
+sized AS (SELECT s.paper_name, s.i, s.n, coalesce(least(e.i - s.i + 1, {_PACK.max_items}), 0) AS taken FROM (
+  SELECT *, before + {_PACK.budget} - {len(LABEL_REQUEST) - len("{title}{first}{last}")} - length(paper_name) - length(CAST(i + 1 AS VARCHAR)) + 1 AS bound FROM pos) s
+  ASOF LEFT JOIN reach e ON s.paper_name = e.paper_name AND s.bound >= e.q),
+steps AS MATERIALIZED (SELECT paper_name, i, n, greatest(taken, 0) AS taken, greatest(taken, 1) AS step FROM sized),
+walk AS (SELECT paper_name, CAST(0 AS BIGINT) AS i FROM (SELECT DISTINCT paper_name FROM t) UNION ALL
+  SELECT w.paper_name, CAST(w.i + s.step AS BIGINT) FROM walk w JOIN steps s ON s.paper_name = w.paper_name AND s.i = w.i WHERE w.i + s.step < s.n)
+SELECT paper_name, i AS first, CAST(i + step - 1 AS BIGINT) AS last, CAST(CASE WHEN taken = 0 THEN {max(200, _PACK.budget // 8)} ELSE {_PACK.cut} END AS BIGINT) AS cut FROM walk JOIN steps USING (paper_name, i)"""
+
+
+@query("w14_character_packing", f"WITH {S_PACK}")
 def w14(spark, sf):
-    """Greedy requests; each start follows from the one before. Checked against a sequential fixture."""
     rows = sentences.global_sentence_ids(corpus_items(spark, sf)).withColumn("n_chars", F.length("text"))
-    return windows.pack_by_characters(rows, PackConfig())
+    return windows.pack_by_characters(rows, _PACK)
 
 
 @query("w15_equal_shards", f"WITH {S_SHARDED} SELECT paper_name AS paper, shard FROM placed")
@@ -663,9 +701,14 @@ def w15(spark, sf):
     return splits.equal_shards(seen, 3).select("paper", "shard")
 
 
-@query("w16_balanced_shards")
+@query("w16_balanced_shards", f"""WITH RECURSIVE sized AS (SELECT doc_id, CAST(len({s_sentences('text')}) AS BIGINT) AS size FROM documents),
+o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY size DESC, doc_id) AS rn FROM sized),
+g AS (SELECT CAST(0 AS BIGINT) AS rn, CAST(-1 AS BIGINT) AS paper, CAST(0 AS BIGINT) AS size, CAST(-1 AS INTEGER) AS shard, CAST(0 AS BIGINT) AS l0, CAST(0 AS BIGINT) AS l1, CAST(0 AS BIGINT) AS l2, CAST(0 AS BIGINT) AS l3 UNION ALL
+  SELECT rn, doc_id, size, s, l0 + CASE WHEN s = 0 THEN size ELSE 0 END, l1 + CASE WHEN s = 1 THEN size ELSE 0 END, l2 + CASE WHEN s = 2 THEN size ELSE 0 END, l3 + CASE WHEN s = 3 THEN size ELSE 0 END FROM (
+    SELECT o.rn, o.doc_id, o.size, l0, l1, l2, l3, CAST(CASE least(l0, l1, l2, l3) WHEN l0 THEN 0 WHEN l1 THEN 1 WHEN l2 THEN 2 ELSE 3 END AS INTEGER) AS s FROM g JOIN o ON o.rn = g.rn + 1))
+SELECT CAST(paper AS VARCHAR) AS paper, size, shard FROM g WHERE rn > 0""")
 def w16(spark, sf):
-    """Greedy by size; checked against the sequential greedy on a fixture."""
+    """Greedy by size, from the histogram of sizes; the SQL is the sequential greedy."""
     d = table(spark, sf, "documents")
     size = F.size(split_sentences(F.col("text"))).cast("long")
     rows = d.select(F.col("doc_id").cast("string").alias("paper"), F.col("doc_id").alias("first_pos"), size.alias("size"))
