@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from paperlode.functions.basic import not_blank, rstrip, strip
 from paperlode.functions.text import sections_of, split_sentences, title_of
-from paperlode.operators.ranks import last_seen, position_block, row_numbers, running_total
+from paperlode.operators.ranks import last_seen, position_block, running_total
 
 
 def corpus_items(texts: DataFrame, text: str = "text", name: str | None = None) -> DataFrame:
@@ -198,11 +198,6 @@ def chunk_sentences(rows: DataFrame, keys: list[str], index: str, size: int) ->
     return rows.withColumn("chunk", F.floor(F.col(index) / size).cast("long"))
 
 
-def number_rows(rows: DataFrame, keys: list[str], position: str, name: str = "gid") -> DataFrame:
-    """Gap-free index from a position column that may have gaps."""
-    return row_numbers(rows, keys, {"block": position_block(F.col(position))}, [F.col(position)], name)
-
-
 def section_asof(links: DataFrame, headings: DataFrame, keys: list[str]) -> DataFrame:
     """Heading at or before each link position (``pos``); empty before the first heading."""
     extra = [c for c in links.columns if c not in keys + ["pos"]]

@@ -5,7 +5,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperlode.operators.ranks import hash_block, hash_order, position_block, row_numbers, running_total
+from paperlode.operators.ranks import hash_block, hash_order, position_block, row_numbers
 
 
 def first_seen_papers(items: DataFrame, pos: str = "pos", sentences: Column | None = None) -> DataFrame:

@@ -174,9 +174,6 @@ doc_sents AS (
 
 # --- papers of documents -----------------------------------------------------------------------
 
-CATEGORIES = ["cs.en", "cs.de", "cs.fr", "cs.es"]
-
-
 def papers(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as paper entries with repeated ids across categories."""
     d = table(spark, sf, "documents")

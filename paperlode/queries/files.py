@@ -11,7 +11,6 @@ from paperlode.functions import dates
 from paperlode.functions.text import split_sentences
 from paperlode.operators import quality, retrieval, sentences
 from paperlode.queries.base import (
-    S_DOCUMENT_SENTENCES,
     S_PAPERS,
     papers,
     query,
@@ -250,6 +249,12 @@ def s13(spark, sf):
     return rows.select("doc_id", "s.section", "s.full_text")
 
 
+@query("s13_tagged_text", f"""SELECT doc_id, '[TITLE]' || source || '[/TITLE]' || chr(10) || '[SECTION]' || lang || '[/SECTION]' || chr(10) || text || chr(10) AS tagged FROM documents""")
+def s13_tagged(spark, sf):
+    section = F.array(F.struct(F.col("lang").alias("section"), F.col("text").alias("full_text")))
+    return table(spark, sf, "documents").select("doc_id", markup.tagged_text(F.col("source"), section).alias("tagged"))
+
+
 # --- archives ----------------------------------------------------------------------------------
 
 

@@ -4,11 +4,10 @@ from pyspark.sql import functions as F
 
 from paperlode import rules
 from paperlode.functions import dates, responses, scoring, text, urls, vectors
-from paperlode.functions.basic import not_blank, strip
+from paperlode.functions.basic import strip
 from paperlode.operators import filters, quality, retrieval
 from paperlode.operators.links import (
     append_block,
-    build_candidates,
     extract_links,
     fan_out_links,
     final_records,
@@ -16,15 +15,13 @@ from paperlode.operators.links import (
     score_candidates,
     with_url_keys,
 )
-from paperlode.operators.ledger import normalise_fields, prune_blank
+from paperlode.operators.ledger import normalise_fields, prune_blank, require_links
 from paperlode.operators.ranks import top_rows
 from paperlode.operators.sentences import description_gate, non_blank_sentences
 from paperlode.queries.base import (
     S_DOCUMENT_SENTENCES,
     S_PAGE_LINKS,
-    S_PAPERS,
     S_PREDICTIONS,
-    corpus_items,
     document_sentences,
     page_links,
     pages_with_links,
@@ -32,14 +29,12 @@ from paperlode.queries.base import (
     query,
     s_any,
     s_array,
-    s_round,
     s_sentences,
     s_squeeze,
     s_strip,
     s_strip_tags,
     table,
 )
-from paperlode.sources.markup import read_tei  # noqa: F401
 
 # --- SQL of the URL rules ----------------------------------------------------------------------
 
@@ -557,12 +552,12 @@ def f24(spark, sf):
 
 
 @query("f25_titled_lines", f"""WITH t AS (
-  SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda l: {s_strip('l')}), lambda l: l <> '') AS ls, source FROM documents)
-SELECT doc_id, source AS title, array_to_string(list_transform(ls, lambda l: '[TITLE]' || source || '[/TITLE]' || l), chr(10)) AS lines FROM t""")
+  SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda l: {s_strip('l')}), lambda l: l <> '') AS ls, source, text AS x FROM documents)
+SELECT doc_id, source AS title, length({s_strip('x')}) AS rest, array_to_string(list_transform(ls, lambda l: '[TITLE]' || source || '[/TITLE]' || l), chr(10)) AS lines FROM t""")
 def f25(spark, sf):
     tagged = F.concat(F.lit("[TITLE]"), F.col("source"), F.lit("[/TITLE]\n"), F.col("text"))
     return table(spark, sf, "documents").select(
-        "doc_id", text.title_of(tagged).alias("title"), F.array_join(text.titled_lines(tagged), "\n").alias("lines")
+        "doc_id", text.title_of(tagged).alias("title"), F.length(text.without_titles(tagged)).cast("long").alias("rest"), F.array_join(text.titled_lines(tagged), "\n").alias("lines")
     )
 
 
@@ -633,13 +628,16 @@ def f31(spark, sf):
 
 @query("f32_cosine", """WITH m AS (SELECT label, list(x ORDER BY i) AS c FROM (
     SELECT label, i, avg(v) AS x FROM (SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY label, i) GROUP BY label)
-SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), c), 6) AS cosine FROM embeddings JOIN m USING (label)""")
+SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), c), 6) AS cosine, 1.0::DOUBLE AS unit FROM embeddings JOIN m USING (label)""")
 def f32(spark, sf):
     e = table(spark, sf, "embeddings")
     place = e.select("label", F.posexplode("embedding").alias("i", "v")).groupBy("label", "i").agg(F.avg(F.col("v").cast("double")).alias("x"))
     # One value per dimension: the group is bounded by the vector length.
     center = place.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("c"))
-    return e.join(center, "label").select("vec_id", F.round(vectors.cosine(F.col("embedding"), F.col("c")), 6).alias("cosine"))
+    unit = vectors.norm(vectors.l2_normalize(F.transform("embedding", lambda x: x * 3)))
+    return e.join(center, "label").select(
+        "vec_id", F.round(vectors.cosine(F.col("embedding"), F.col("c")), 6).alias("cosine"), F.round(unit, 6).alias("unit")
+    )
 
 
 @query("f34_candidate_key", """SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'p' || doc_id WHEN 1 THEN 'd' || doc_id ELSE source END AS link FROM documents""")
@@ -730,10 +728,6 @@ def f40(spark, sf):
     return link_block(cands).select("paper_id", append_block(F.lit(" Base text "), F.col("block")).alias("description"))
 
 
-S_FINAL = S_SCORED + """,
-picked AS (SELECT * FROM scored)"""
-
-
 @query("f41_final_records", f"""WITH {S_SCORED}, dataset AS (SELECT * FROM scored WHERE {S_IS_DATASET}),
 said AS (SELECT *, CASE WHEN pos % 2 = 0 THEN {s_squeeze('anchor')} ELSE '' END AS why FROM dataset),
 own AS (SELECT *, CASE WHEN {s_looks_like_code('why')} OR length(why) < 18 THEN '' ELSE why END AS own FROM said)
@@ -776,9 +770,6 @@ def f42(spark, sf):
 
 # --- P: predicates and projections -------------------------------------------------------------
 
-S_CLUE = "1.0 / (1.0 + exp(-(-1.0 + {})))"
-
-
 @query("p01_gate", "SELECT event_id, round(least(value / 100, 1.0), 6) AS gate_prob FROM events WHERE least(value / 100, 1.0) >= 0.5")
 def p01(spark, sf):
     rows = table(spark, sf, "events").select("event_id", F.least(F.col("value") / 100, F.lit(1.0)).alias("gate_prob"))
@@ -842,6 +833,13 @@ def p09(spark, sf):
     return prune_blank(table(spark, sf, "documents").withColumn("Dataset Description", described)).select("doc_id")
 
 
+@query("p09_require_links", "SELECT doc_id FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 5 <> 0")
+def p09_links(spark, sf):
+    paper = F.when(F.col("doc_id") % 3 == 0, "\u3000").otherwise(F.col("source"))
+    link = F.when(F.col("doc_id") % 5 != 0, F.col("lang"))
+    return require_links(table(spark, sf, "documents").withColumns({"Paper Link": paper, "Dataset Link": link})).select("doc_id")
+
+
 @query("p10_allowed_hosts", f"WITH {S_PAGE_LINKS} SELECT paper_id, pos, url, anchor FROM page_links WHERE {s_any('lower(url)', rules.ALLOWED_HOSTS)}")
 def p10(spark, sf):
     return page_links(spark, sf).filter(urls.host_allowed(F.col("url")))

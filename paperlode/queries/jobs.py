@@ -15,17 +15,14 @@ from paperlode.plans import retrieval as experiments
 from paperlode.queries.base import (
     S_DOCUMENT_SENTENCES,
     S_PAGE_LINKS,
-    corpus_items,
     document_sentences,
     page_links,
     pages_with_links,
-    papers,
     query,
     s_array,
-    s_strip,
     table,
 )
-from paperlode.queries.rows import PDF, S_METRICS, S_TOP10, _records, _truth, _vectors
+from paperlode.queries.rows import PDF, S_METRICS, S_TOP10, _truth, _vectors
 from paperlode.session import new_work_dir
 from paperlode.streaming import intake
 
@@ -180,6 +177,13 @@ def x01(spark, sf):
     return hooks.score_papers(d, _scorer).select("doc_id", F.round("gate_prob", 6).alias("gate_prob"))
 
 
+@query("x01_batch_scorer", "SELECT item_id, round(length(text) / 1000.0::DOUBLE, 6) AS gate_prob FROM benchmark")
+def x01_batch(spark, sf):
+    """Any batch model as a scorer, called on slices of Arrow batches."""
+    scorer = hooks.batch_scorer(lambda texts: [len(t) / 1000 for t in texts], batch=7)
+    return table(spark, sf, "benchmark").select("item_id", F.round(scorer(F.col("text")), 6).alias("gate_prob"))
+
+
 @query("x02_gate_training")
 def x02(spark, sf):
     """Train on the labelled documents, score the held-out part."""

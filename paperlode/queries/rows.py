@@ -2,12 +2,13 @@
 
 from pyspark.sql import functions as F
 
-from paperlode.config import LinkConfig, PackConfig, WindowConfig
-from paperlode.functions import scoring, urls
+from paperlode import rules
+from paperlode.config import PackConfig, WindowConfig
+from paperlode.functions import urls
 from paperlode.functions.dates import year_of
 from paperlode.functions.text import LABEL_REQUEST, count_tokens, has_latex, split_sentences, strip_tags
 from paperlode.operators import filters, ledger, links, quality, retrieval, sentences, splits, statistics, windows
-from paperlode.operators.ranks import row_numbers, top_rows
+from paperlode.operators.ranks import top_rows
 from paperlode.plans.consolidation import consolidate
 from paperlode.plans.link_ranking import primary_links
 from paperlode.queries.base import (
@@ -25,7 +26,6 @@ from paperlode.queries.base import (
     query,
     s_any,
     s_array,
-    s_round,
     s_sentences,
     s_squeeze,
     s_strip,
@@ -35,14 +35,12 @@ from paperlode.queries.base import (
 from paperlode.queries.functions import (
     S_KEYED,
     S_LATEX_TEST,
-    S_SAID,
     S_SCORED,
     s_latex,
     s_latex_kept,
     s_norm,
     s_score,
 )
-from paperlode import rules
 
 PDF = "https://arxiv.org/pdf/"
 
@@ -627,6 +625,16 @@ def w06(spark, sf):
     return found.select("paper_name", "gid", F.array_join("ctx_before", "|").alias("before"), F.array_join("ctx_after", "|").alias("after"))
 
 
+@query("w06_array_context", f"""WITH d AS (SELECT doc_id, {s_sentences('text')} AS s FROM documents), h AS (SELECT *, len(s) // 2 AS i FROM d)
+SELECT doc_id, array_to_string(s[greatest(i - 1, 1):i], '|') AS before, array_to_string(s[i + 2:i + 3], '|') AS after FROM h""")
+def w06_array(spark, sf):
+    """Neighbours of the middle sentence of every document, without a shuffle."""
+    s = split_sentences(F.col("text"))
+    d = table(spark, sf, "documents").select("doc_id", s.alias("s")).withColumn("i", F.floor(F.size("s") / 2).cast("int"))
+    before, after = sentences.array_context(F.col("s"), F.col("i"))
+    return d.select("doc_id", F.array_join(before, "|").alias("before"), F.array_join(after, "|").alias("after"))
+
+
 def _scored(spark, sf):
     return links.score_candidates(links.with_url_keys(page_links(spark, sf)).withColumn("ctx", F.lit("")), reasons=False)
 

@@ -8,7 +8,6 @@ CORPUS_ITEM = (
 )
 CORPUS_FILE = f"data ARRAY<{CORPUS_ITEM}>"
 LEDGER = "`Paper Link` STRING, `Dataset Link` STRING, `Dataset Description` STRING, Timestamp STRING"
-LEDGER_NAMELESS = LEDGER + ", `` STRING"
 PARTIAL = (
     "arxiv_id STRING, paper_link_pdf STRING, dataset_description STRING, abstract STRING, "
     "updated STRING, published STRING"
