@@ -23,8 +23,8 @@ def hash_order(seed: str, *cols: Column) -> Column:
 
 
 def hash_block(h: Column) -> Column:
-    """Coarse value of a hash order key: 4096 even blocks."""
-    return F.substring(h, 1, 3)
+    """Coarse value of a hash order key: 65536 even blocks."""
+    return F.substring(h, 1, 4)
 
 
 def _keyed(df: DataFrame, keys: list[str], coarse: dict[str, Column]) -> tuple[DataFrame, list[str], list[str]]:

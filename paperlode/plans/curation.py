@@ -39,7 +39,8 @@ def label_sentences(
     """
     numbered = global_sentence_ids(items).withColumn("tokens", count_tokens(F.col("text")))
     tokens = staged(numbered, "sentences")
-    windows = token_windows(tokens, cfg)
+    longest = tokens.agg(F.max("gid")).first()[0] or 0
+    windows = token_windows(tokens, cfg, max_index=longest)
     rows = tokens.drop("tokens")
     members = window_members(windows).join(rows.select("paper_name", "gid", "text"), ["paper_name", "gid"])
     tagged = tag_windows(members, scorer, threshold)

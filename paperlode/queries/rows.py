@@ -62,18 +62,18 @@ def j02(spark, sf):
 
 
 @query("j03_write_back", f"""WITH {S_SENTENCES}
-SELECT paper_name, gid, CAST(CASE WHEN length(text) % 3 = 0 THEN 1 ELSE label END AS INTEGER) AS label FROM numbered""")
+SELECT paper_name, gid, CAST(CASE WHEN contains(text, 'on') THEN 1 ELSE label END AS INTEGER) AS label FROM numbered""")
 def j03(spark, sf):
     rows = sentences.global_sentence_ids(corpus_items(spark, sf))
-    found = rows.filter(F.length("text") % 3 == 0).select("paper_name", "gid", F.lit(1).alias("label"))
+    found = rows.filter(F.col("text").contains("on")).select("paper_name", "gid", F.lit(1).alias("label"))
     return sentences.apply_predictions(rows, found, ["paper_name", "gid"]).select("paper_name", "gid", "label")
 
 
 @query("j04_label_map", f"""WITH {S_DOCUMENT_SENTENCES}
-SELECT paper_name, gid, CAST(CASE WHEN gid % 2 = 0 THEN length(text) % 2 ELSE 0 END AS INTEGER) AS label FROM doc_sents""")
+SELECT paper_name, gid, CAST(CASE WHEN contains(text, 'an') THEN length(text) % 2 ELSE 0 END AS INTEGER) AS label FROM doc_sents""")
 def j04(spark, sf):
     rows = document_sentences(spark, sf).withColumn("label", F.lit(0))
-    found = rows.filter("gid % 2 = 0").select("paper_name", "gid", (F.length("text") % 2).alias("label"))
+    found = rows.filter(F.col("text").contains("an")).select("paper_name", "gid", (F.length("text") % 2).alias("label"))
     return sentences.apply_label_map(rows, found).select("paper_name", "gid", "label")
 
 
@@ -192,11 +192,11 @@ def j09(spark, sf):
     return filters.align_responses(requests, answers).select("batch_id", "idx", "url", "label")
 
 
-@query("j10_section_asof", """WITH rows AS (SELECT l_orderkey AS file, l_linenumber * 10 AS pos, l_partkey, l_linenumber % 2 = 1 AS head FROM lineitem)
+@query("j10_section_asof", """WITH rows AS (SELECT l_orderkey AS file, l_linenumber * 10 AS pos, l_partkey, l_returnflag = 'N' AS head FROM lineitem)
 SELECT a.file, a.pos, a.l_partkey AS part, coalesce((SELECT arg_max('s' || b.pos, b.pos) FROM rows b WHERE b.file = a.file AND b.head AND b.pos <= a.pos), '') AS section FROM rows a WHERE NOT a.head""")
 def j10(spark, sf):
     rows = table(spark, sf, "lineitem").select(
-        F.col("l_orderkey").alias("file"), (F.col("l_linenumber") * 10).alias("pos"), F.col("l_partkey").alias("part"), (F.col("l_linenumber") % 2 == 1).alias("head")
+        F.col("l_orderkey").alias("file"), (F.col("l_linenumber") * 10).alias("pos"), F.col("l_partkey").alias("part"), (F.col("l_returnflag") == "N").alias("head")
     )
     heads = rows.filter("head").select("file", "pos", F.concat(F.lit("s"), F.col("pos").cast("string")).alias("section"))
     return sentences.section_asof(rows.filter("not head").select("file", "pos", "part"), heads, ["file"])
@@ -221,12 +221,12 @@ def j11_line(spark, sf):
 
 
 @query("j12_validated_picks", f"""WITH {S_KEYED}
-SELECT paper_id, upper(url) || '/' AS url FROM keyed WHERE pos % 2 = 0 AND NOT contains(url, '?') AND NOT contains(url, '.zip')""")
+SELECT paper_id, replace(url, 'https:', 'HTTP:') || '/' AS url FROM keyed WHERE contains(anchor, 'dataset') AND NOT contains(url, '?') AND NOT contains(url, '.zip')""")
 def j12(spark, sf):
     rows = page_links(spark, sf)
     plain = ~F.col("url").contains("?") & ~F.col("url").contains(".zip")
-    picks = rows.filter("pos % 2 = 0").select(
-        "paper_id", F.when(plain, F.concat(F.upper("url"), F.lit("/"))).otherwise(F.concat(F.lit("https://none.example/"), F.col("pos").cast("string"))).alias("url")
+    picks = rows.filter(F.col("anchor").contains("dataset")).select(
+        "paper_id", F.when(plain, F.concat(F.replace("url", F.lit("https:"), F.lit("HTTP:")), F.lit("/"))).otherwise(F.concat(F.lit("https://none.example/"), F.col("pos").cast("string"))).alias("url")
     )
     return links.keep_listed(picks, rows).select("paper_id", "url")
 
@@ -321,11 +321,11 @@ def _window_probs(spark, sf):
     rows = document_sentences(spark, sf)
     near = rows.select("paper_name", F.explode(F.sequence(F.greatest(F.lit(0), F.col("gid") - 2), F.col("gid"))).alias("window_id"), "gid", "text")
     p = (F.length("text") + F.col("window_id") * 7) % 100 / 100.0
-    return near.filter("gid % 9 <> 8").select("paper_name", "window_id", "gid", p.alias("prob"), (p >= 0.5).cast("int").alias("label"))
+    return near.filter(F.length("text") > 12).select("paper_name", "window_id", "gid", p.alias("prob"), (p >= 0.5).cast("int").alias("label"))
 
 
 S_WINDOW_PROBS = S_DOCUMENT_SENTENCES + """,
-near AS (SELECT paper_name, gid, text, unnest(range(greatest(0, gid - 2), gid + 1)) AS window_id FROM doc_sents WHERE gid % 9 <> 8),
+near AS (SELECT paper_name, gid, text, unnest(range(greatest(0, gid - 2), gid + 1)) AS window_id FROM doc_sents WHERE length(text) > 12),
 probs AS (SELECT paper_name, gid, window_id, CAST((length(text) + window_id * 7) % 100 AS DOUBLE) / 100.0::DOUBLE AS prob FROM near)"""
 
 
@@ -895,13 +895,13 @@ def o09(spark, sf):
 
 
 @query("o09_primary_link_hybrid", f"""WITH {S_SCORED}, {s_picks('scored')},
-ext AS (SELECT paper_id, url, score FROM scored WHERE pos % 3 = 1 QUALIFY row_number() OVER (PARTITION BY paper_id ORDER BY pos DESC) = 1)
+ext AS (SELECT paper_id, url, score FROM scored WHERE contains(anchor, 'code') QUALIFY row_number() OVER (PARTITION BY paper_id ORDER BY pos DESC) = 1)
 SELECT l.paper_id, CASE WHEN p.url IS NOT NULL OR r.url IS NOT NULL THEN 'rule' WHEN e.url IS NOT NULL THEN 'llm' ELSE 'fallback-top1' END AS picked_by,
   coalesce(p.url, r.url, e.url, l.url) AS url, coalesce(p.score, r.score, e.score, l.score) AS score
 FROM leader l LEFT JOIN preferred p USING (paper_id) LEFT JOIN ruled r USING (paper_id) LEFT JOIN ext e USING (paper_id)""")
 def o09_hybrid(spark, sf):
     cands = _scored(spark, sf)
-    external = cands.filter("pos % 3 = 1").select("paper_id", "url", F.lit("said so").alias("why"), (F.col("pos") / 100).alias("confidence"))
+    external = cands.filter(F.col("anchor").contains("code")).select("paper_id", "url", F.lit("said so").alias("why"), (F.col("pos") / 100).alias("confidence"))
     return links.resolve_primary(cands, links.keep_listed(external, cands)).select("paper_id", "picked_by", "url", "score")
 
 
@@ -965,23 +965,23 @@ def u03(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", F.array_join(F.array_sort(found), "|").alias("links"))
 
 
-@query("u04_url_union", f"WITH {S_PAGE_LINKS}, d AS (SELECT DISTINCT paper_id, url FROM page_links WHERE pos % 2 = 0 OR pos < 3) SELECT paper_id, count(*) AS n, md5(string_agg(url, ' ' ORDER BY url)) AS digest FROM d GROUP BY 1")
+@query("u04_url_union", f"WITH {S_PAGE_LINKS}, d AS (SELECT DISTINCT paper_id, url FROM page_links WHERE contains(anchor, 'dataset') OR contains(url, 'github')) SELECT paper_id, count(*) AS n, md5(string_agg(url, ' ' ORDER BY url)) AS digest FROM d GROUP BY 1")
 def u04(spark, sf):
     def chosen(test):
         return F.transform(F.filter("links", test), lambda x: x["url"])
 
-    both = F.array_sort(F.array_union(chosen(lambda x: x["pos"] % 2 == 0), chosen(lambda x: x["pos"] < 3)))
-    rows = pages_with_links(spark, sf).filter(F.size("links") > 0)
+    both = F.array_sort(F.array_union(chosen(lambda x: x["anchor"].contains("dataset")), chosen(lambda x: x["url"].contains("github"))))
+    rows = pages_with_links(spark, sf).filter(F.size(both) > 0)
     return rows.select("paper_id", F.size(both).cast("long").alias("n"), F.md5(F.array_join(both, " ")).alias("digest"))
 
 
-@query("u05_lossless", f"""WITH {S_SHARDED}, lost AS (SELECT paper_name, section, pos, sha1(text) AS digest FROM sents WHERE paragraph_id % 50 = 0)
+@query("u05_lossless", f"""WITH {S_SHARDED}, lost AS (SELECT paper_name, section, pos, sha1(text) AS digest FROM sents WHERE length(text) > 200)
 SELECT paper_name, section, pos, digest, count(*) AS difference FROM lost GROUP BY 1, 2, 3, 4""")
 def u05(spark, sf):
-    """Shards against the original; every 50th paragraph is left out on purpose and must be reported."""
+    """Shards against the original; long sentences are left out of the shards on purpose and must be reported."""
     keys = ["paper_name", "section", "pos"]
     original = sentences.explode_sentences(corpus_items(spark, sf)).withColumn("digest", F.sha1("text"))
-    shards = sentences.explode_sentences(_sharded(spark, sf)).filter("paragraph_id % 50 <> 0").withColumn("digest", F.sha1("text"))
+    shards = sentences.explode_sentences(_sharded(spark, sf)).filter(F.length("text") <= 200).withColumn("digest", F.sha1("text"))
     return splits.multiset_difference(original, shards, [*keys, "digest"])
 
 
