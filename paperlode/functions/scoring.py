@@ -57,17 +57,22 @@ def link_score_parts(norm: Column, hp: Column, text: Column, whole_words: bool =
     return parts
 
 
+def total_points(parts: list[tuple[str, Column]]) -> Column:
+    return reduce(lambda a, b: a + b, [F.coalesce(p, F.lit(0)) for _, p in parts]).cast("int")
+
+
+def named_points(parts: list[tuple[str, Column]]) -> Column:
+    """"reason:points" of the rules that apply; a rule that does not is null and drops out."""
+    named = [F.concat(F.lit(name + ":"), p.cast("string")) for name, p in parts]
+    return F.filter(F.array(*named), lambda r: r.isNotNull())
+
+
 def link_score(norm: Column, hp: Column, text: Column, whole_words: bool = False) -> Column:
-    points = [F.coalesce(p, F.lit(0)) for _, p in link_score_parts(norm, hp, text, whole_words)]
-    return reduce(lambda a, b: a + b, points).cast("int")
+    return total_points(link_score_parts(norm, hp, text, whole_words))
 
 
 def link_reasons(norm: Column, hp: Column, text: Column, whole_words: bool = False) -> Column:
-    named = [
-        F.when(p.isNotNull(), F.concat(F.lit(name + ":"), p.cast("string")))
-        for name, p in link_score_parts(norm, hp, text, whole_words)
-    ]
-    return F.filter(F.array(*named), lambda r: r.isNotNull())
+    return named_points(link_score_parts(norm, hp, text, whole_words))
 
 
 def basic_link_score_parts(norm: Column, hp: Column, text: Column) -> list[tuple[str, Column]]:
@@ -85,8 +90,7 @@ def basic_link_score_parts(norm: Column, hp: Column, text: Column) -> list[tuple
 
 
 def basic_link_score(norm: Column, hp: Column, text: Column) -> Column:
-    points = [F.coalesce(p, F.lit(0)) for _, p in basic_link_score_parts(norm, hp, text)]
-    return reduce(lambda a, b: a + b, points).cast("int")
+    return total_points(basic_link_score_parts(norm, hp, text))
 
 
 def basic_link_reasons(norm: Column, hp: Column, text: Column) -> Column:

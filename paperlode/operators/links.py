@@ -123,11 +123,11 @@ def score_candidates(cands: DataFrame, whole_words: bool = False, reasons: bool
     """Add ``score`` (and ``reasons``) to candidates that have norm_url, host_path, anchor and ctx."""
     said = F.lower(F.concat_ws(" ", F.coalesce("anchor", F.lit("")), F.coalesce("ctx", F.lit(""))))
     base = cands.withColumn("__said", said)
-    args = (F.col("norm_url"), F.col("host_path"), F.col("__said"))
-    scored = base.withColumn("score", scoring.link_score(*args, whole_words=whole_words))
+    parts = scoring.link_score_parts(F.col("norm_url"), F.col("host_path"), F.col("__said"), whole_words)
+    found = {"score": scoring.total_points(parts)}
     if reasons:
-        scored = scored.withColumn("reasons", scoring.link_reasons(*args, whole_words=whole_words))
-    return scored.drop("__said")
+        found["reasons"] = scoring.named_points(parts)
+    return base.withColumns(found).drop("__said")
 
 
 def keep_labelled(cands: DataFrame, labelled: DataFrame) -> DataFrame:
