@@ -52,44 +52,52 @@ def balanced_shards(papers: DataFrame, k: int) -> DataFrame:
 
     @F.pandas_udf("int")
     def place(sizes: pd.Series, loads: pd.Series, ranks: pd.Series) -> pd.Series:
-        return pd.Series([shard_of(np.asarray(b), int(s), int(r)) for s, b, r in zip(sizes, loads, ranks)], dtype="int32")
+        return pd.Series(shards_of(np.stack(loads.to_numpy()), sizes.to_numpy(), ranks.to_numpy()), dtype="int32")
 
     # k loads per distinct size: the histogram side stays small.
     return ranked.join(before, "size").withColumn("shard", place("size", "loads", "__rank")).drop("loads", "__rank")
 
 
+def _levels(loads: np.ndarray, sizes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per row: the highest load level below which all items are among the first ``n``, and their counts.
+
+    An equal item goes to the lowest load in front of it, so the first ``n`` items are the ``n`` smallest
+    (load, number) pairs. The level is found by bisection for all rows at once.
+    """
+    step = sizes[:, None]
+
+    def below(level: np.ndarray) -> np.ndarray:
+        return np.maximum(0, -(-(level[:, None] - loads) // step))
+
+    low, high = loads.min(axis=1), loads.max(axis=1) + sizes * (n // loads.shape[1] + 1)
+    while (low < high).any():
+        middle = (low + high + 1) // 2
+        fits = below(middle).sum(axis=1) <= n
+        low, high = np.where(fits, middle, low), np.where(fits, high, middle - 1)
+    return low, below(low)
+
+
 def shard_counts(loads: np.ndarray, size: int, n: int) -> np.ndarray:
     """How many of ``n`` equal items each shard takes when each goes to the least loaded one."""
-    k = len(loads)
-    if n == 0 or size == 0:
-        counts = np.zeros(k, dtype=np.int64)
+    counts = np.zeros(len(loads), dtype=np.int64)
+    if size == 0:
         counts[int(np.argmin(loads))] = n  # items of size 0 change no load
         return counts
-    # The level up to which whole rounds fill, by bisection; then single items in (load, number) order.
-    low, high = int(loads.min()), int(loads.max()) + size * (n // k + 1)
-
-    def below(level: int) -> np.ndarray:
-        """Items a shard takes while its load is below ``level``."""
-        return np.maximum(0, -(-(level - loads) // size))
-
-    while low < high:
-        middle = (low + high + 1) // 2
-        if below(middle).sum() <= n:
-            low = middle
-        else:
-            high = middle - 1
-    counts = below(low)
-    rest = n - int(counts.sum())
-    now = loads + counts * size
-    for i in np.lexsort((np.arange(k), now))[:rest]:
+    level, below = _levels(loads[None, :], np.array([size]), np.array([n]))
+    counts = below[0]
+    # The rest goes one each to the shards that stand at the level, in their order.
+    for i in np.flatnonzero(loads + counts * size == level[0])[: n - int(counts.sum())]:
         counts[i] += 1
     return counts
 
 
-def shard_of(loads: np.ndarray, size: int, rank: int) -> int:
-    """Shard of the item with this rank among equal items."""
-    now = loads + size * shard_counts(loads, size, rank)
-    return int(np.argmin(now))
+def shards_of(loads: np.ndarray, sizes: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """Shard of each item from the loads in front of its size and its rank among equal items."""
+    level, counts = _levels(loads, np.maximum(sizes, 1), ranks)
+    at_level = loads + counts * sizes[:, None] == level[:, None]
+    wanted = (ranks - counts.sum(axis=1))[:, None]
+    shard = np.argmax(at_level & (np.cumsum(at_level, axis=1) - 1 == wanted), axis=1)
+    return np.where(sizes == 0, np.argmin(loads, axis=1), shard)
 
 
 def adjust_by_papers(papers: DataFrame, seed: str = "42", parts: float = 12.0) -> DataFrame:

@@ -41,6 +41,7 @@ from paperlode.queries.functions import (
     s_norm,
     s_score,
 )
+from paperlode.session import staged
 
 PDF = "https://arxiv.org/pdf/"
 
@@ -720,7 +721,7 @@ def w16(spark, sf):
     d = table(spark, sf, "documents")
     size = F.size(split_sentences(F.col("text"))).cast("long")
     rows = d.select(F.col("doc_id").cast("string").alias("paper"), F.col("doc_id").alias("first_pos"), size.alias("size"))
-    return splits.balanced_shards(rows, 4).select("paper", "size", "shard")
+    return splits.balanced_shards(staged(rows, "sizes"), 4).select("paper", "size", "shard")
 
 
 def _split_papers(spark, sf):

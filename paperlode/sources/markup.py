@@ -103,7 +103,7 @@ def day_count(page: Column, heading: str) -> Column:
     block = F.get(named, 0)
     said = F.regexp_extract(block["head"], r"(?i)showing.*?(\d+)\s+entries", 1).try_cast("int")
     first_list = F.regexp_extract(block["body"], r"(?is)<dl[^>]*>(.*?)(?:</dl>|\z)", 1)
-    listed = F.size(F.regexp_extract_all(first_list, F.lit(r"(?i)<dt[\s>]"), 0))
+    listed = F.regexp_count(first_list, F.lit(r"(?i)<dt[\s>]"))
     return F.when(block.isNull(), 0).otherwise(F.coalesce(said, listed, F.lit(0)))
 
 
