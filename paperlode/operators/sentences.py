@@ -163,13 +163,21 @@ def collect_description(
     """Positive sentences of each paper in order, joined to one description.
 
     Only positive sentences enter the shuffled lists. Papers without one give an empty description.
-    The older form looks at the first section only.
+    A cap is applied before the lists are built if one numeric column gives the order. The older form
+    looks at the first section only.
     """
     rows = sentences
     if first_section_only:
         head = rows.groupBy(*keys).agg(F.min(F.struct("section", "paragraph_id")).alias("__first"))
         rows = rows.join(head, keys).filter(F.struct("section", "paragraph_id") == F.col("__first"))
-    chosen = F.when((F.col("label") == 1) & not_blank(F.col("text")), F.struct(*order, strip(F.col("text")).alias("text")))
+    positive = (F.col("label") == 1) & not_blank(F.col("text"))
+    if max_chars and len(order) == 1:
+        # Sentences that begin behind the cut cannot show, so a long paper sends only its first ones.
+        rows = rows.withColumn("__size", F.when(positive, F.length(strip(F.col("text"))) + 1).otherwise(0))
+        place = F.col(order[0])
+        rows = running_total(rows, keys, {"block": position_block(place, 4096)}, [place], F.col("__size"), "__start")
+        positive = positive & (F.col("__start") <= max_chars + 1)
+    chosen = F.when(positive, F.struct(*order, strip(F.col("text")).alias("text")))
     found = F.transform(F.array_sort(F.collect_list(chosen)), lambda s: s["text"])
     return rows.groupBy(*keys).agg(cut_description(F.array_join(found, " "), max_chars).alias("description"))
 

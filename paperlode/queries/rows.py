@@ -358,6 +358,14 @@ def a09_cut(spark, sf):
     return table(spark, sf, "documents").select("doc_id", sentences.join_positive(labelled, 2000).alias("description"))
 
 
+@query("a09_description_capped", f"""WITH {S_SENTENCES}, d AS (SELECT paper_name, coalesce(string_agg(text, ' ' ORDER BY gid) FILTER (label = 1), '') AS t FROM numbered GROUP BY 1)
+SELECT paper_name, CASE WHEN length(t) > 2000 THEN rtrim(left(t, 2000)) || ' ...' ELSE t END AS description FROM d""")
+def a09_capped(spark, sf):
+    """Papers of any length: only sentences in front of the cap are brought together."""
+    rows = sentences.global_sentence_ids(corpus_items(spark, sf))
+    return sentences.collect_description(rows, ["paper_name"], ["gid"], max_chars=2000)
+
+
 S_COUNTS = """c AS (SELECT count(*) AS n, count(*) FILTER (predicted_label = 1 AND true_label = 1) AS tp, count(*) FILTER (predicted_label = 1 AND true_label = 0) AS fp,
   count(*) FILTER (predicted_label = 0 AND true_label = 1) AS fn, count(*) FILTER (predicted_label = 0 AND true_label = 0) AS tn FROM preds WHERE true_label <> -100)"""
 

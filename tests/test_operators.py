@@ -199,6 +199,30 @@ def test_description(spark):
     assert _pairs(cut, "paper_name", "description") == [("p", "a ..."), ("q", "")]
 
 
+def test_description_cap_at_every_length(spark):
+    texts = ["ab", " cde ", "", "f", "ghij k"]
+    rows = spark.createDataFrame([("p", i * 3000, t, 1) for i, t in enumerate(texts)], "paper_name string, gid long, text string, label int")
+    whole = " ".join(t.strip() for t in texts if t.strip())
+    for cap in range(1, len(whole) + 2):
+        got = sentences.collect_description(rows, ["paper_name"], ["gid"], max_chars=cap).first()["description"]
+        assert got == (whole[:cap].rstrip() + " ..." if len(whole) > cap else whole), cap
+
+
+def test_description_of_first_section(spark):
+    rows = spark.createDataFrame(
+        [("p", "a", 1, 0, "x", 1), ("p", "a", 1, 1, "y", 0), ("p", "a", 2, 2, "z", 1), ("p", "b", 1, 3, "w", 1)],
+        "paper_name string, section string, paragraph_id int, gid long, text string, label int",
+    )
+    got = sentences.collect_description(rows, ["paper_name"], ["gid"], first_section_only=True)
+    assert _pairs(got, "paper_name", "description") == [("p", "x")]
+
+
+def test_fan_out(spark):
+    df = spark.createDataFrame([("p", ["b", "a", "b", ""]), ("q", [])], "id string, links array<string>")
+    assert _pairs(links.fan_out_links(df), "id", "link") == [("p", "a"), ("p", "b"), ("q", "")]
+    assert _pairs(links.fan_out_links(df, keep_empty=False), "id", "link") == [("p", "a"), ("p", "b")]
+
+
 def test_sections_and_positions(spark):
     links_df = spark.createDataFrame([("f", 5, "a"), ("f", 25, "b"), ("f", 40, "c")], "file string, pos long, url string")
     heads = spark.createDataFrame([("f", 10, "One"), ("f", 40, "Two")], "file string, pos long, section string")
