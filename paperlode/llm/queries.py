@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperlode.llm import decontaminate, suffix_dedup, window_dedup
+from paperlode.llm import decontaminate, near_dedup, suffix_dedup, window_dedup
 from paperlode.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,29 @@ FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return decontaminate.digests(found)
+
+
+_LOWER_WORDS = f"coalesce(regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+'), [])"
+
+OP6_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_LOWER_WORDS} AS ws FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + least(5, len(ws)) - 1], ' ') AS s
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 5, 0) + 2)) AS i FROM d WHERE len(ws) > 0)),
+size AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh AS a JOIN sh AS b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (
+  SELECT a, b FROM common JOIN size AS x ON x.doc_id = a JOIN size AS y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach(doc_id, other) AS (SELECT a, b FROM edge UNION SELECT r.doc_id, e.b FROM reach AS r JOIN edge AS e ON e.a = r.other),
+low AS (SELECT doc_id, min(other) AS m FROM reach GROUP BY doc_id),
+out AS (
+  SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, CAST(least(d.doc_id, coalesce(m, d.doc_id)) AS BIGINT) AS component_id
+  FROM d LEFT JOIN size USING (doc_id) LEFT JOIN low USING (doc_id))
+SELECT *, doc_id = component_id AS kept FROM out
+"""
+
+
+@query("op6_similarity_sketch", OP6_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.digests(near_dedup.near_duplicates(table(spark, sf_dir, "documents")))
