@@ -2,9 +2,10 @@
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from paperlode.llm import decontaminate, near_dedup, suffix_dedup, window_dedup
+from paperlode.llm import decontaminate, near_dedup, suffix_dedup, token_store, window_dedup
 from paperlode.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +102,10 @@ SELECT *, doc_id = component_id AS kept FROM out
 @query("op6_similarity_sketch", OP6_SQL)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.digests(near_dedup.near_duplicates(table(spark, sf_dir, "documents")))
+
+
+@query("op10_wavelet_shards")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_store.new_path(spark)
+    token_store.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_store.documents(token_store.read(spark, path))

@@ -9,17 +9,20 @@ from pyspark.sql import functions as F
 BLANKS = " \t\n\x0b\x0c\r"
 
 
-def fixed(df: DataFrame) -> DataFrame:
-    """The rows written to the shared checkpoint folder and read from there: lineage ends here.
-
-    The folder is the one the session names; only a local session without one gets a folder of its own.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints: the one that the session names; a local session without one gets a folder of its own."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="paperlode-"))
+    return sc.getCheckpointDir()
+
+
+def fixed(df: DataFrame) -> DataFrame:
+    """The rows written to the shared checkpoint folder and read from there: lineage ends here."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
