@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from paperlode.llm import decontaminate, near_dedup, suffix_dedup, token_store, window_dedup
+from paperlode.llm import decontaminate, line_quality, near_dedup, suffix_dedup, token_store, window_dedup
 from paperlode.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +109,42 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_store.new_path(spark)
     token_store.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
     return token_store.documents(token_store.read(spark, path))
+
+
+_BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+OP2_SQL = f"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(text, '') AS text, {_WORDS} AS ws,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: translate(x, {_BLANK}, '') <> '') AS lines
+  FROM documents),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM d)),
+twice AS (SELECT doc_id, k FROM win GROUP BY doc_id, k HAVING count(*) > 1),
+rep AS (
+  SELECT doc_id, count(DISTINCT p) AS n_repeat FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM win JOIN twice USING (doc_id, k)) GROUP BY doc_id),
+line AS (
+  SELECT doc_id, source, text, trim(regexp_replace(lower(l), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS l, len(regexp_extract_all(l, '[^\\x20\\x09-\\x0D]+')) AS n
+  FROM (SELECT doc_id, source, text, unnest(lines) AS l FROM d)),
+host AS (SELECT source, count(DISTINCT text) AS docs FROM d GROUP BY source),
+often AS (
+  SELECT f.source, f.l FROM (SELECT source, l, count(DISTINCT text) AS n FROM line GROUP BY source, l) AS f
+  JOIN host ON f.source IS NOT DISTINCT FROM host.source WHERE n > 20 AND n > 0.2 * docs),
+gone AS (
+  SELECT doc_id, sum(n) AS n FROM line JOIN often ON line.source IS NOT DISTINCT FROM often.source AND line.l = often.l GROUP BY doc_id),
+counted AS (
+  SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(translate(text, {_BLANK}, '')) AS BIGINT) AS word_chars,
+         CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+         CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat, 0) AS BIGINT) AS n_repeat_words,
+         len(ws) - coalesce(gone.n, 0) AS rest
+  FROM d LEFT JOIN rep USING (doc_id) LEFT JOIN gone USING (doc_id)),
+judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counted)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND rest >= 20 AND 2 * rest >= n_words AS kept
+FROM judged
+"""
+
+
+@query("op2_line_frequency", OP2_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = line_quality.assess(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
