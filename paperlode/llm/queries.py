@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from paperlode.llm import decontaminate, line_quality, near_dedup, suffix_dedup, token_store, window_dedup
+from paperlode.llm import decontaminate, line_quality, mixing, near_dedup, suffix_dedup, token_store, window_dedup
 from paperlode.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -148,3 +148,8 @@ FROM judged
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = line_quality.assess(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op3_splitting_tree_mix")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken_words(*mixing.mix(table(spark, sf_dir, "documents")))
