@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from paperlode.llm import decontaminate, line_quality, mixing, near_dedup, suffix_dedup, token_store, window_dedup
+from paperlode.llm import decontaminate, line_quality, mixing, near_dedup, suffix_dedup, token_store, url_filter, window_dedup
 from paperlode.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,3 +153,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_splitting_tree_mix")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(*mixing.mix(table(spark, sf_dir, "documents")))
+
+
+@query("op5_url_regression")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
