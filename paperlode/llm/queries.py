@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperlode.llm import chat, decontaminate, line_quality, mixing, near_dedup, suffix_dedup, token_store, url_filter, window_dedup
+from paperlode.llm import chat, decontaminate, line_align, line_quality, mixing, near_dedup, suffix_dedup, token_store, url_filter, window_dedup
 from paperlode.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -186,3 +186,9 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
     return chat.digests(chat.read_back(chat.format_turns(chat.canonical_turns(rows))))
+
+
+@query("op9_patience_lines")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return line_align.digests(docs, line_align.align(docs))
