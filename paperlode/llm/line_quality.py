@@ -18,7 +18,7 @@ Everything is a DataFrame expression; no Python runs on the executors.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperlode.llm.tables import BLANKS, fixed, word_list
+from paperlode.llm.tables import BLANKS, fixed, small, word_list
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -119,12 +119,18 @@ def assess(
     )
 
 
-def apply(docs: DataFrame, assessed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The kept documents with all their columns, without the frequent lines of their host."""
-    kept = assessed.filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("cut").alias("__cut"))
-    kept = kept.dropDuplicates(["__id", "__hash"])
-    text = F.col(text_col)
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("__hash"))
+def apply(docs: DataFrame, assessed: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """The kept documents with all their columns, without the frequent lines of their host.
+
+    Rejects and hosts with frequent lines are joined by broadcast only within counted bounds.
+    """
+    judged = fixed(assessed.select("doc_id", "text_hash", "host", "cut", "kept"))
+    rejects = judged.filter(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    hosts = judged.filter(F.size("cut") > 0).dropDuplicates(["host"]).select(F.col("host").alias("__host"), F.col("cut").alias("__cut"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rejected = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__hash"))
+    stay = docs.join(small(rejects, 500_000), rejected, "left_anti")
+    met = stay.join(small(hosts, 20_000), F.col(host_col).cast("string").eqNullSafe(F.col("__host")), "left")
     rest = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(F.col("__cut"), F.xxhash64(normal_line(x)))), "\n")
-    out = docs.join(kept, same).withColumn(text_col, F.when(F.size("__cut") > 0, rest).otherwise(text))
+    out = met.withColumn(text_col, F.when(F.col("__cut").isNotNull(), rest).otherwise(F.col(text_col)))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

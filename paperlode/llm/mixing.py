@@ -214,23 +214,23 @@ def taken_words(documents: DataFrame, pieces: DataFrame) -> DataFrame:
     return joined.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"))
 
 
-def apply(docs: DataFrame, pieces: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents as the mix takes them, with all their columns: once per epoch, cut where the mix cuts them."""
-    used = pieces.groupBy("doc_id", "text_hash", "k", "start", "epoch").agg(F.sum("words").alias("__words"), F.max("size").alias("__size"))
-    # Rows that are equal in id and text are alike: number them on both sides.
-    same = Window.partitionBy("__id", "__hash", "__epoch").orderBy("__k", "__start")
-    used = used.select(
-        F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("epoch").alias("__epoch"), "__words", "__size",
-        F.col("k").alias("__k"), F.col("start").alias("__start"),
-    )
-    used = used.withColumn("__row", F.row_number().over(same))
+def apply(docs: DataFrame, documents: DataFrame, pieces: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents as the mix takes them, with all their columns: once per epoch, cut where the mix cuts them.
+
+    ``documents`` and ``pieces`` are the tables of :func:`mix` over ``docs``.
+    """
+    # Rows that are equal in id and text are alike: they are numbered on both sides.
+    alike = documents.select("doc_id", "text_hash", "k", "start", "size", F.row_number().over(
+        Window.partitionBy("doc_id", "text_hash").orderBy("k", "start")).alias("__row"))
+    sums = pieces.groupBy("k", "start", "epoch").agg(F.sum("words").alias("__words"))
+    used = fixed(alike.filter("size > 0").join(sums, ["k", "start"]).select(
+        F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "__row", "__words", F.col("size").alias("__size")
+    ))
     named = docs.withColumns({"__key": F.col(id_col), "__text_hash": F.xxhash64(F.col(text_col).cast("string"))})
-    repeats = named.groupBy("__key", "__text_hash").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").count()
-    if repeats:
-        named = named.withColumn("__row_no", F.row_number().over(Window.partitionBy("__key", "__text_hash").orderBy(F.lit(0))))
-    else:
-        named = named.withColumn("__row_no", F.lit(1))
-    on = F.col("__key").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")) & (F.col("__row_no") == F.col("__row"))
+    repeats = used.filter("__row > 1").limit(1).count()
+    number = F.row_number().over(Window.partitionBy("__key", "__text_hash").orderBy(F.lit(0))) if repeats else F.lit(1)
+    named = named.withColumn("__number", number)
+    on = F.col("__key").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")) & (F.col("__number") == F.col("__row"))
     parts = F.filter(F.split(text_col, "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != "")
     cut = F.array_join(F.slice(parts, 1, F.col("__words").cast("int")), " ")
     out = named.join(used, on).withColumn(text_col, F.when(F.col("__words") < F.col("__size"), cut).otherwise(F.col(text_col)))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperlode.llm import chat, decontaminate, line_align, line_quality, mixing, near_dedup, suffix_dedup, token_store, url_filter, window_dedup
-from paperlode.llm.tables import table
+from paperlode.llm.tables import new_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -107,7 +107,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op10_wavelet_shards")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = token_store.new_path(spark)
+    path = new_folder(spark, "token-shards")
     token_store.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
     return token_store.documents(token_store.read(spark, path))
 

@@ -14,8 +14,8 @@ behind, each in their old order. With counts of ones per 512 bits (made when a s
 access, rank, select and occurrence lookup without being decoded.
 
 Encoding. A text is cut at single blanks between other characters. The tokenizer never joins across such a cut,
-so the pieces are encoded apart, each distinct one once, and their ids are put together. Everything else in a
-text (runs of white space, line breaks) stays inside a piece.
+so the pieces are encoded apart, each distinct one once per worker, and their ids are put together. Everything else in a
+text (runs of white space, line breaks) stays inside a piece. The splitter and the model of the tokenizer file do the work.
 
 Cases: null and empty texts have the end id only; null document ids come first; equal ids are ordered by text;
 repeated rows are written as often as they occur; an empty table gives no shard and an empty result; other columns
@@ -23,9 +23,8 @@ are ignored. Strings of special tokens in a text are ordinary text.
 """
 
 import re
-import uuid
 import zlib
-from itertools import chain
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +38,7 @@ END_ID = 0
 SHARD_TOKENS = 1 << 20
 _BLOCK = 512
 #: Entries after which a worker's table of encoded pieces starts anew.
-_KEEP = 250_000
+_KEEP = 600_000
 _DOUBLE = re.compile(r"\s\s")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
@@ -180,6 +179,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
@@ -197,23 +197,34 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian 16-bit numbers. A key's mark tells a first piece from a later one."""
-        keys = []
+        if len(self.known) > _KEEP:
+            self.known.clear()
+        if len(self.parts) > _KEEP:
+            self.parts.clear()
+        out = []
         for t in texts:
             if not t:
-                keys.append([])
+                out.append(b"")
                 continue
-            parts = self.pieces(t)
-            parts[0] = "\0" + parts[0]
-            keys.append(parts)
-        if len(self.known) > _KEEP:
-            self.known.clear()
-        new = list(set(chain.from_iterable(keys)) - self.known.keys())
-        if new:
-            plain = [p[1:] if p[0] == "\0" else " " + p for p in new]
-            for p, e in zip(new, self.tokenizer.encode_batch_fast(plain, add_special_tokens=False), strict=True):
-                self.known[p] = np.array(e.ids, dtype="<u2").tobytes()
-        known = self.known
-        return [b"".join([known[p] for p in parts]) for parts in keys]
+            keys = self.pieces(t)
+            keys[0] = "\0" + keys[0]
+            try:
+                out.append(b"".join(map(self.known.__getitem__, keys)))
+            except KeyError:
+                for k in keys:
+                    if k not in self.known:
+                        self.known[k] = self._piece(k[1:] if k[0] == "\0" else " " + k)
+                out.append(b"".join(map(self.known.__getitem__, keys)))
+        return out
+
+    def _piece(self, text: str) -> bytes:
+        """Ids of a piece: the tokenizer's own splitter cuts it, its model encodes each part that is new."""
+        found = []
+        for part, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text):
+            if part not in self.parts:
+                self.parts[part] = array("H", [t.id for t in self.tokenizer.model.tokenize(part)]).tobytes()
+            found.append(self.parts[part])
+        return b"".join(found)
 
 
 def _rounds(ids: list, texts: list):
@@ -330,14 +341,3 @@ def counts(stored: DataFrame, token: int) -> DataFrame:
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     return stored.mapInArrow(run, "shard bigint, n bigint")
-
-
-def new_path(spark: SparkSession) -> str:
-    """A fresh folder for shard files in the shared folder; removed when the session's JVM ends."""
-    from paperlode.llm.tables import shared_folder
-
-    path = f"{shared_folder(spark)}/token-shards-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return path
