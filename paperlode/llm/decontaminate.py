@@ -175,13 +175,14 @@ def find_items(
 
 def _merge(spans: str) -> Column:
     """Sorted spans with overlaps joined."""
-    empty = F.array().cast("array<struct<first:bigint,end:bigint>>")
+    kind = "array<struct<first:bigint,end:bigint>>"
+    empty = F.array().cast(kind)
 
     def add(a: Column, s: Column) -> Column:
         last = F.try_element_at(a, F.lit(-1))
         longer = F.struct(last["first"].alias("first"), F.greatest(last["end"], s["end"]).alias("end"))
-        joined = F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array(longer))
-        return F.when(s["first"] <= last["end"], joined).otherwise(F.concat(a, F.array(s)))
+        joined = F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array(longer).cast(kind))
+        return F.when(s["first"] <= last["end"], joined).otherwise(F.concat(a, F.array(s).cast(kind)))
 
     return F.aggregate(F.col(spans), empty, add)
 
