@@ -1,10 +1,12 @@
 """Dataset links of a paper: extraction with context, candidates, scoring and the primary pick."""
 
+import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paperlode import rules
 from paperlode.config import LinkConfig
@@ -24,32 +26,40 @@ def extract_links(files: DataFrame, window: int = 2, content: str = "text") -> D
     """One row per link of each source file, with line, section and neighbour sentences.
 
     Forms come in this order: href (0), url command (1), bare link (2). Sentences are split in the
-    JVM; only the matching of positions, which Spark's own functions do not return, runs in Arrow batches.
+    JVM; only the matching of positions, which Spark's own functions do not return, runs in Arrow batches, once per file.
     """
     keep = [c for c in files.columns if c != content]
-    found = files.withColumn("__l", _occurrences(window)(F.col(content), text.split_sentences(F.col(content))))
-    rows = found.select(*keep, F.explode("__l").alias("__o")).select(*keep, "__o.*")
+    prepared = files.select(*[f"`{c}`" for c in keep], F.col(content).alias("__text"), text.split_sentences(F.col(content)).alias("__sentences"))
+    schema = T.StructType([files.schema[c] for c in keep] + T._parse_datatype_string(OCCURRENCE).fields)
+    rows = prepared.mapInArrow(_occurrences(len(keep), window), schema)
     return rows.withColumn("url", F.btrim(strip(urls.percent_decode(F.col("url"))), F.lit(").]")))
 
 
-def _occurrences(window: int):
-    forms = [
-        rules.HREF_PATTERN,
-        rules.URL_COMMAND_PATTERN,
-        rules.BARE_CONTEXT_LINK_PATTERN,
-    ]
+_FOUND = pa.schema([
+    ("form", pa.int32()), ("pos", pa.int64()), ("url", pa.string()), ("anchor", pa.string()), ("line", pa.int32()), ("section", pa.string()),
+    ("ctx_before", pa.list_(pa.string())), ("ctx_after", pa.list_(pa.string())),
+])
 
-    @F.pandas_udf(f"array<struct<{OCCURRENCE}>>")
-    def find(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        import re
 
+def _occurrences(kept: int, window: int):
+    """The links of each file behind its first ``kept`` columns; a file is matched once."""
+    forms = [rules.HREF_PATTERN, rules.URL_COMMAND_PATTERN, rules.BARE_CONTEXT_LINK_PATTERN]
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         patterns = [re.compile(f) for f in forms]
         heading = re.compile(rules.SECTION_PATTERN)
-        for contents, sentences in batches:
-            yield pd.Series([
-                None if t is None else link_rows(t, list(s), patterns, heading, window)
-                for t, s in zip(contents, sentences)
-            ])
+        for batch in batches:
+            texts, sentences = batch.column(kept), batch.column(kept + 1)
+            owner, out = [], []
+            for k in range(batch.num_rows):
+                content = texts[k].as_py()
+                found = [] if content is None else link_rows(content, sentences[k].as_py(), patterns, heading, window)
+                owner += [k] * len(found)
+                out += found
+            files = [batch.column(j).take(pa.array(owner, pa.int32())) for j in range(kept)]
+            made = pa.RecordBatch.from_pylist(out, schema=_FOUND)
+            names = [*batch.schema.names[:kept], *_FOUND.names]
+            yield pa.RecordBatch.from_arrays([*files, *made.columns], names=names)
 
     return find
 

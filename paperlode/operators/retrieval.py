@@ -217,8 +217,10 @@ def result_columns(df: DataFrame, with_score: bool = True) -> DataFrame:
     return df.select(*score, *[F.col(f"`{a}`").alias(b) for a, b in names.items()])
 
 
-def find_by_link(records: DataFrame, link: str, column: str = "Dataset Link") -> DataFrame:
-    return records.filter(F.col(f"`{column}`") == link).limit(1)
+def find_by_link(records: DataFrame, link: str, column: str = "Dataset Link", order: list[Column] | None = None) -> DataFrame:
+    """The first record with a link: by ``order``, the record's position, or else by all its columns."""
+    by = order or [F.col(f"`{c}`") for c in records.columns]
+    return records.filter(F.col(f"`{column}`") == link).orderBy(*by).limit(1)
 
 
 # --- relevance and metrics ---------------------------------------------------------------------

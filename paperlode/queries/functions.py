@@ -396,10 +396,10 @@ def f15(spark, sf):
 
 @query("f15_pick_request", f"""WITH {S_KEYED}, s AS (SELECT *, {s_score('lower(anchor)')} AS score FROM hosted),
 top AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY score DESC, pos) AS rank FROM s QUALIFY rank <= 12), entries AS (
-  SELECT paper_id, rank, '- #' || rank || chr(10) || '  url: ' || url || chr(10) || '  host: ' || split_part(host_path, '/', 1) || chr(10)
-    || '  anchor: ' || anchor || chr(10) || '  score_hint: ' || score || chr(10) || '  ctx: ' || anchor || chr(10) AS line FROM top)
-SELECT paper_id, md5('{text.PICK_REQUEST.replace(chr(10), "' || chr(10) || '")}' || '[PAPER]' || chr(10) || 'Title: p' || paper_id || chr(10) || 'Abstract: a'
-  || chr(10) || chr(10) || '[CANDIDATES]' || chr(10) || string_agg(line, chr(10) ORDER BY rank)) AS digest FROM entries GROUP BY paper_id""")
+  SELECT paper_id, rank, rank || ') ' || url || chr(10) || 'linked as ' || anchor || ' on ' || split_part(host_path, '/', 1)
+    || '; points by rule ' || score || chr(10) || 'nearby text ' || anchor || chr(10) AS line FROM top)
+SELECT paper_id, md5('{text.PICK_REQUEST.replace(chr(10), "' || chr(10) || '")}' || 'The paper is called: p' || paper_id || chr(10) || 'It says of itself: a'
+  || chr(10) || chr(10) || 'Links, best first:' || chr(10) || string_agg(line, chr(10) ORDER BY rank)) AS digest FROM entries GROUP BY paper_id""")
 def f15_pick(spark, sf):
     """The best twelve candidates of each paper in one request."""
     cands = score_candidates(with_url_keys(page_links(spark, sf)).withColumn("ctx", F.lit("")), reasons=False)
@@ -408,7 +408,7 @@ def f15_pick(spark, sf):
         "rank", "url", urls.url_host(F.col("norm_url")).alias("host"), "anchor", "score", F.col("anchor").alias("ctx")
     )
     per_paper = best.groupBy("paper_id").agg(F.array_sort(F.collect_list(entry)).alias("c"))
-    made = text.pick_request(F.concat(F.lit("p"), F.col("paper_id").cast("string")), F.lit("a"), F.col("c"), 10**9)
+    made = text.pick_request(F.concat(F.lit("p"), F.col("paper_id").cast("string")), F.lit("a"), F.col("c"))
     return per_paper.select("paper_id", F.md5(made).alias("digest"))
 
 

@@ -29,14 +29,20 @@ def work_root(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    return tempfile.gettempdir() + "/paperlode-work"
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="paperlode-"))
+    return sc.getCheckpointDir()
 
 
 def new_work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared working folder; nothing is created yet."""
-    return f"{work_root(spark)}/paperlode/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh path below the shared working folder; what is written there is removed when the session's JVM ends."""
+    path = f"{work_root(spark)}/paperlode/{name}-{uuid.uuid4().hex[:12]}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:

@@ -16,14 +16,14 @@ def stage_times(lines: DataFrame, value: str = "value") -> DataFrame:
 
 def stage_report(times: DataFrame, limits: list[tuple[str, int]] = rules.STAGE_LIMITS_MS) -> DataFrame:
     """Runs, mean, maximum and slow runs per stage; stages without a limit are never slow."""
-    limit: Column = F.lit(10**9)
+    limit: Column = F.lit(None).cast("long")
     for name, ms in limits:
         limit = F.when(F.col("stage") == name, ms).otherwise(limit)
     return times.groupBy("stage").agg(
         F.count(F.lit(1)).alias("runs"),
         F.round(F.avg("ms"), 3).alias("mean_ms"),
         F.max("ms").alias("max_ms"),
-        F.count_if(F.col("ms") > limit).alias("slow_runs"),
+        F.count_if(F.coalesce(F.col("ms") > limit, F.lit(False))).alias("slow_runs"),
     )
 
 

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperlode.functions.basic import MARK, squeeze, strip
+from paperlode.functions.basic import squeeze, strip
 from paperlode.functions.dates import submitted_on
 from paperlode.functions.text import strip_tags
 from paperlode.functions.urls import pdf_link_from_id
@@ -95,7 +95,7 @@ def abstract_page(pages: DataFrame, html: str = "html") -> DataFrame:
 
 def day_count(page: Column, heading: str) -> Column:
     """Items of one day on a listing page: the number in its heading, else the items below it; 0 if absent."""
-    blocks = F.split(F.regexp_replace(page, r"(?i)<h3[^>]*>", MARK), MARK)
+    blocks = F.split(page, r"(?i)<h3[^>]*>")
     named = F.filter(
         F.transform(blocks, lambda b: F.struct(squeeze(strip_tags(unescape(F.regexp_extract(b, r"(?is)^(.*?)</h3>", 1)))).alias("head"), b.alias("body"))),
         lambda x: x["head"].startswith(heading),

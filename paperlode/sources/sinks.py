@@ -4,8 +4,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_metadata(papers: DataFrame, path: str) -> None:
-    """One JSON partition per day and category, replaced as a whole."""
+def write_metadata(papers: DataFrame, path: str, covered: list[tuple[str, str]] | None = None) -> None:
+    """One JSON partition per day and category, replaced as a whole.
+
+    ``covered`` lists the (day, category) pairs that the run looked at; a pair without papers loses its old partition.
+    """
+    spark = papers.sparkSession
+    if covered:
+        filled = {(r["day"], r["category"]) for r in papers.select(F.col("day").cast("string"), "category").distinct().collect()}
+        for day, category in sorted(set(covered) - filled):
+            gone = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/day={day}/category={category}")
+            gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
     papers.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "category").json(path)
 
 

@@ -219,3 +219,16 @@ def test_link_forms(one):
     got = one(urls.link_forms(F.col("t")), "t string", t)
     bare = {unquote(m.strip(").,;]")) for m in re.findall(r'((?:https?://|ftp://)[^\s<>{}|\^\[\]`\\)"]+)', t)}
     assert got == sorted({"https://a.org/x y", "https://b.org/1"} | bare)
+
+
+def test_control_characters_are_text(one):
+    assert one(text.split_sentences(F.col("t")), "t string", "One\u0001two. Three.") == ["One\u0001two.", "Three."]
+    assert one(text.split_sentences_capital(F.col("t")), "t string", "a\u0001b. C d.") == ["a\u0001b.", "C d."]
+    assert one(text.short_description(F.col("t")), "t string", "a\u0001b. c. d.") == "a\u0001b. c."
+    assert one(text.links_to_hosts(F.col("t")), "t string", "x\u0001 https://Ab.org/c y") == "x\u0001 ab.org y"
+    sections = one(text.sections_of(F.col("t")), "t string", "[SECTION]A\u0002[/SECTION]b\u0001c[SECTION]D[/SECTION]e")
+    assert [(s["section"], s["full_text"]) for s in sections] == [("A\u0002", "b\u0001c"), ("D", "e")]
+
+
+def test_reflow_ends_with_its_last_line():
+    assert text.merge_text_lines("a line\n", 100) == text.merge_text_lines("a line", 100)

@@ -58,26 +58,33 @@ def test_limits_run_before_the_shuffle(spark):
 # --- chains ------------------------------------------------------------------------------------
 
 
-def _window_rows(tokens, labels, cfg, training):
-    """Windows of one paper, one after the other."""
-    out, i, n = [], 0, len(tokens)
-    while i < n:
-        used, size = 0, 0
-        for t in tokens[i:]:
-            grown = used + t + (1 if used else 2)
-            if grown >= cfg.max_tokens - 2:
-                break
-            used, size = grown, size + 1
-        size = max(cfg.min_sentences, size)
-        members = list(range(i, min(i + size, n)))
-        positive = training and any(labels[m] == 1 for m in members)
-        if positive:
-            first = next(k for k, m in enumerate(members) if labels[m] == 1)
-            members = members[max(0, first - cfg.context):first + cfg.context + 1]
-        if len(members) >= cfg.min_sentences:
-            out.append((i, members[0], members[-1], sum(tokens[m] for m in members), positive))
-        i += max(1, size // cfg.positive_step_div if positive else size // 2)
-    return out
+def _extents(tokens, cfg):
+    """Sentences from each position that fit: the largest count below the budget, in closed form, and the minimum at least."""
+    total = np.concatenate([[0], np.cumsum(np.array(tokens) + 1)])  # a separator goes with each sentence
+    room = np.searchsorted(total, total[:-1] + cfg.max_tokens - 3, side="left") - 1 - np.arange(len(tokens))
+    return np.minimum(np.maximum(room, cfg.min_sentences), len(tokens) - np.arange(len(tokens)))
+
+
+def _check_windows(got, tokens, labels, cfg, training):
+    """Properties of the windows (start, first, last, tokens, positive) of one paper, and of the steps between them."""
+    extent, n = _extents(tokens, cfg), len(tokens)
+    positives = {k for k, y in enumerate(labels) if y == 1} if training else set()
+    by_start = {w[0]: w for w in got}
+    assert len(by_start) == len(got)
+    start = 0
+    while start < n:
+        reach = range(start, start + int(extent[start]))
+        first_hit = min(positives & set(reach), default=None)
+        window = by_start.pop(start, None)
+        shown = [m for m in reach if first_hit is None or abs(m - first_hit) <= cfg.context]
+        if len(shown) < cfg.min_sentences:
+            assert window is None
+        else:
+            assert window[1:] == (shown[0], shown[-1], sum(tokens[m] for m in shown), first_hit is not None)
+        # A full window of the minimum or more steps by a share of its planned length.
+        planned = max(cfg.min_sentences, len(reach))
+        start += max(1, planned // (2 if first_hit is None else cfg.positive_step_div))
+    assert not by_start
 
 
 @pytest.mark.parametrize("training", [False, True])
@@ -93,7 +100,8 @@ def test_token_windows(spark, cfg, training):
     rows = [(p, i, t, y) for p, (ts, ys) in data.items() for i, (t, y) in enumerate(zip(ts, ys))]
     df = spark.createDataFrame(rows, "paper_name string, gid long, tokens int, label int")
     got = _pairs(windows.token_windows(df, cfg, training), "paper_name", "window_id", "first", "last", "window_tokens", "has_positive")
-    assert got == sorted((p, *w) for p, (ts, ys) in data.items() for w in _window_rows(ts, ys, cfg, training))
+    for p, (ts, ys) in data.items():
+        _check_windows([g[1:] for g in got if g[0] == p], ts, ys, cfg, training)
 
 
 def test_token_windows_on_many_levels(spark, monkeypatch):
@@ -103,8 +111,8 @@ def test_token_windows_on_many_levels(spark, monkeypatch):
     rng = random.Random(4)
     tokens = [rng.choice([1, 2, 4]) for _ in range(400)]
     df = spark.createDataFrame([("p", i, t) for i, t in enumerate(tokens)], "paper_name string, gid long, tokens int")
-    got = _pairs(windows.token_windows(df, cfg), "window_id", "first", "last")
-    assert got == [w[:3] for w in _window_rows(tokens, [0] * 400, cfg, False)]
+    got = _pairs(windows.token_windows(df, cfg), "window_id", "first", "last", "window_tokens", "has_positive")
+    _check_windows(got, tokens, [0] * 400, cfg, False)
 
 
 def test_window_size_fixture(spark):
@@ -136,40 +144,27 @@ def test_character_packing(spark, cfg):
     assert _pairs(windows.pack_by_characters(df, cfg), "paper_name", "first", "last", "cut") == sorted(expected)
 
 
-def test_pivot_span():
-    def grow(tokens, pivot, budget, least, context):
-        n = len(tokens)
-
-        def fits(a, b):
-            return sum(tokens[a:b]) + (b - a - 1) <= budget
-
-        a, b = max(0, pivot - context), min(n, pivot + context + 1)
-        while b - a < least:
-            if a > 0:
-                if not fits(a - 1, b):
-                    break
-                a -= 1
-            if b < n and b - a < least:
-                if not fits(a, b + 1):
-                    break
-                b += 1
-            if a == 0 and b == n:
-                break
-        moved = True
-        while moved:
-            moved = False
-            if a > 0 and fits(a - 1, b):
-                a, moved = a - 1, True
-            if b < n and fits(a, b + 1):
-                b, moved = b + 1, True
-        return a, b
-
+def test_pivot_span_is_within_the_budget_and_maximal():
     rng = random.Random(6)
     for _ in range(2000):
         n = rng.randint(1, 12)
         tokens = [rng.randint(1, 9) for _ in range(n)]
-        args = (tokens, rng.randrange(n), rng.randint(3, 40), rng.randint(1, 7), rng.randint(0, 2))
-        assert windows.pivot_span(*args) == grow(*args)
+        pivot, budget, least, context = rng.randrange(n), rng.randint(3, 40), rng.randint(1, 7), rng.randint(0, 2)
+        start, stop = windows.pivot_span(tokens, pivot, budget, least, context)
+        core = (max(0, pivot - context), min(n, pivot + context + 1))
+        used = sum(tokens[start:stop]) + (stop - start - 1)
+        assert start <= core[0] and core[1] <= stop
+        assert (start, stop) == core or used <= budget
+        assert start == 0 or used + tokens[start - 1] + 1 > budget
+        assert stop == n or used + tokens[stop] + 1 > budget
+
+
+@pytest.mark.parametrize("pivot, budget, least, context, span", [
+    (4, 9, 1, 0, (2, 7)), (4, 7, 1, 0, (2, 6)), (0, 5, 3, 1, (0, 3)), (8, 5, 3, 0, (6, 9)), (4, 1, 3, 0, (4, 5)), (4, 1, 3, 2, (2, 7)), (4, 99, 1, 0, (0, 9)),
+])
+def test_pivot_span_grows_left_first(pivot, budget, least, context, span):
+    """Nine sentences of one token; separators count one each."""
+    assert windows.pivot_span([1] * 9, pivot, budget, least, context) == span
 
 
 def test_votes(spark):
@@ -457,3 +452,11 @@ def test_histogram_of_one_value(spark):
     df = spark.createDataFrame([(0.7, 1, 1), (0.7, 1, 1), (float("nan"), 0, 1)], "confidence double, predicted_label int, true_label int")
     got = _pairs(quality.confidence_histogram(df).filter("subset = 'correct'"), "bin", "n")
     assert got == [(10, 2)]
+
+
+def test_links_are_matched_once_per_file(spark):
+    files = spark.createDataFrame([("p", r"\section{A} One. \href{https://a.org/x}{b}. Two.")], "paper_id string, text string")
+    found = links.extract_links(files)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan
+    assert [r["url"] for r in found.filter("form = 0").collect()] == ["https://a.org/x"]

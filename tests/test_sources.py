@@ -89,6 +89,8 @@ def test_metadata_write_is_by_partition(spark, tmp_path):
     sinks.write_metadata(df, path)
     sinks.write_metadata(df.filter("day = 'd1'").withColumn("id", F.lit("9")), path)
     assert sorted((r.id, r.day) for r in sinks.read_metadata(spark, path, "id STRING").collect()) == [("2", "d2"), ("9", "d1")]
+    sinks.write_metadata(df.filter("false"), path, [("d1", "c"), ("d3", "c")])
+    assert [(r.id, r.day) for r in sinks.read_metadata(spark, path, "id STRING").collect()] == [("2", "d2")]
 
 
 def test_experiment(spark, tmp_path):
