@@ -52,6 +52,32 @@ def tag_windows(members: DataFrame, scorer: Callable[[Column], Column] = clue_pr
     return members.withColumn("prob", prob).withColumn("label", (F.col("prob") >= threshold).cast("int"))
 
 
+def window_scorer(predict: Callable[[list[list[str]]], list[list[float]]], batch: int = 16) -> Callable[[Column], Column]:
+    """Any model that reads the sentences of a window together, as a function of their array; called in slices of windows."""
+
+    @F.pandas_udf("array<double>")
+    def score(windows: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for series in windows:
+            values: list[list[float]] = []
+            for i in range(0, len(series), batch):
+                values += [[float(v) for v in w] for w in predict([list(x) for x in series.iloc[i:i + batch]])]
+            yield pd.Series(values, index=series.index)
+
+    return score
+
+
+def tag_whole_windows(members: DataFrame, scorer: Callable[[Column], Column], threshold: float = 0.5) -> DataFrame:
+    """As :func:`tag_windows`, with a scorer from the array of a window's ordered sentences to one probability each.
+
+    A window is bounded by its token budget, so its sentences fit one row.
+    """
+    ordered = members.groupBy("paper_name", "window_id").agg(F.array_sort(F.collect_list(F.struct("gid", "text"))).alias("s"))
+    scored = ordered.withColumn("p", scorer(F.transform("s", lambda x: x["text"])))
+    rows = scored.select("paper_name", "window_id", F.explode(F.arrays_zip("s", "p")).alias("r"))
+    prob = F.col("r.p")
+    return rows.select("paper_name", "window_id", "r.s.gid", "r.s.text", prob.alias("prob"), (prob >= threshold).cast("int").alias("label"))
+
+
 def token_column(text: Column, counter: Callable[[Column], Column] = count_tokens) -> Column:
     return counter(text)
 

@@ -37,7 +37,7 @@ def in_range(df: DataFrame, start: Column, end: Column, column: str = "published
 
 def unseen(entries: DataFrame, seen: DataFrame, key: str = "id") -> DataFrame:
     """Entries whose id is not in the history of any category."""
-    return entries.join(seen.select(key).distinct(), key, "left_anti")
+    return entries.join(seen.select(key), key, "left_anti")
 
 
 def seen_ids(histories: DataFrame) -> DataFrame:

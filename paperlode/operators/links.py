@@ -142,13 +142,13 @@ def score_candidates(cands: DataFrame, whole_words: bool = False, reasons: bool
 
 def keep_labelled(cands: DataFrame, labelled: DataFrame) -> DataFrame:
     """Candidates whose url an external classifier called a dataset."""
-    return cands.join(labelled.filter("label = 'dataset'").select("url").distinct(), "url", "left_semi")
+    return cands.join(labelled.filter("label = 'dataset'").select("url"), "url", "left_semi")
 
 
 def keep_listed(picks: DataFrame, cands: DataFrame, normalised: bool = True) -> DataFrame:
     """External picks whose url is one of the candidates of the paper."""
     key = urls.norm_url if normalised else (lambda c: c)
-    known = cands.select("paper_id", key(F.col("url")).alias("__u")).distinct()
+    known = cands.select("paper_id", key(F.col("url")).alias("__u"))
     return picks.withColumn("__u", key(strip(F.col("url")))).filter("url <> ''").join(
         known, ["paper_id", "__u"], "left_semi"
     ).drop("__u")
@@ -275,7 +275,7 @@ def ranked_candidates(cands: DataFrame, pos: str = "pos") -> DataFrame:
 
 
 def final_records(
-    papers: DataFrame, picks: DataFrame, timestamp: Column, strict: bool = False, max_len: int | None = 300
+    papers: DataFrame, picks: DataFrame, timestamp: Column, strict: bool = False
 ) -> DataFrame:
     """Ledger records of the picks.
 

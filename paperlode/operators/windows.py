@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from paperlode.config import PackConfig, WindowConfig
 from paperlode.functions.text import LABEL_REQUEST
 from paperlode.operators.ranks import position_block
+from paperlode.functions.basic import not_blank
 from paperlode.session import staged
 
 _FAN = 256
@@ -284,11 +285,13 @@ def pivot_window(
     """Window around a pivot sentence, grown left first while it fits the token budget.
 
     ``tokens`` holds the token count of before + pivot + after in order; sentences are joined by one
-    separator token. The budget keeps two tokens free.
+    separator token. The budget keeps two tokens free. Blank neighbours are left out before the pivot is placed.
     """
-    sentences = F.concat(before, F.array(pivot), after)
-    span = _pivot_span(max_tokens - 2, least, context)(tokens, F.size(before))
-    return F.slice(sentences, span["start"] + 1, span["stop"] - span["start"])
+    told = F.transform(F.concat(before, F.array(pivot), after), lambda t, i: F.struct(t.alias("t"), F.get(tokens, i).alias("n"), i.alias("i")))
+    kept = F.filter(told, lambda x: (x["i"] == F.size(before)) | not_blank(x["t"]))
+    place = F.size(F.filter(before, not_blank))
+    span = _pivot_span(max_tokens - 2, least, context)(F.transform(kept, lambda x: x["n"]), place)
+    return F.slice(F.transform(kept, lambda x: x["t"]), span["start"] + 1, span["stop"] - span["start"])
 
 
 def _pivot_span(budget: int, least: int, context: int):

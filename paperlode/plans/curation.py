@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from paperlode.config import LinkConfig, WindowConfig
 from paperlode.functions.text import count_tokens
-from paperlode.hooks import clue_probability, score_papers, tag_windows
+from paperlode.hooks import clue_probability, score_papers, tag_whole_windows, tag_windows
 from paperlode.operators.filters import gate
 from paperlode.operators.links import extract_links
 from paperlode.operators.sentences import (
@@ -32,18 +32,25 @@ def label_sentences(
     cfg: WindowConfig = WindowConfig(),
     vote: str = "any",
     threshold: float = 0.5,
+    whole_windows: bool = False,
 ) -> DataFrame:
     """Corpus items to labelled sentences through token windows and a vote.
 
-    The numbered sentences feed the windows, their members and the write-back, so they are staged.
+    The numbered sentences feed the windows, their members and the write-back, so they are staged. With
+    ``whole_windows`` the scorer gets the array of a window's sentences and gives one probability each. For the
+    mean vote a paper below the minimum of a window is one window; the any-vote leaves it unlabelled.
     """
     numbered = global_sentence_ids(items).withColumn("tokens", count_tokens(F.col("text")))
     tokens = staged(numbered, "sentences")
     longest = tokens.agg(F.max("gid")).first()[0] or 0
-    windows = token_windows(tokens, cfg, max_index=longest)
+    windows = token_windows(tokens, cfg, max_index=longest).select("paper_name", "window_id", "first", "last")
+    if vote == "mean":
+        spans = tokens.groupBy("paper_name").agg(F.max("gid").alias("last")).filter(F.col("last") + 1 < cfg.min_sentences)
+        zero = F.lit(0).cast("long")
+        windows = windows.unionByName(spans.select("paper_name", zero.alias("window_id"), zero.alias("first"), "last"))
     rows = tokens.drop("tokens")
     members = window_members(windows).join(rows.select("paper_name", "gid", "text"), ["paper_name", "gid"])
-    tagged = tag_windows(members, scorer, threshold)
+    tagged = (tag_whole_windows if whole_windows else tag_windows)(members, scorer, threshold)
     if vote == "mean":
         return mean_vote(tagged, rows.drop("label"), threshold)
     return apply_predictions(rows, any_vote(tagged), ["paper_name", "gid"])

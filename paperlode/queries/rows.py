@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from paperlode import rules
+from paperlode import hooks, rules
 from paperlode.config import PackConfig, WindowConfig
 from paperlode.functions import urls
 from paperlode.functions.dates import year_of
@@ -341,6 +341,34 @@ def a08(spark, sf):
     return windows.any_vote(_window_probs(spark, sf))
 
 
+def _with_neighbour(texts):
+    """A scorer that depends on the sentence before in the window."""
+    return F.transform(texts, lambda t, i: (F.length(t) + 3 * F.length(F.coalesce(F.get(texts, i - 1), F.lit("")))) % 100 / 100.0)
+
+
+S_WHOLE_WINDOWS = S_DOCUMENT_SENTENCES + """,
+near AS (SELECT paper_name, gid, text, unnest(range(greatest(0, gid - 2), gid + 1)) AS window_id FROM doc_sents),
+told AS (SELECT *, coalesce(lag(text) OVER (PARTITION BY paper_name, window_id ORDER BY gid), '') AS before FROM near),
+probs AS (SELECT paper_name, gid, CAST((length(text) + 3 * length(before)) % 100 AS DOUBLE) / 100.0::DOUBLE AS prob FROM told)"""
+
+
+def _whole_windows(spark, sf):
+    rows = document_sentences(spark, sf)
+    near = rows.select("paper_name", F.explode(F.sequence(F.greatest(F.lit(0), F.col("gid") - 2), F.col("gid"))).alias("window_id"), "gid", "text")
+    return hooks.tag_whole_windows(near, _with_neighbour)
+
+
+@query("x03_whole_windows_any", f"WITH {S_WHOLE_WINDOWS} SELECT paper_name, gid, CAST(max(prob >= 0.5) AS INTEGER) AS label FROM probs GROUP BY 1, 2")
+def x03_whole_any(spark, sf):
+    return windows.any_vote(_whole_windows(spark, sf))
+
+
+@query("x03_whole_windows_mean", f"""WITH {S_WHOLE_WINDOWS}, m AS (SELECT paper_name, gid, avg(prob) AS p FROM probs GROUP BY 1, 2)
+SELECT paper_name, gid, round(p, 6) AS prob, CAST(round(p, 6) >= 0.5 AS INTEGER) AS label FROM m""")
+def x03_whole_mean(spark, sf):
+    return windows.mean_vote(_whole_windows(spark, sf), document_sentences(spark, sf).drop("text"))
+
+
 @query("a09_description", f"""WITH {S_DOCUMENT_SENTENCES}, papers AS (SELECT DISTINCT paper_name FROM doc_sents),
 d AS (SELECT paper_name, string_agg(text, ' ' ORDER BY gid) AS t FROM doc_sents WHERE length(text) % 2 = 1 GROUP BY 1)
 SELECT paper_name, md5(coalesce(t, '')) AS digest, coalesce(length(t), 0) AS n FROM papers LEFT JOIN d USING (paper_name)""")

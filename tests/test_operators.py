@@ -460,3 +460,22 @@ def test_links_are_matched_once_per_file(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan
     assert [r["url"] for r in found.filter("form = 0").collect()] == ["https://a.org/x"]
+
+
+def test_mean_vote_reads_short_papers_as_one_window(spark):
+    from paperlode.hooks import window_scorer
+    from paperlode.plans.curation import label_sentences
+
+    one = [{"sentence_id": 0, "text": "A dataset.", "label": 0}]
+    rows = [("p", "s", 0, one), ("q", "s", 0, [one[0], {"sentence_id": 1, "text": "No.", "label": 0}]), ("r", "s", 0, one * 5)]
+    items = spark.createDataFrame(rows, "paper_name string, section string, paragraph_id int, sentences array<struct<sentence_id:int,text:string,label:int>>")
+    scorer = window_scorer(lambda ws: [[(len(w) * 10 + k) / 100 for k in range(len(w))] for w in ws])
+    got = _pairs(label_sentences(items, scorer, vote="mean", whole_windows=True), "paper_name", "gid", "prob")
+    assert got[:3] == [("p", 0, 0.1), ("q", 0, 0.2), ("q", 1, 0.21)] and all(p > 0 for _, _, p in got[3:])
+
+
+def test_pivot_window_leaves_out_blank_neighbours(spark):
+    df = spark.createDataFrame([(["a", " ", "b"], ["", "c"])], "before array<string>, after array<string>")
+    tokens = F.transform(F.concat("before", F.array(F.lit("P")), "after"), lambda t: F.lit(1))
+    window = windows.pivot_window(F.col("before"), F.col("after"), F.lit("P"), tokens, max_tokens=100)
+    assert df.select(window.alias("w")).first()["w"] == ["a", "b", "P", "c"]
