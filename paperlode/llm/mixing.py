@@ -185,7 +185,8 @@ def mix(
         offset = offset + F.col(f"n{e}")
     pieces = placed.select("doc_id", "text_hash", "k", "start", "size", "blocks", F.explode(F.concat(*parts)).alias("p"))
     turned = F.pmod(F.col("p.number") % F.col("blocks") * (_STEP % F.col("blocks")) + F.pmod(F.xxhash64(F.lit(seed), "k"), F.col("blocks")), F.col("blocks"))
-    pieces = pieces.withColumn("draw", turned).join(taken, ["k", "draw"]).select(
+    # One row per block: its size grows with the data, while the planner sees a few shards and would broadcast it.
+    pieces = pieces.withColumn("draw", turned).join(taken.hint("merge"), ["k", "draw"]).select(
         "shard", F.xxhash64(F.lit(seed), "shard", "k", "draw", "start").alias("place"), "doc_id", "text_hash", "k", "start", "size",
         "p.epoch", "p.block", (F.col("p.a") - F.col("start")).alias("first"), (F.col("p.z") - F.col("p.a")).alias("words"),
     )
