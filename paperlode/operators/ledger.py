@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from paperlode import rules
 from paperlode.functions.basic import not_blank, strip
 from paperlode.functions.urls import id_from_ledger_link, norm_url
-from paperlode.operators.ranks import first_rows, row_numbers
+from paperlode.operators.ranks import first_rows, position_block, row_numbers
 
 PAPER, LINK, DESCRIPTION, TIME = rules.LEDGER_FIELDS
 
@@ -145,5 +145,8 @@ def distinct_in_order(df: DataFrame, value: str, pos: str) -> DataFrame:
 
 
 def global_index(df: DataFrame, category: str, page: str, item: str, name: str = "global_index") -> DataFrame:
-    """Running index per category over result pages; a page is the unit that is spread."""
-    return row_numbers(df, [category], {"page": F.col(page)}, [F.col(item)], name)
+    """Running index per category over result pages; a hot page is cut into blocks of a numeric item."""
+    coarse = {"page": F.col(page)}
+    if df.schema[item].dataType.typeName() in ("byte", "short", "integer", "long"):
+        coarse["block"] = position_block(F.col(item))
+    return row_numbers(df, [category], coarse, [F.col(item)], name)

@@ -5,7 +5,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperlode.operators.ranks import hash_block, hash_order, position_block, row_numbers
+from paperlode.operators.ranks import broadcast_limit, hash_block, hash_order, position_block, row_numbers
+from paperlode.session import staged
 
 
 def first_seen_papers(items: DataFrame, pos: str = "pos", sentences: Column | None = None) -> DataFrame:
@@ -54,7 +55,11 @@ def balanced_shards(papers: DataFrame, k: int) -> DataFrame:
     def place(sizes: pd.Series, loads: pd.Series, ranks: pd.Series) -> pd.Series:
         return pd.Series(shards_of(np.stack(loads.to_numpy()), sizes.to_numpy(), ranks.to_numpy()), dtype="int32")
 
-    # k loads per distinct size: the histogram side stays small.
+    # k loads per distinct size, at most sqrt(2 S) sizes for S sentences: broadcast within the session's limit by count,
+    # so papers of a frequent size stay where they are; else a shuffle join.
+    before = staged(before, "loads")
+    if before.count() * k * 8 <= broadcast_limit(papers.sparkSession):
+        before = F.broadcast(before)
     return ranked.join(before, "size").withColumn("shard", place("size", "loads", "__rank")).drop("loads", "__rank")
 
 
