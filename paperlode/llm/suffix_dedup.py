@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from paperlode.llm import blocks as bl
 from paperlode.llm.hashing import U, Windows, mix
-from paperlode.llm.tables import fixed
+from paperlode.llm.tables import fixed, release
 
 # A difference cover of 12 residues modulo 133 in which every difference occurs.
 MODULUS = 133
@@ -163,6 +163,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
 
     flags = bl.repeated(bl.key_rows(blocks, first_keys))
     staged = fixed(blocks.join(flags, "block", "left").mapInArrow(resolve, _STAGE))
+    del blocks, flags
+    release(docs.sparkSession)
 
     def suffixes(row: dict) -> tuple[bl.Block, np.ndarray, bl.KeySet]:
         block = bl.Block.of(row)

@@ -1,6 +1,8 @@
 """Helpers that all operators of this subpackage share."""
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +17,7 @@ def shared_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not sc.master.startswith("local["):
+        if not folder and not (sc.master == "local" or sc.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="paperlode-"))
     return sc.getCheckpointDir()
@@ -44,6 +46,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove shuffle files and checkpoints of steps that nothing refers to any more.
+
+    Spark's cleaner acts when the driver's JVM has collected the objects that stand for them; those that hold others
+    go first, so this takes a few rounds.
+    """
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.7)
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """The table, written once, and marked for broadcast if its counted rows are within ``rows``; else joined by shuffle."""
     written = fixed(df)
