@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from paperlode.llm import blocks as bl
 from paperlode.llm.components import components
 from paperlode.llm.hashing import U, Windows, mix
-from paperlode.llm.tables import fixed
+from paperlode.llm.tables import fixed, small as small_table
 from paperlode.llm.window_dedup import Words
 
 BANDS, ROWS = 48, 4
@@ -185,9 +185,15 @@ def verified(pairs: DataFrame, payloads: DataFrame, size: int, percent: int) ->
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=_LINK)
 
-    left = payloads.select(F.col("node").alias("a"), F.col("payload").alias("payload_a"))
+    # A hot node's text is repeated once per share of its partners. Hot nodes are at most pairs / CHUNK.
+    many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("shares")).filter("shares > 1")
+    hot = small_table(many, 100_000)
+    left = payloads.select(F.col("node").alias("a"), F.col("payload").alias("payload_a")).join(hot, "a", "left")
+    left = left.withColumn("share", F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1))).drop("shares")
     right = payloads.select(F.col("node").alias("b"), F.col("payload").alias("payload_b"))
-    full = pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "payload_a", "payload_b")
+    dealt = pairs.select("a", "b").join(hot, "a", "left")
+    dealt = dealt.withColumn("share", F.coalesce(F.pmod(F.xxhash64("b"), F.col("shares")), F.lit(0)).cast("int")).drop("shares")
+    full = dealt.join(right, "b").join(left, ["a", "share"]).select("a", "b", "payload_a", "payload_b")
     return full.mapInArrow(run, "a bigint, b bigint")
 
 
