@@ -113,6 +113,8 @@ def candidates(lines: DataFrame) -> DataFrame:
     worded = F.filter(F.arrays_zip("hashes", "words"), lambda x: x["words"] > 0)
     rows = single.select("doc_id", "text_hash", F.explode(F.array_distinct(F.transform(worded, lambda x: x["hashes"]))).alias("h"))
     holders = rows.groupBy("h").agg(F.min(F.struct("doc_id", "text_hash")).alias("holder"), F.count(F.lit(1)).alias("docs")).filter("docs > 1")
+    # Written, so that the join has shuffles of its own, whose hot lines Spark can split.
+    holders = fixed(holders)
     met = rows.join(holders, "h").filter(
         ~(F.col("doc_id").eqNullSafe(F.col("holder.doc_id")) & (F.col("text_hash") == F.col("holder.text_hash")))
     )
