@@ -203,6 +203,7 @@ STAGE_LIMITS_MS = [
 # The four fields of a ledger record.
 LEDGER_FIELDS = ["Paper Link", "Dataset Link", "Dataset Description", "Timestamp"]
 
+# Members of a source archive that are read, and the largest archive that is opened.
 TEXT_MEMBERS = (".tex", ".bib", ".txt", ".md")
 SOURCE_MEMBERS = (".tex", ".bib", ".md", ".txt", ".sty", ".cls")
 ARCHIVE_LIMIT_BYTES = 50 * 1024 * 1024
