@@ -15,7 +15,8 @@ access, rank, select and occurrence lookup without being decoded.
 
 Encoding. A text is cut at single blanks between other characters. The tokenizer never joins across such a cut,
 so the pieces are encoded apart, each distinct one once per worker, and their ids are put together. Everything else in a
-text (runs of white space, line breaks) stays inside a piece. The splitter and the model of the tokenizer file do the work.
+text (runs of white space, line breaks) stays inside a piece. The splitter and the model of the tokenizer file do
+the work; only words of Latin letters skip the splitter, which would leave them whole.
 
 Cases: null and empty texts have the end id only; null document ids come first; equal ids are ordered by text;
 repeated rows are written as often as they occur; an empty table gives no shard and an empty result; other columns
@@ -37,10 +38,17 @@ BITS = 16
 END_ID = 0
 SHARD_TOKENS = 1 << 20
 _BLOCK = 512
-#: Entries after which a worker's table of encoded pieces starts anew.
-_KEEP = 600_000
+#: Entries after which a worker's tables of encoded pieces and of their parts start anew.
+_KEEP = 1_200_000
+_KEEP_PARTS = 1_500_000
 _DOUBLE = re.compile(r"\s\s")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+_LATIN = re.compile(" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+_STOPS = (".", ",")
+# Byte-level tokenizers write a byte as a printable character: itself, or the next one from 256 on.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_ALPHABET = dict(zip((b for b in range(256) if b not in _PRINTABLE), range(256, 324), strict=True))
+_BLANK = chr(_ALPHABET[32])
 
 SHARD = "shard bigint, doc_ids array<bigint>, doc_tokens array<bigint>, n_tokens bigint, zeros array<bigint>, planes binary"
 _ARROW_SHARD = pa.schema([
@@ -60,12 +68,11 @@ class WaveletMatrix:
     def build(cls, ids: np.ndarray) -> "WaveletMatrix":
         zeros, planes = [], []
         for b in reversed(range(BITS)):
-            bit = (ids >> np.uint16(b)).astype(np.uint8) & 1
+            bit = (ids & np.uint16(1 << b)).astype(bool)
             planes.append(np.packbits(bit, bitorder="little"))
-            bit = bit.view(bool)
-            low = ids[~bit]
+            low, high = np.flatnonzero(~bit), np.flatnonzero(bit)
             zeros.append(len(low))
-            ids = np.concatenate([low, ids[bit]])
+            ids = np.concatenate([ids[low], ids[high]])
         return cls(len(ids), zeros, planes)
 
     @classmethod
@@ -86,8 +93,8 @@ class WaveletMatrix:
         for level in reversed(range(BITS)):
             bit = self._bits(level)
             before = np.empty_like(now)
-            before[~bit] = now[:self.zeros[level]]
-            before[bit] = now[self.zeros[level]:] | np.uint16(1 << (BITS - 1 - level))
+            before[np.flatnonzero(~bit)] = now[:self.zeros[level]]
+            before[np.flatnonzero(bit)] = now[self.zeros[level]:] | np.uint16(1 << (BITS - 1 - level))
             now = before
         return now
 
@@ -189,17 +196,16 @@ class Encoder:
 
     @staticmethod
     def pieces(text: str) -> list[str]:
+        """The parts between safe cuts."""
         if text[0].isspace() or text[-1].isspace() or _DOUBLE.search(text):
-            parts = _CUT.split(text)
-        else:
-            parts = text.split(" ")
-        return parts
+            return _CUT.split(text)
+        return text.split(" ")
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian 16-bit numbers. A key's mark tells a first piece from a later one."""
         if len(self.known) > _KEEP:
             self.known.clear()
-        if len(self.parts) > _KEEP:
+        if len(self.parts) > _KEEP_PARTS:
             self.parts.clear()
         out = []
         for t in texts:
@@ -217,14 +223,31 @@ class Encoder:
                 out.append(b"".join(map(self.known.__getitem__, keys)))
         return out
 
+    def _part(self, part: str) -> bytes:
+        """Ids of a part, given in the tokenizer's alphabet of bytes."""
+        ids = self.parts.get(part)
+        if ids is None:
+            ids = self.parts[part] = array("H", [t.id for t in self.tokenizer.model.tokenize(part)]).tobytes()
+        return ids
+
+    def _word(self, word: str) -> bytes | None:
+        """Ids of a word of Latin letters with or without a blank in front, which is a part as it is; else None."""
+        if word.isascii():
+            letters = word[1:] if word[:1] == " " else word
+            if not letters.isalpha():
+                return None
+            return self._part(_BLANK + letters if letters is not word else word)
+        if _LATIN.fullmatch(word):
+            return self._part(word.encode().decode("latin-1").translate(_ALPHABET))
+        return None
+
     def _piece(self, text: str) -> bytes:
-        """Ids of a piece: the tokenizer's own splitter cuts it, its model encodes each part that is new."""
-        found = []
-        for part, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text):
-            if part not in self.parts:
-                self.parts[part] = array("H", [t.id for t in self.tokenizer.model.tokenize(part)]).tobytes()
-            found.append(self.parts[part])
-        return b"".join(found)
+        """Ids of a piece. Words, perhaps with a comma or full stop, are parts as they are; the splitter cuts the rest."""
+        stop = text[-1:]
+        ids = self._word(text[:-1] if stop in _STOPS else text)
+        if ids is None:
+            return b"".join(self._part(p) for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text))
+        return ids + self._part(stop) if stop in _STOPS else ids
 
 
 def _rounds(ids: list, texts: list):
