@@ -3,7 +3,8 @@
 Each stage takes the documents that the one before kept, applies one operator to all of them, and returns documents
 with the same columns; the last one writes token files and returns what they hold. ``n_chars`` follows the text where
 a stage changes it (lines that are frequent on a host go; documents at the end of a source's share are cut; a
-document that the mix takes twice comes twice).
+document that the mix takes twice comes twice). Ids may be null or repeated: a row is known by id and text, and one row
+of each group of near copies stays.
 
 No SQL gives the same rows: the mix deals documents by a hash order that DuckDB lacks. Tests run the stages against
 brute force.
@@ -14,31 +15,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperlode.llm import decontaminate, line_quality, mixing, near_dedup, token_store
-from paperlode.llm.tables import new_folder, small, table
+from paperlode.llm.tables import new_folder, table
 
 
 def _recounted(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast("bigint"))
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Documents whose id is not in a table of ids."""
-    gone = small(ids.select(F.col("doc_id").alias("__id")).distinct(), 500_000)
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _recounted(line_quality.apply(docs, line_quality.assess(docs)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = near_dedup.digests(near_dedup.near_duplicates(docs))
-    return _without(docs, judged.filter(~F.col("kept")))
+    return near_dedup.apply(docs, near_dedup.near_duplicates(docs))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.digests(decontaminate.find_items(docs, table(spark, sf_dir, "benchmark")))
-    return _without(docs, found.filter("contaminated"))
+    return decontaminate.apply(docs, decontaminate.find_items(docs, table(spark, sf_dir, "benchmark")))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,6 +19,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperlode.llm.tables import small
+
 # Fixed value: word characters are digits, letters a-z and everything beyond ASCII; A-Z count as a-z.
 _TABLE = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
@@ -26,9 +28,9 @@ _TABLE = bytes(
 GROUP_BYTES = 1 << 20
 #: Bits of the shift table's index.
 _BITS = 20
-SCHEMA = "doc_id bigint, text_hash string, n_words bigint, spans array<struct<first:bigint,end:bigint>>, items array<string>"
+SCHEMA = "doc_id bigint, mark bigint, text_hash string, n_words bigint, spans array<struct<first:bigint,end:bigint>>, items array<string>"
 _ARROW = pa.schema([
-    ("doc_id", pa.int64()), ("text_hash", pa.string()), ("n_words", pa.int64()),
+    ("doc_id", pa.int64()), ("mark", pa.int64()), ("text_hash", pa.string()), ("n_words", pa.int64()),
     ("spans", pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string())),
 ])
 
@@ -123,11 +125,11 @@ def _pass(docs: DataFrame, items: list[tuple[str, str | None]], window: int) ->
         searches = _searches(items, window)
         for batch in batches:
             out = []
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for i, t, m in zip(*[batch.column(k).to_pylist() for k in range(3)], strict=True):
                 words = words_of(t)
                 spans, names = hits_of(words, searches)
                 out.append({
-                    "doc_id": i, "text_hash": xxhash.xxh3_128_hexdigest((t or "").encode("utf-8", "replace")), "n_words": len(words),
+                    "doc_id": i, "mark": m, "text_hash": xxhash.xxh3_128_hexdigest((t or "").encode("utf-8", "replace")), "n_words": len(words),
                     "spans": [{"first": a, "end": b} for a, b in spans], "items": sorted(names),
                 })
             yield pa.RecordBatch.from_pylist(out, schema=_ARROW)
@@ -146,11 +148,13 @@ def find_items(
     docs: DataFrame, benchmark: DataFrame, window: int = 13, group_bytes: int = GROUP_BYTES,
     id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text",
 ) -> DataFrame:
-    """Occurrences per document: (doc_id, text_hash, n_words, spans, items), one row per input row.
+    """Occurrences per document: (doc_id, mark, text_hash, n_words, spans, items), one row per input row.
 
+    ``mark`` is Spark's hash of the text, by which rows find their document again (null and empty texts differ);
     ``spans`` are maximal runs of hit words [first, end), ``items`` the sorted ids of the items found.
     """
     plain = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    plain = plain.withColumn("mark", F.xxhash64("text"))
     asked = benchmark.select(
         F.coalesce(F.col(item_id_col).cast("string"), F.lit("")).alias("item_id"), F.col(item_text_col).cast("string").alias("text")
     )
@@ -165,12 +169,12 @@ def find_items(
     every = passes[0]
     for p in passes[1:]:
         every = every.unionByName(p)
-    joined = every.groupBy("doc_id", "text_hash", "n_words").agg(
+    joined = every.groupBy("doc_id", "mark", "text_hash", "n_words").agg(
         F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         (F.count(F.lit(1)) / n).cast("int").alias("copies"),
     )
-    return joined.select("doc_id", "text_hash", "n_words", _merge("spans").alias("spans"), "items", F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("c")).drop("c")
+    return joined.select("doc_id", "mark", "text_hash", "n_words", _merge("spans").alias("spans"), "items", F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("c")).drop("c")
 
 
 def _merge(spans: str) -> Column:
@@ -187,12 +191,26 @@ def _merge(spans: str) -> Column:
     return F.aggregate(F.col(spans), empty, add)
 
 
+def _hit_words() -> Column:
+    return F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s["end"] - s["first"])
+
+
+def _contaminated(n_hit: Column) -> Column:
+    return (n_hit > 0) & (20 * n_hit >= F.col("n_words"))
+
+
+def apply(docs: DataFrame, result: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents with all their columns, without those that :func:`find_items` shows contaminated, by id and text."""
+    gone = result.filter(_contaminated(_hit_words())).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).distinct()
+    on = F.col(id_col).cast("bigint").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__mark"))
+    return docs.join(small(gone, 500_000), on, "left_anti")
+
+
 def digests(result: DataFrame) -> DataFrame:
     """Counts per document from :func:`find_items`; contaminated from 5 % of the words on."""
-    n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s["end"] - s["first"])
-    counted = result.select("doc_id", "n_words", n_hit.alias("n_hit"), "items")
+    counted = result.select("doc_id", "n_words", _hit_words().alias("n_hit"), "items")
     return counted.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+        _contaminated(F.col("n_hit")).alias("contaminated"),
     )

@@ -26,7 +26,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperlode.llm import blocks as bl
@@ -121,24 +121,27 @@ def _parts(ids, texts):
         yield some
 
 
-_SKETCHED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("bands", pa.list_(pa.int64()))])
+_SKETCHED = pa.schema([
+    ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("bands", pa.list_(pa.int64())),
+])
 
 
 def sketched(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n_shingles, node, bands) per document; node and bands are null for empty sets."""
+    """(doc_id, text_hash, n_shingles, node, bands) per row (doc_id, text, text_hash); node and bands are null for empty sets."""
 
     def run(batches):
         for batch in batches:
-            for ids, texts in _parts(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            keys = zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)
+            for ids, texts in _parts(keys, batch.column(1).to_pylist()):
                 out = []
-                for i, s in zip(ids, shingle_sets(texts, size), strict=True):
-                    row = {"doc_id": i, "n_shingles": len(s), "node": None, "bands": None}
+                for (i, h), s in zip(ids, shingle_sets(texts, size), strict=True):
+                    row = {"doc_id": i, "text_hash": h, "n_shingles": len(s), "node": None, "bands": None}
                     if len(s):
                         row |= {"node": node_of(s), "bands": bands_of(sketch(s)).astype(np.int64).tolist()}
                     out.append(row)
                 yield pa.RecordBatch.from_pylist(out, schema=_SKETCHED)
 
-    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, node bigint, bands array<bigint>")
+    return docs.mapInArrow(run, "doc_id bigint, text_hash bigint, n_shingles bigint, node bigint, bands array<bigint>")
 
 
 _PAYLOAD = pa.schema([("node", pa.int64()), ("payload", pa.binary())])
@@ -270,9 +273,12 @@ def _unit_links(units: DataFrame, payloads: DataFrame, size: int, percent: int,
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, small: int = SMALL, chunk: int = CHUNK
 ) -> DataFrame:
-    """(doc_id, n_shingles, component_id), one row per input row; component_id is the smallest id reachable."""
+    """(doc_id, text_hash, n_shingles, component_id, label), one row per input row; component_id is the smallest id reachable.
+
+    ``label`` names the component, also where all its ids are null; it is null for empty sets.
+    """
     plain = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    every = fixed(sketched(plain, size))
+    every = fixed(sketched(plain.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), size))
     nodes = every.filter("node IS NOT NULL").groupBy("node").agg(
         F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")
     )
@@ -318,11 +324,35 @@ def near_duplicates(
     final = components(links.unionByName(large).unionByName(rest))
     component = nodes.select("node", "rep").join(final, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = component.groupBy("label").agg(F.min("rep").alias("component_id"))
-    of_node = component.join(smallest, "label").select("node", "component_id")
-    joined = every.select("doc_id", "n_shingles", "node").join(of_node, "node", "left")
-    return joined.select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    of_node = component.join(smallest, "label").select("node", "component_id", "label")
+    joined = every.select("doc_id", "text_hash", "n_shingles", "node").join(of_node, "node", "left")
+    of_row = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return joined.select("doc_id", "text_hash", "n_shingles", of_row.alias("component_id"), "label")
+
+
+def apply(docs: DataFrame, result: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents with all their columns, exactly one row of each component of :func:`near_duplicates`.
+
+    The row with the smallest id stays (null last), for equal ids the one with the smallest text hash, and one of rows
+    that agree in both. Rows with empty sets are in no component and all stay.
+    """
+    rows = result.filter("label IS NOT NULL").groupBy("doc_id", "text_hash", "label").agg(F.count(F.lit(1)).alias("copies"))
+    rows = fixed(rows)
+    order = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "text_hash")
+    first = rows.groupBy("label").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("i"), F.col("k.text_hash").alias("h"), F.lit(True).alias("stays"))
+    met = rows.join(first, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_hash") == F.col("h")), "left")
+    # Only rows that go, and rows of which one copy stays, are looked up; the other documents pass.
+    told = met.filter("stays IS NULL OR copies > 1").select(
+        F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.coalesce("stays", F.lit(False)).alias("__stays")
+    )
+    on = F.col(id_col).cast("bigint").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__hash"))
+    marked = docs.join(small_table(told, 500_000), on, "left")
+    others = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    copies = marked.filter("__stays").withColumn("__nth", F.row_number().over(Window.partitionBy("__id", "__hash").orderBy(others)))
+    kept = marked.filter("__hash IS NULL").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return kept.unionByName(copies.filter("__nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns]))
 
 
 def digests(result: DataFrame) -> DataFrame:
     """Result of :func:`near_duplicates` with the verdict: the smallest id of each component stays."""
-    return result.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return result.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
