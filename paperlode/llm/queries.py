@@ -6,7 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperlode.llm import chat, decontaminate, line_align, line_quality, mixing, near_dedup, suffix_dedup, token_store, url_filter, window_dedup
+from paperlode.llm import (
+    chat, decontaminate, line_align, line_quality, mixing, near_dedup, periodic_runs, rule_ensemble, suffix_dedup, token_store, url_filter,
+    whitening, window_dedup,
+)
 from paperlode.llm.tables import new_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -192,3 +195,52 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return line_align.digests(docs, line_align.align(docs))
+
+
+@query("op11_rule_ensemble")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_ensemble.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op12_sturm_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+# CRC-32 of the decimal id, byte by byte; runs are stretches of equal 5-word windows at one distance.
+_CRC = (
+    "xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))), "
+    "lambda a, b: list_reduce(list_concat([xor(a, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), "
+    "lambda x, y: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"
+)
+
+OP13_SQL = f"""
+WITH h AS (SELECT doc_id, text, {_WORDS} AS ws, {_CRC} AS h FROM documents),
+g AS (SELECT doc_id, ws, h, h // 10 AS g, len(ws) AS n FROM h),
+p AS (SELECT *, CASE WHEN n > 0 THEN g % n END AS a, CASE WHEN n > 0 THEN 1 + (n - g % n) // (3 + g % 8) END AS p FROM g),
+d AS (
+  SELECT doc_id, CASE WHEN h % 10 = 0 AND n > 0
+                      THEN list_transform(range(n), lambda i: CASE WHEN i < a THEN ws[i + 1] ELSE ws[a + (i - a) % p + 1] END) ELSE ws END AS ws FROM p),
+win AS (SELECT doc_id, i, array_to_string(ws[i + 1:i + 5], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(len(ws) - 4)) AS i FROM d WHERE len(ws) > 5)),
+pair AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM win AS x JOIN win AS y ON x.doc_id = y.doc_id AND x.k = y.k AND x.i < y.i),
+island AS (
+  SELECT doc_id, q, min(i) AS start, max(i) - min(i) + 5 + q AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS part FROM pair) GROUP BY doc_id, q, part),
+run AS (SELECT doc_id, start, length, min(q) AS period FROM island WHERE length >= 6 AND length >= 4 * q GROUP BY doc_id, start, length),
+best AS (SELECT * FROM run QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length DESC, start, period) = 1),
+told AS (
+  SELECT doc_id, count(*) AS n, sha256(string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period)) AS digest FROM run GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM run),
+word AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS i FROM d),
+kept AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS rest FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_runs, CAST(start AS BIGINT) AS start, CAST(length AS BIGINT) AS length, CAST(period AS BIGINT) AS period,
+       CAST(1000 * length // period AS BIGINT) AS exponent_milli, coalesce(digest, sha256('')) AS runs_sha256, sha256(coalesce(rest, '')) AS collapsed_sha256
+FROM d LEFT JOIN best USING (doc_id) LEFT JOIN told USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
+@query("op13_suffix_automaton_runs", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    planted = docs.select("doc_id", periodic_runs.with_planted_tail(F.col("doc_id"), F.col("text")).alias("text"))
+    return periodic_runs.digests(periodic_runs.periodic_runs(planted))
