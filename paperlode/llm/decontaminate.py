@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperlode.llm.tables import small
+from paperlode.llm.tables import Columns, small
 
 # Fixed value: word characters are digits, letters a-z and everything beyond ASCII; A-Z count as a-z.
 _TABLE = bytes(
@@ -202,8 +202,9 @@ def _contaminated(n_hit: Column) -> Column:
 def apply(docs: DataFrame, result: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with all their columns, without those that :func:`find_items` shows contaminated, by id and text."""
     gone = result.filter(_contaminated(_hit_words())).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).distinct()
-    on = F.col(id_col).cast("bigint").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__mark"))
-    return docs.join(small(gone, 500_000), on, "left_anti")
+    mine = Columns(docs)
+    on = mine[id_col].cast("bigint").eqNullSafe(F.col("__id")) & (F.xxhash64(mine[text_col].cast("string")) == F.col("__mark"))
+    return mine.back(mine.df.join(small(gone, 500_000), on, "left_anti"))
 
 
 def digests(result: DataFrame) -> DataFrame:

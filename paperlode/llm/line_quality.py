@@ -2,11 +2,12 @@
 
 Line frequency. Lines are normalised (lower case, single blanks) and hashed. Per host the distinct documents with
 a line are counted; documents of equal text are one document, so copies alone make no line frequent. Lines in more
-than ``max(min_docs, share * documents of the host)`` documents are removed. A document is depleted if fewer than
-``min_words`` words or less than half of its words remain.
+than ``max_docs`` documents of their host are removed; the limit is the same for small and large hosts. A document is
+depleted if fewer than ``min_words`` words or less than half of its words remain.
 
-A host has at most (mean lines per document / share) such lines, so they fit an array per host; the documents meet
-it by a join on the host that Spark can split, and no line row is shuffled a second time.
+Lines meet the frequent ones by a join on (host, hash): by broadcast within counted rows and bytes, else by a shuffle of
+written rows, whose hot lines Spark splits. What a document loses is added up per (id, text, host) and joined back, so no
+array grows with a host.
 
 Cases: null text has no words and no lines and fails the base rules; null host is a host of its own; null ids are
 carried through; repeated rows get equal results; an empty table gives an empty result; long texts are handled in
@@ -18,14 +19,13 @@ Everything is a DataFrame expression; no Python runs on the executors.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperlode.llm.tables import BLANKS, fixed, small, word_list
+from paperlode.llm.tables import BLANKS, Columns, fixed, small, word_list
 
 WINDOW = 8
 MIN_WORDS = 20
 REPEAT_PERCENT = 30
 SYMBOLS = "#*$%&|<>"
-SHARE = 0.2
-MIN_DOCS = 20
+MAX_DOCS = 20
 
 
 def _without(text: Column, characters: str) -> Column:
@@ -88,49 +88,57 @@ def base_counts(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> D
     ))
 
 
-def frequent_lines(counted: DataFrame, share: float = SHARE, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(host, frequent): the hashes of lines above the limit, for hosts that have such lines."""
+def frequent_lines(counted: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
+    """(of_host, line, docs): the hashes of lines in more than ``max_docs`` distinct documents of their host."""
     one = counted.select("host", "text_hash", F.array_distinct(F.col("lines.h")).alias("h")).dropDuplicates(["host", "text_hash"])
-    sizes = one.groupBy("host").agg(F.count(F.lit(1)).alias("docs"))
-    often = one.select("host", F.explode("h").alias("h")).groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > min_docs)
-    joined = often.alias("o").join(sizes.alias("s"), F.col("o.host").eqNullSafe(F.col("s.host"))).filter(F.col("n") > share * F.col("docs"))
-    return joined.groupBy(F.col("o.host").alias("host")).agg(F.collect_list("h").alias("frequent"))
+    often = one.select("host", F.explode("h").alias("h")).groupBy("host", "h").agg(F.count(F.lit(1)).alias("docs"))
+    return often.filter(F.col("docs") > max_docs).select(F.col("host").alias("of_host"), F.col("h").alias("line"), "docs")
 
 
-def assess(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", share: float = SHARE, min_docs: int = MIN_DOCS
-) -> DataFrame:
-    """One row per input row: doc_id, host, text_hash, the base counts, base_failed, removed_words, cut, kept.
+def _same_row(*names: str) -> Column:
+    """Equality of id, text and host, where ids and hosts may be null."""
+    i, t, h = names
+    return F.col("doc_id").eqNullSafe(F.col(i)) & (F.col("text_hash") == F.col(t)) & F.col("host").eqNullSafe(F.col(h))
 
-    ``cut`` holds the hashes of the host's frequent lines; ``kept`` is the verdict.
+
+def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = MAX_DOCS) -> DataFrame:
+    """One row per input row: doc_id, host, text_hash, the base counts, base_failed, removed_words, removed_lines, cut, kept.
+
+    ``cut`` holds the hashes of the document's lines that go; ``kept`` is the verdict.
     """
     counted = base_counts(docs, id_col, text_col, host_col)
-    found = frequent_lines(counted, share, min_docs).withColumnRenamed("host", "of_host")
-    none = F.array().cast("array<bigint>")
-    met = counted.join(found, F.col("host").eqNullSafe(F.col("of_host")), "left").withColumn("cut", F.coalesce("frequent", none))
-    gone = F.aggregate(
-        "lines", F.lit(0).cast("bigint"), lambda a, x: a + F.when(F.array_contains(F.col("cut"), x["h"]), x["n"]).otherwise(0)
+    found = small(frequent_lines(counted, max_docs).drop("docs"), 500_000)
+    # Rows of one id, text and host are alike: their lines are looked up once.
+    alike = counted.filter(F.size("lines") > 0).dropDuplicates(["doc_id", "text_hash", "host"])
+    lines = alike.select("doc_id", "text_hash", "host", F.explode("lines").alias("x")).select("doc_id", "text_hash", "host", "x.h", "x.n")
+    met = lines.join(found, F.col("host").eqNullSafe(F.col("of_host")) & (F.col("h") == F.col("line")))
+    losses = met.groupBy(F.col("doc_id").alias("i"), F.col("text_hash").alias("t"), F.col("host").alias("o")).agg(
+        F.sum("n").alias("gone"), F.count(F.lit(1)).alias("gone_lines"), F.collect_set("h").alias("hashes")
     )
+    joined = counted.drop("lines").join(small(losses, 500_000), _same_row("i", "t", "o"), "left")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    left = F.col("n_words") - F.col("removed_words")
-    return met.withColumn("removed_words", F.when(F.size("cut") > 0, gone).otherwise(F.lit(0).cast("bigint"))).select(
+    zero = F.lit(0).cast("bigint")
+    left = F.col("n_words") - F.coalesce("gone", zero)
+    return joined.select(
         "doc_id", "host", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
-        "removed_words", "cut", (~failed & (left >= MIN_WORDS) & (2 * left >= F.col("n_words"))).alias("kept"),
+        F.coalesce("gone", zero).alias("removed_words"), F.coalesce("gone_lines", zero).alias("removed_lines"),
+        F.coalesce("hashes", F.array().cast("array<bigint>")).alias("cut"), (~failed & (left >= MIN_WORDS) & (2 * left >= F.col("n_words"))).alias("kept"),
     )
 
 
 def apply(docs: DataFrame, assessed: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """The kept documents with all their columns, without the frequent lines of their host.
+    """The kept documents with all their columns, without the lines that are frequent on their host.
 
-    Rejects and hosts with frequent lines are joined by broadcast only within counted bounds.
+    Only rejects and documents that lose lines are looked up; a text without such lines stays as it is.
     """
-    judged = fixed(assessed.select("doc_id", "text_hash", "host", "cut", "kept"))
-    rejects = judged.filter(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    hosts = judged.filter(F.size("cut") > 0).dropDuplicates(["host"]).select(F.col("host").alias("__host"), F.col("cut").alias("__cut"))
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rejected = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__hash"))
-    stay = docs.join(small(rejects, 500_000), rejected, "left_anti")
-    met = stay.join(small(hosts, 20_000), F.col(host_col).cast("string").eqNullSafe(F.col("__host")), "left")
+    mine = Columns(docs)
+    told = assessed.filter(~F.col("kept") | (F.size("cut") > 0)).dropDuplicates(["doc_id", "text_hash", "host"]).select(
+        F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("host").alias("__host"), F.col("cut").alias("__cut"), F.col("kept").alias("__kept")
+    )
+    text = F.coalesce(mine[text_col].cast("string"), F.lit(""))
+    on = (
+        mine[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__hash")) & mine[host_col].cast("string").eqNullSafe(F.col("__host"))
+    )
+    met = mine.df.join(small(told, 500_000), on, "left").filter(F.coalesce("__kept", F.lit(True)))
     rest = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(F.col("__cut"), F.xxhash64(normal_line(x)))), "\n")
-    out = met.withColumn(text_col, F.when(F.col("__cut").isNotNull(), rest).otherwise(F.col(text_col)))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return mine.back(met.withColumn(mine.key(text_col), F.when(F.size("__cut") > 0, rest).otherwise(mine[text_col])))

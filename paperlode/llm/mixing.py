@@ -25,7 +25,7 @@ columns are ignored. Reruns over the same rows agree.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperlode.llm.tables import fixed, word_count
+from paperlode.llm.tables import Columns, fixed, word_count
 from paperlode.operators.ranks import running_total
 
 WEIGHTS = (3, 1, 2)
@@ -227,12 +227,13 @@ def apply(docs: DataFrame, documents: DataFrame, pieces: DataFrame, id_col: str
     used = fixed(alike.filter("size > 0").join(sums, ["k", "start"]).select(
         F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "__row", "__words", F.col("size").alias("__size")
     ))
-    named = docs.withColumns({"__key": F.col(id_col), "__text_hash": F.xxhash64(F.col(text_col).cast("string"))})
+    mine = Columns(docs)
+    named = mine.df.withColumns({"__key": mine[id_col], "__text_hash": F.xxhash64(mine[text_col].cast("string"))})
     repeats = used.filter("__row > 1").limit(1).count()
     number = F.row_number().over(Window.partitionBy("__key", "__text_hash").orderBy(F.lit(0))) if repeats else F.lit(1)
     named = named.withColumn("__number", number)
     on = F.col("__key").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")) & (F.col("__number") == F.col("__row"))
-    parts = F.filter(F.split(text_col, "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != "")
+    parts = F.filter(F.split(mine[text_col], "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != "")
     cut = F.array_join(F.slice(parts, 1, F.col("__words").cast("int")), " ")
-    out = named.join(used, on).withColumn(text_col, F.when(F.col("__words") < F.col("__size"), cut).otherwise(F.col(text_col)))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    text = F.when(F.col("__words") < F.col("__size"), cut).otherwise(mine[text_col])
+    return mine.back(named.join(used, on).withColumn(mine.key(text_col), text))

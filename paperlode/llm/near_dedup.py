@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from paperlode.llm import blocks as bl
 from paperlode.llm.components import components
 from paperlode.llm.hashing import U, Windows, mix
-from paperlode.llm.tables import fixed, small as small_table
+from paperlode.llm.tables import Columns, fixed, small as small_table
 from paperlode.llm.window_dedup import Words
 
 BANDS, ROWS = 48, 4
@@ -148,7 +148,7 @@ _PAYLOAD = pa.schema([("node", pa.int64()), ("payload", pa.binary())])
 
 
 def _payloads(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(node, payload): the compressed text of one document for each wanted (node, rep)."""
+    """(node, payload): the compressed text of one document for each wanted (node, rep, rep_hash)."""
 
     def run(batches):
         for batch in batches:
@@ -157,11 +157,12 @@ def _payloads(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 out = [
                     {"node": n, "payload": zstandard.ZstdCompressor(level=3).compress(t)}
                     for n, t, s in zip(group, part, shingle_sets(part, size), strict=True)
-                    if len(s) and node_of(s) == n  # another text can carry the same id
+                    if len(s) and node_of(s) == n  # another text can have the same hash
                 ]
                 yield pa.RecordBatch.from_pylist(out, schema=_PAYLOAD)
 
-    joined = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
+    on = (F.col("text_hash") == F.col("rep_hash")) & F.col("doc_id").eqNullSafe(F.col("rep"))
+    joined = docs.join(wanted, on).select("node", "text")
     return joined.mapInArrow(run, "node bigint, payload binary").dropDuplicates(["node"])
 
 
@@ -278,11 +279,11 @@ def near_duplicates(
     ``label`` names the component, also where all its ids are null; it is null for empty sets.
     """
     plain = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    every = fixed(sketched(plain.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), size))
-    nodes = every.filter("node IS NOT NULL").groupBy("node").agg(
-        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")
-    )
-    nodes = fixed(nodes)
+    plain = plain.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    every = fixed(sketched(plain, size))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "text_hash"))
+    nodes = every.filter("node IS NOT NULL").groupBy("node").agg(first.alias("r"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    nodes = fixed(nodes.select("node", F.col("r.doc_id").alias("rep"), F.col("r.text_hash").alias("rep_hash"), "n", "bands"))
 
     # Memberships of buckets with two nodes or more.
     rows = nodes.select("node", "n", F.explode("bands").alias("band"))
@@ -296,7 +297,7 @@ def near_duplicates(
         (100 * F.least("n", "c.n") >= percent * F.greatest("n", "c.n"))
     ).select(F.col("c.node").alias("a"), F.col("node").alias("b")).distinct()
     stars = fixed(stars)
-    wanted = member.select("node").distinct().join(nodes.select("node", "rep"), "node")
+    wanted = member.select("node").distinct().join(nodes.select("node", "rep", "rep_hash"), "node")
     payloads = fixed(_payloads(plain, wanted, size))
     links = fixed(verified(stars, payloads, size, percent))
 
@@ -345,12 +346,13 @@ def apply(docs: DataFrame, result: DataFrame, id_col: str = "doc_id", text_col:
     told = met.filter("stays IS NULL OR copies > 1").select(
         F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.coalesce("stays", F.lit(False)).alias("__stays")
     )
-    on = F.col(id_col).cast("bigint").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__hash"))
-    marked = docs.join(small_table(told, 500_000), on, "left")
-    others = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    mine = Columns(docs)
+    on = mine[id_col].cast("bigint").eqNullSafe(F.col("__id")) & (F.xxhash64(mine[text_col].cast("string")) == F.col("__hash"))
+    marked = mine.df.join(small_table(told, 500_000), on, "left")
+    # One of the rows that agree: Spark keeps one per key in front of the shuffle, so copies don't meet in one task.
+    others = F.xxhash64(*mine.df.columns)
     copies = marked.filter("__stays").withColumn("__nth", F.row_number().over(Window.partitionBy("__id", "__hash").orderBy(others)))
-    kept = marked.filter("__hash IS NULL").select(*[F.col(f"`{c}`") for c in docs.columns])
-    return kept.unionByName(copies.filter("__nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns]))
+    return mine.back(marked.filter("__hash IS NULL")).unionByName(mine.back(copies.filter("__nth = 1")))
 
 
 def digests(result: DataFrame) -> DataFrame:

@@ -129,10 +129,7 @@ rep AS (
 line AS (
   SELECT doc_id, source, text, trim(regexp_replace(lower(l), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS l, len(regexp_extract_all(l, '[^\\x20\\x09-\\x0D]+')) AS n
   FROM (SELECT doc_id, source, text, unnest(lines) AS l FROM d)),
-host AS (SELECT source, count(DISTINCT text) AS docs FROM d GROUP BY source),
-often AS (
-  SELECT f.source, f.l FROM (SELECT source, l, count(DISTINCT text) AS n FROM line GROUP BY source, l) AS f
-  JOIN host ON f.source IS NOT DISTINCT FROM host.source WHERE n > 20 AND n > 0.2 * docs),
+often AS (SELECT source, l FROM line GROUP BY source, l HAVING count(DISTINCT text) > 20),
 gone AS (
   SELECT doc_id, sum(n) AS n FROM line JOIN often ON line.source IS NOT DISTINCT FROM often.source AND line.l = often.l GROUP BY doc_id),
 counted AS (

@@ -58,10 +58,47 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.7)
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """The table, written once, and marked for broadcast if its counted rows are within ``rows``; else joined by shuffle."""
+#: Bytes of values up to which a table may be broadcast.
+BROADCAST_BYTES = 16 << 20
+
+
+def _bytes(name: str, kind: str) -> Column:
+    """Bytes of a value: text as it is, eight for each number, also in arrays."""
+    if kind in ("string", "binary"):
+        size = F.octet_length(name)
+    elif kind.startswith("array<") and not kind.startswith(("array<string", "array<array", "array<struct", "array<map")):
+        size = 8 * F.size(name)
+    elif kind.startswith(("array", "struct", "map")):
+        size = F.octet_length(F.to_json(F.struct(name)))
+    else:
+        size = F.lit(8)
+    return F.coalesce(size, F.lit(0)) + 8
+
+
+def small(df: DataFrame, rows: int, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The table, written once, and marked for broadcast if its counted rows and bytes are within bounds; else joined by shuffle."""
     written = fixed(df)
-    return F.broadcast(written) if written.count() <= rows else written
+    size = sum((_bytes(c, t) for c, t in written.dtypes), F.lit(0)).cast("bigint")
+    n, total = written.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(written) if n <= rows and total <= max_bytes else written
+
+
+class Columns:
+    """A table of the caller with its columns numbered, so that no column of an operator can clash with them."""
+
+    def __init__(self, df: DataFrame):
+        self.names = df.columns
+        self.df = df.toDF(*[f"c{k}" for k in range(len(self.names))])
+
+    def __getitem__(self, name: str) -> Column:
+        return F.col(f"c{self.names.index(name)}")
+
+    def key(self, name: str) -> str:
+        return f"c{self.names.index(name)}"
+
+    def back(self, df: DataFrame) -> DataFrame:
+        """The caller's columns with their own names."""
+        return df.select(*[F.col(f"c{k}").alias(n) for k, n in enumerate(self.names)])
 
 
 def new_folder(spark: SparkSession, name: str) -> str:

@@ -123,18 +123,17 @@ def normal(line):
     return re.sub("[ \t\n\x0b\f\r]+", " ", line).strip(" ").lower()
 
 
-def quality(docs, share=0.2, min_docs=20):
+def quality(docs, max_docs=20):
     """docs: (id, text, host)."""
-    per_host, holders = defaultdict(set), defaultdict(set)
+    holders = defaultdict(set)
     for _, t, h in docs:
-        per_host[h].add(t or "")
         for x in (t or "").split("\n"):
             if words(x):
                 holders[h, normal(x)].add(t)
     out = []
     for d, t, h in docs:
         n, chars, symbols, dup, rep = base_counts(t)
-        often = [x for x in (t or "").split("\n") if len(holders[h, normal(x)]) > max(min_docs, share * len(per_host[h]))]
+        often = [x for x in (t or "").split("\n") if len(holders[h, normal(x)]) > max_docs]
         left = n - sum(len(words(x)) for x in often)
         failed = n < 20 or 100 * rep > 30 * n
         out.append((d, n, chars, symbols, dup, rep, failed, not failed and left >= 20 and 2 * left >= n))

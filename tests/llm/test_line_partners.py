@@ -3,7 +3,7 @@
 import random
 
 import brute
-from test_operators import prose
+from test_llm_operators import prose
 
 from paperlode.llm import line_align
 

@@ -162,6 +162,56 @@ def test_line_quality(spark, edge, nothing, documents):
     assert left[1] == f"{prose(1, 40)}\n{prose(1001, 20)}" and left[200] == docs[0][1]
 
 
+def test_line_rule_acts(spark):
+    """On the larger tables the limit of 20 documents takes lines off, rejects few documents, and is the same for a large host."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").repartition(8)
+    judged = line_quality.assess(docs).cache()
+    cut = judged.filter("removed_lines > 0")
+    assert cut.count() > 500 and judged.agg(F.sum("removed_lines")).first()[0] >= cut.count()
+    depleted = judged.filter("not base_failed and not kept")
+    assert 0 < depleted.count() < 0.01 * judged.count()
+    whole = line_quality.apply(docs, judged)
+    assert whole.count() == judged.filter("kept").count()
+    host = docs.withColumn("source", F.lit("one"))
+    assert line_quality.assess(host).agg(F.sum("removed_lines")).first()[0] > judged.agg(F.sum("removed_lines")).first()[0]
+
+
+HIDDEN = ["__id", "__hash", "__cut", "__key", "__text_hash", "__words", "__size", "__row", "__number", "__nth", "__stays", "__mark", "__host", "__kept"]
+
+
+def test_apply_with_columns_of_any_name(spark, edge):
+    """No column of the caller clashes with one that an operator uses."""
+    plain = edge.select("doc_id", "text", "source")
+    odd = plain.withColumns({c: F.lit("mine") for c in [*HIDDEN, "c0", "a b", "x.y"]})
+    items = spark.createDataFrame([(1, prose(4, 20))], "item_id bigint, text string")
+
+    def results(df):
+        return [
+            line_quality.apply(df, line_quality.assess(df)), near_dedup.apply(df, near_dedup.near_duplicates(df)),
+            decontaminate.apply(df, decontaminate.find_items(df, items)), mixing.apply(df, *mixing.mix(df)), line_align.apply(df, line_align.align(df)),
+        ]
+
+    for got, wanted in zip(results(odd), results(plain), strict=True):
+        assert got.columns == odd.columns and {r["__id"] for r in got.collect()} <= {"mine"}
+        assert rows(got.select("doc_id", "text", "source")) == rows(wanted)
+
+
+def test_near_duplicates_without_ids(spark):
+    """Null ids, or one id for all rows, give the same groups as ids of their own."""
+    rng = random.Random(8)
+    texts = [prose(700 + k % 40, 60) + (" tail" if rng.random() < 0.5 else "") for k in range(120)]
+
+    def groups(ids):
+        df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id bigint, text string")
+        found = near_dedup.near_duplicates(df).select("text_hash", "label").distinct().collect()
+        by = {}
+        for r in found:
+            by.setdefault(r["label"], set()).add(r["text_hash"])
+        return sorted(map(sorted, by.values()))
+
+    assert groups(range(120)) == groups([None] * 120) == groups([7] * 120)
+
+
 def sizes_of(docs):
     out = {}
     for _, t, s in docs:

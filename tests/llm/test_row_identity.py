@@ -1,6 +1,6 @@
 """Pipeline stages over null and repeated ids: a row is known by its id and text."""
 
-from test_operators import prose
+from test_llm_operators import prose
 
 import corpus_pipeline
 
