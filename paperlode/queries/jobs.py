@@ -59,7 +59,8 @@ def _work(rows: DataFrame) -> DataFrame:
     })
 
 
-_CFG = FeedConfig(categories=FEED_CATEGORIES)
+#: A landing reaches back over the quarter before it: less than 16 days.
+_CFG = FeedConfig(categories=FEED_CATEGORIES, look_back_days=16)
 _done: dict[tuple[str, str], intake.StateTables] = {}
 
 
