@@ -35,6 +35,10 @@ class LinkConfig:
     strict: bool = False
     context_sentences: int = 6
     context_chars: int = 2000
+    probe_sentences: int = 6  # on each side of a link
+    window_tokens: int = 10000
+    min_sentences: int = 3
+    pivot_context: int = 2
 
 
 @dataclass(frozen=True)

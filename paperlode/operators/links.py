@@ -13,6 +13,7 @@ from paperlode.config import LinkConfig
 from paperlode.functions import scoring, text, urls
 from paperlode.functions.basic import bind, blank_to_null, strip
 from paperlode.operators.ranks import first_rows, row_numbers, top_rows
+from paperlode.operators.windows import pivot_window
 
 # --- extraction --------------------------------------------------------------------------------
 
@@ -35,6 +36,14 @@ def extract_links(files: DataFrame, window: int = 2, content: str = "text") -> D
     return rows.withColumn("url", F.btrim(strip(urls.percent_decode(F.col("url"))), F.lit(").]")))
 
 
+def link_windows(found: DataFrame, cfg: LinkConfig = LinkConfig()) -> DataFrame:
+    """Each link with the window of sentences around its own place, the link itself in it as a pivot sentence."""
+    pivot = F.concat(F.lit("[URL_PIVOT] "), F.coalesce(blank_to_null(F.col("anchor")), F.col("url")))
+    tokens = F.transform(F.concat("ctx_before", F.array(pivot), "ctx_after"), text.count_tokens)
+    window = pivot_window(F.col("ctx_before"), F.col("ctx_after"), pivot, tokens, cfg.window_tokens, cfg.min_sentences, cfg.pivot_context)
+    return found.withColumn("window_sentences", window)
+
+
 _FOUND = pa.schema([
     ("form", pa.int32()), ("pos", pa.int64()), ("url", pa.string()), ("anchor", pa.string()), ("line", pa.int32()), ("section", pa.string()),
     ("ctx_before", pa.list_(pa.string())), ("ctx_after", pa.list_(pa.string())),

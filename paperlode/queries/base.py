@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperlode.functions.text import split_sentences
+from paperlode.functions.text import split_sentences, strip_tags
 from paperlode.session import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,6 +134,37 @@ page_links AS (
   FROM link_rows)"""
 
 
+def page_sources(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole text of every page as a source file with its links as href commands in their places: (paper_id, path, text)."""
+
+    def piece(p: Column, i: Column) -> Column:
+        link = F.get("links", i)
+        command = F.concat(F.lit(" \\href{"), link["url"], F.lit("}{"), link["anchor"], F.lit("} "))
+        return F.concat(strip_tags(p), F.when(i < F.size("links"), command).otherwise(F.lit("")))
+
+    rows = pages_with_links(spark, sf, html=F.col("html"))
+    text = F.array_join(F.transform(F.split("html", _ANCHOR), piece), "")
+    return rows.select("paper_id", F.lit("main.tex").alias("path"), text.alias("text"))
+
+
+# Sentences of the same texts, with the number of links in front of each; a link lies in the sentence its command starts in.
+S_PAGE_SOURCES = S_PAGE_LINKS + f""",
+page_urls AS (SELECT paper_id, list(url ORDER BY pos) AS us, list(anchor ORDER BY pos) AS ans FROM page_links GROUP BY 1),
+page_pieces AS (SELECT page_id AS paper_id, us, ans, string_split_regex(html, '{_ANCHOR}') AS ps FROM pages JOIN page_urls ON page_id = paper_id),
+page_sents AS (
+  SELECT paper_id, {s_sentences("array_to_string(list_transform(range(1, len(ps) + 1), lambda i: " + s_strip_tags("ps[i]") + " || CASE WHEN i <= len(us) THEN ' \\href{' || us[i] || '}{' || ans[i] || '} ' ELSE '' END), '')")} AS ss
+  FROM page_pieces),
+sent_rows AS (SELECT paper_id, ss, unnest(ss) AS s, generate_subscripts(ss, 1) AS k FROM page_sents),
+sent_links AS (
+  SELECT paper_id, ss, k, (length(s) - length(replace(s, '\\href{{', ''))) // 6 AS n,
+         sum((length(s) - length(replace(s, '\\href{{', ''))) // 6) OVER (PARTITION BY paper_id ORDER BY k) AS upto
+  FROM sent_rows),
+page_windows AS (
+  SELECT l.paper_id, pos, trim(url, ').]') AS url, anchor,
+         list_concat(list_append(ss[greatest(1, k - 6):k - 1], '[URL_PIVOT] ' || anchor), ss[k + 1:k + 6]) AS ws
+  FROM page_links AS l JOIN sent_links AS s ON l.paper_id = s.paper_id AND pos >= upto - n AND pos < upto)"""
+
+
 # --- the sentence corpus of documents ----------------------------------------------------------
 
 

@@ -246,28 +246,41 @@ def f04(spark, sf):
     return page_links(spark, sf).select("paper_id", "pos", urls.clean_link(raw).alias("link"))
 
 
-# The document text with a heading in front and a link sentence and a tail behind it.
-_F05_TAIL = " Tail one. Tail two. Tail three."
+# The document text with a heading in front, then a link of each form and a tail behind it. The pattern of bare links also
+# meets the addresses inside the commands.
+_F05_LINKS = [
+    ("At \\href{{{}}}{{our data}}.", "https://zenodo.org/record/"), ("See \\url{{{}}}.", "https://kaggle.com/datasets/"),
+    ("Also {} here.", "https://figshare.com/articles/"),
+]
+_F05_TAIL = ["Tail one.", "Tail two.", "Tail three."]
+_F05_SAID = [f"'{said.format(chr(39) + ' || ' + repr(link) + ' || doc_id || ' + chr(39))}'" for said, link in _F05_LINKS]
+#: (form, place of the link among the sentences behind the text)
+_F05_FOUND = [(0, 0), (1, 1), (2, 0), (2, 1), (2, 2)]
+
+
+def _s_f05_rows() -> str:
+    row = "{{'form': {}, 'place': {}, 'url': '{}' || doc_id, 'anchor': '{}'}}"
+    return ", ".join(row.format(form, k, _F05_LINKS[k][1], "our data" if form == 0 else "") for form, k in _F05_FOUND)
 
 
 @query("f05_links_with_context", f"""WITH parts AS (
-  SELECT doc_id, source, text, 'https://zenodo.org/record/' || doc_id AS url, {s_strip("replace(text, chr(13), '')")} AS body FROM documents),
+  SELECT doc_id, source, {s_strip("replace(text, chr(13), '')")} AS body FROM documents),
 split AS (
-  SELECT doc_id, url, source, '\\section{{' || source || '}}. ' || body || '. ' AS prefix,
-         {s_sentences("'\\section{' || source || '}. ' || body || '.'")} AS s FROM parts)
-SELECT doc_id, 0 AS form, url, 'our data' AS anchor, source AS section,
+  SELECT doc_id, source, '\\section{{' || source || '}}. ' || body || '. ' AS prefix,
+         {s_sentences("'\\section{' || source || '}. ' || body || '.'")} AS s,
+         [{', '.join(_F05_SAID)}, {', '.join(f"'{t}'" for t in _F05_TAIL)}] AS tail, [{_s_f05_rows()}] AS found FROM parts),
+rows AS (SELECT * EXCLUDE (found), unnest(found) AS f FROM split),
+around AS (SELECT *, len(s) + f.place + 1 AS k, list_concat(s, tail) AS every FROM rows)
+SELECT doc_id, CAST(f.form AS INTEGER) AS form, f.url AS url, f.anchor AS anchor, source AS section,
   CAST(length(prefix) - length(replace(prefix, chr(10), '')) + 1 AS INTEGER) AS line,
-  array_to_string(list_slice(s, len(s) - 1, len(s)), '|') AS ctx_before, 'Tail one.|Tail two.' AS ctx_after
-FROM split""")
+  array_to_string(every[greatest(1, k - 2):k - 1], '|') AS ctx_before, array_to_string(every[k + 1:k + 2], '|') AS ctx_after
+FROM around""")
 def f05(spark, sf):
     body = strip(F.replace(F.col("text"), F.lit("\r"), F.lit("")))
-    content = F.concat(
-        F.lit("\\section{"), F.col("source"), F.lit("}. "), body, F.lit(". At \\href{https://zenodo.org/record/"),
-        F.col("doc_id").cast("string"), F.lit("}{our data}."), F.lit(_F05_TAIL),
-    )
+    said = [F.format_string(form.format(link + "%d"), "doc_id") for form, link in _F05_LINKS]
+    content = F.concat(F.lit("\\section{"), F.col("source"), F.lit("}. "), body, F.lit(". "), F.concat_ws(" ", *said, *map(F.lit, _F05_TAIL)))
     files = table(spark, sf, "documents").select("doc_id", content.alias("text"))
-    found = extract_links(files).filter("form = 0")
-    return found.select(
+    return extract_links(files).select(
         "doc_id", "form", "url", "anchor", "section", "line",
         F.array_join("ctx_before", "|").alias("ctx_before"), F.array_join("ctx_after", "|").alias("ctx_after"),
     )

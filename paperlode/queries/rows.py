@@ -3,10 +3,10 @@
 from pyspark.sql import functions as F
 
 from paperlode import hooks, rules
-from paperlode.config import PackConfig, WindowConfig
+from paperlode.config import LinkConfig, PackConfig, WindowConfig
 from paperlode.functions import urls
 from paperlode.functions.dates import year_of
-from paperlode.functions.text import LABEL_REQUEST, count_tokens, has_latex, split_sentences, strip_tags
+from paperlode.functions.text import LABEL_REQUEST, count_tokens, has_latex, split_sentences
 from paperlode.operators import filters, ledger, links, quality, retrieval, sentences, splits, statistics, windows
 from paperlode.operators.ranks import top_rows
 from paperlode.plans.consolidation import consolidate
@@ -14,12 +14,14 @@ from paperlode.plans.link_ranking import primary_links
 from paperlode.queries.base import (
     S_DOCUMENT_SENTENCES,
     S_PAGE_LINKS,
+    S_PAGE_SOURCES,
     S_PAPERS,
     S_PREDICTIONS,
     S_SENTENCES,
     corpus_items,
     document_sentences,
     page_links,
+    page_sources,
     pages_with_links,
     papers,
     predictions,
@@ -27,15 +29,14 @@ from paperlode.queries.base import (
     s_any,
     s_array,
     s_sentences,
-    s_squeeze,
     s_strip,
-    s_strip_tags,
     table,
 )
 from paperlode.queries.functions import (
     S_KEYED,
     S_LATEX_TEST,
     S_SCORED,
+    s_host_path,
     s_latex,
     s_latex_kept,
     s_norm,
@@ -322,11 +323,11 @@ def _window_probs(spark, sf):
     rows = document_sentences(spark, sf)
     near = rows.select("paper_name", F.explode(F.sequence(F.greatest(F.lit(0), F.col("gid") - 2), F.col("gid"))).alias("window_id"), "gid", "text")
     p = (F.length("text") + F.col("window_id") * 7) % 100 / 100.0
-    return near.filter(F.length("text") > 12).select("paper_name", "window_id", "gid", p.alias("prob"), (p >= 0.5).cast("int").alias("label"))
+    return near.select("paper_name", "window_id", "gid", p.alias("prob"), (p >= 0.5).cast("int").alias("label"))
 
 
 S_WINDOW_PROBS = S_DOCUMENT_SENTENCES + """,
-near AS (SELECT paper_name, gid, text, unnest(range(greatest(0, gid - 2), gid + 1)) AS window_id FROM doc_sents WHERE length(text) > 12),
+near AS (SELECT paper_name, gid, text, unnest(range(greatest(0, gid - 2), gid + 1)) AS window_id FROM doc_sents),
 probs AS (SELECT paper_name, gid, window_id, CAST((length(text) + window_id * 7) % 100 AS DOUBLE) / 100.0::DOUBLE AS prob FROM near)"""
 
 
@@ -804,22 +805,22 @@ def w19(spark, sf):
 
 
 def _occurrences(spark, sf):
-    """Links of every page with the first sentences of the page as their context."""
-    context = F.slice(split_sentences(strip_tags(F.col("html"))), 1, 6)
-    return page_links(spark, sf, window_sentences=context).withColumn("form", F.lit(2))
+    """Links of every page, each with the window of sentences around its own place."""
+    return links.link_windows(links.extract_links(page_sources(spark, sf), window=LinkConfig().probe_sentences))
 
 
-S_CANDIDATES = f"""{S_KEYED},
+S_CANDIDATES = f"""{S_PAGE_SOURCES},
+normed AS (SELECT *, {s_norm('url')} AS norm_url FROM page_windows),
+hosted AS (SELECT *, {s_host_path('norm_url')} AS host_path FROM normed),
 firsts AS (SELECT * FROM hosted QUALIFY row_number() OVER (PARTITION BY paper_id, norm_url ORDER BY pos) = 1),
-said AS (SELECT *, {s_squeeze('anchor')} AS a, list_slice({s_sentences(s_strip_tags('html'))}, 1, 6) AS ws FROM firsts),
-plain AS (SELECT *, list_transform(ws, lambda x: {s_latex('x')}) AS cs FROM said),
+plain AS (SELECT *, list_transform(ws[1:6], lambda x: {s_latex('x')}) AS cs FROM firsts),
 ctxed AS (SELECT * EXCLUDE (cs, ws), left(array_to_string(list_filter(list_transform(cs, lambda x: {s_latex_kept('x')}), lambda x: x <> ''), ' '), 2000) AS ctx FROM plain),
 cands AS (SELECT paper_id, pos, url, anchor, norm_url, host_path, ctx, {s_score("lower(anchor || ' ' || ctx)")} AS score FROM ctxed)"""
 
 
-@query("w20_candidates", f"WITH {S_CANDIDATES} SELECT paper_id, pos, url, anchor, ctx, score FROM cands")
+@query("w20_candidates", f"WITH {S_CANDIDATES} SELECT paper_id, url, anchor, ctx, score FROM cands")
 def w20(spark, sf):
-    return links.build_candidates(_occurrences(spark, sf), ["form", "pos"]).select("paper_id", "pos", "url", "anchor", "ctx", "score")
+    return links.build_candidates(_occurrences(spark, sf), ["form", "pos"]).select("paper_id", "url", "anchor", "ctx", "score")
 
 
 @query("w21_global_index", "SELECT o_orderpriority AS category, CAST(month(o_orderdate) AS INTEGER) AS page, o_orderkey AS item, row_number() OVER (PARTITION BY o_orderpriority ORDER BY month(o_orderdate), o_orderkey) - 1 AS global_index FROM orders")
