@@ -9,7 +9,7 @@ from paperlode.config import LinkConfig, WindowConfig
 from paperlode.functions.text import count_tokens
 from paperlode.hooks import clue_probability, score_papers, tag_whole_windows, tag_windows
 from paperlode.operators.filters import gate
-from paperlode.operators.links import extract_links
+from paperlode.operators.links import extract_links, link_windows
 from paperlode.operators.sentences import (
     apply_predictions,
     collect_description,
@@ -87,5 +87,5 @@ def curate(
         F.col("id").alias("paper_id"), F.col("pdf_link").alias("paper_link_pdf"), "dataset_description"
     )
     files = sources.join(keys.select("paper_id"), "paper_id", "left_semi")
-    found = extract_links(files).withColumn("window_sentences", F.concat("ctx_before", "ctx_after"))
+    found = link_windows(extract_links(files, window=links.probe_sentences), links)
     return ledger_records(keys, staged(found, "links"), ["form", "path", "pos"], timestamp, cfg=links)

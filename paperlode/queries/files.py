@@ -41,6 +41,29 @@ def _shard(key: str = "doc_id") -> Column:
 
 @query("s01_read_papers", f"WITH {S_PAPERS} SELECT id, title, abstract, updated, published, '{PDF}' || id || '.pdf' AS pdf_link, left(updated, 4) AS day, category FROM papers")
 def s01(spark, sf):
+    """One array per day and category, read by byte ranges."""
+    return json_files.read_papers(spark, _land_papers(spark, sf))
+
+
+def _land_papers(spark, sf) -> str:
+    """Files ``<day>/<category>.json``: written in folders of that name, then put in their places."""
+    rows = papers(spark, sf).withColumn("pdf_link", F.concat(F.lit(PDF), F.col("id"), F.lit(".pdf"))).withColumn("day", F.left("updated", F.lit(4)))
+    record = F.struct("id", "title", "abstract", "updated", "published", "pdf_link")
+    arrays = rows.groupBy("day", "category").agg(F.collect_list(record).alias("r")).select("day", "category", F.to_json("r").alias("value"))
+    path = new_work_dir(spark, "papers")
+    arrays.repartition("day", "category").write.partitionBy("day", "category").text(path + "/written")
+    made = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = made(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for part in files.globStatus(made(path + "/written/day=*/category=*/part-*")):
+        folder = part.getPath().getParent()
+        day, category = folder.getParent().getName().removeprefix("day="), folder.getName().removeprefix("category=")
+        files.mkdirs(made(f"{path}/landed/{day}"))
+        files.rename(part.getPath(), made(f"{path}/landed/{day}/{category}.json"))
+    return path + "/landed"
+
+
+@query("s01_metadata_sink", f"WITH {S_PAPERS} SELECT id, title, abstract, updated, published, '{PDF}' || id || '.pdf' AS pdf_link, left(updated, 4) AS day, category FROM papers")
+def s01_sink(spark, sf):
     path = new_work_dir(spark, "papers")
     rows = papers(spark, sf).withColumn("pdf_link", F.concat(F.lit(PDF), F.col("id"), F.lit(".pdf"))).withColumn("day", F.left("updated", F.lit(4)))
     sinks.write_metadata(rows.drop("pos"), path)
@@ -100,6 +123,30 @@ def s05_statistics(spark, sf):
     return json_files.table_statistics(table(spark, sf, "benchmark"), table(spark, sf, "documents"))
 
 
+@query("s05_read_tables", f"""SELECT item_id % 3 = 0 AS listed, md5(text) AS digest, CASE WHEN item_id % 2 = 0 THEN '["p' || item_id || '"]' ELSE 'p' || item_id END AS positives,
+  (SELECT count(*) FROM documents WHERE doc_id % 4 <> 3) AS records FROM benchmark""")
+def s05_tables(spark, sf):
+    """Queries with variant fields from landed arrays, beside the number of usable records of the landed ledger."""
+    n = F.col("item_id").cast("string")
+    plain = F.struct(F.col("text").alias("query"), F.concat(F.lit("p"), n).alias("positives"), F.when(F.col("item_id") % 3 == 0, "yes").alias("instruction"))
+    listed = F.struct(F.col("text").alias("query"), F.array(F.concat(F.lit("p"), n)).alias("positives"), F.when(F.col("item_id") % 3 == 0, "yes").alias("instruction"))
+    one = F.when(F.col("item_id") % 2 == 0, F.to_json(listed)).otherwise(F.to_json(plain))
+    rows = table(spark, sf, "benchmark").select((F.col("item_id") % 5).alias("shard"), one.alias("v")).groupBy("shard").agg(F.collect_list("v").alias("vs"))
+    files = rows.select("shard", F.concat(F.lit("["), F.array_join("vs", ", "), F.lit("]")).alias("value"))
+    queries = json_files.read_queries(spark, _land(files, new_work_dir(spark, "queries")))
+    usable = json_files.read_ledger(spark, _land_ledger(spark, sf)).filter("trim(`Dataset Link`) <> ''").count()
+    return queries.select(
+        (F.coalesce("instruction", F.lit("")) == "yes").alias("listed"), F.md5("query").alias("digest"), "positives", F.lit(usable).cast("bigint").alias("records")
+    )
+
+
+def _land_ledger(spark, sf) -> str:
+    rows = _ledger_rows(spark, sf)
+    fields = F.struct(*[f"`{c}`" for c in ("Paper Link", "Dataset Link", "Dataset Description", "Timestamp")])
+    blocks = rows.groupBy("shard").agg(F.collect_list(fields).alias("r")).select("shard", F.to_json("r").alias("value"))
+    return _land(blocks, new_work_dir(spark, "ledger"))
+
+
 def _ledger_rows(spark, sf):
     d = table(spark, sf, "documents")
     return d.select(
@@ -113,10 +160,7 @@ def _ledger_rows(spark, sf):
 @query("s06_result_index", f"""SELECT '{PDF}' || doc_id // 4 AS "Paper Link", doc_id AS pos, text AS "Dataset Description" FROM documents WHERE doc_id % 4 <> 3
 QUALIFY row_number() OVER (PARTITION BY doc_id // 4, doc_id % 2 ORDER BY doc_id) = 1""")
 def s06(spark, sf):
-    rows = _ledger_rows(spark, sf)
-    fields = F.struct(*[f"`{c}`" for c in ("Paper Link", "Dataset Link", "Dataset Description", "Timestamp")])
-    blocks = rows.groupBy("shard").agg(F.collect_list(fields).alias("r")).select("shard", F.to_json("r").alias("value"))
-    ledger = json_files.read_ledger(spark, _land(blocks, new_work_dir(spark, "ledger")))
+    ledger = json_files.read_ledger(spark, _land_ledger(spark, sf))
     found = json_files.result_index(ledger.withColumn("pos", F.col("Timestamp").cast("long")), ["pos"])
     return found.select("Paper Link", "pos", "Dataset Description")
 

@@ -6,24 +6,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperlode import hooks
-from paperlode.config import FeedConfig, WindowConfig
+from paperlode.config import FeedConfig, LinkConfig, WindowConfig
 from paperlode.functions.text import split_sentences
 from paperlode.operators import quality, retrieval, splits
 from paperlode.operators.filters import category_rank, one_owner
-from paperlode.plans import curation
+from paperlode.plans import curation, feed
 from paperlode.plans import retrieval as experiments
 from paperlode.queries.base import (
     S_DOCUMENT_SENTENCES,
     S_PAGE_LINKS,
     document_sentences,
     page_links,
-    pages_with_links,
+    page_sources,
     query,
     s_array,
+    s_sentences,
+    s_squeeze,
+    s_strip,
     table,
 )
-from paperlode.queries.rows import PDF, S_METRICS, S_TOP10, _truth, _vectors
-from paperlode.session import new_work_dir
+from paperlode.queries.functions import S_IS_DATASET, s_looks_like_code
+from paperlode.queries.rows import PDF, S_CANDIDATES, S_METRICS, S_TOP10, _truth, _vectors, s_picks
+from paperlode.session import new_work_dir, staged
 from paperlode.streaming import intake
 
 # --- T: streaming ------------------------------------------------------------------------------
@@ -266,9 +270,7 @@ def x08_given(spark, sf):
     return scores.select("metric", "k", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "num_valid_queries")
 
 
-@query("curate_batch")
-def curate(spark, sf):
-    """The batch pipeline end to end: gate, windows, votes, descriptions, links and ledger records."""
+def _curated(spark, sf, links: LinkConfig) -> DataFrame:
     d = table(spark, sf, "documents")
     entries = d.select(
         F.col("doc_id").cast("string").alias("id"), F.col("source").alias("title"), F.col("text").alias("abstract"),
@@ -278,10 +280,111 @@ def curate(spark, sf):
         F.col("doc_id").cast("string").alias("paper_name"), F.col("lang").alias("section"), F.lit(0).alias("paragraph_id"), "text"
     )
     sentence = F.transform(split_sentences(F.col("text")), lambda t, i: F.struct(i.alias("sentence_id"), t.alias("text"), F.lit(0).alias("label")))
-    tex = F.array_join(
-        F.transform("links", lambda x: F.concat(F.lit("We release \\href{"), x["url"], F.lit("}{"), x["anchor"], F.lit("}. "))), ""
-    )
-    sources = pages_with_links(spark, sf).select(F.col("paper_id").cast("string").alias("paper_id"), F.lit("main.tex").alias("path"), tex.alias("text"))
     return curation.curate(
-        entries, items.select("paper_name", "section", "paragraph_id", sentence.alias("sentences")), sources, F.lit("now"), _scorer, WindowConfig()
+        entries, items.select("paper_name", "section", "paragraph_id", sentence.alias("sentences")), _sources(spark, sf), F.lit("now"), _scorer,
+        WindowConfig(), links,
+    )
+
+
+def _sources(spark, sf) -> DataFrame:
+    """Pages as the source files of the papers of the same number."""
+    return page_sources(spark, sf).withColumn("paper_id", F.col("paper_id").cast("string"))
+
+
+def s_described(sentences: str, least: int) -> str:
+    """Papers with an accepted description: a paper of three sentences or more has windows, and each gets its own label."""
+    return f"""
+labelled AS (SELECT paper_name, gid, {s_strip('text')} AS text, count(*) OVER (PARTITION BY paper_name) >= 3 AND {s_clue('text')} >= 0.5 AS yes FROM {sentences}),
+described AS (SELECT paper_name, coalesce(string_agg(text, ' ' ORDER BY gid) FILTER (yes AND text <> ''), '') AS description FROM labelled GROUP BY 1),
+accepted AS (SELECT * FROM described WHERE length(description) >= {least})"""
+
+
+S_PRIMARY = f"""{S_CANDIDATES}, {s_picks('cands')},
+primary_links AS (
+  SELECT l.paper_id, coalesce(p.url, r.url, l.url) AS url, coalesce(p.anchor, r.anchor, l.anchor) AS why, coalesce(p.norm_url, r.norm_url, l.norm_url) AS norm_url,
+         coalesce(p.host_path, r.host_path, l.host_path) AS host_path
+  FROM leader l LEFT JOIN preferred p USING (paper_id) LEFT JOIN ruled r USING (paper_id)),
+dataset_links AS (SELECT *, {s_squeeze('why')} AS said FROM primary_links WHERE {S_IS_DATASET})"""
+
+
+@query("curate_batch")
+def curate(spark, sf):
+    """The batch pipeline end to end: gate, windows, votes, descriptions, links and ledger records."""
+    return _curated(spark, sf, LinkConfig())
+
+
+@query("curate_batch_strict", f"""WITH {S_DOCUMENT_SENTENCES}, {s_described('doc_sents', 1)}, {S_PRIMARY},
+gated AS (SELECT doc_id FROM documents WHERE {s_clue("source || ' ' || text")} >= 0.5)
+SELECT '{PDF}' || paper_id || '.pdf' AS "Paper Link", url AS "Dataset Link", said AS "Dataset Description", 'now' AS "Timestamp"
+FROM dataset_links JOIN accepted ON paper_id = paper_name JOIN gated ON paper_id = doc_id WHERE said <> '' AND NOT {s_looks_like_code('said')}""")
+def curate_strict(spark, sf):
+    """The same with descriptions of the picks alone, so that SQL can follow it to the last column."""
+    return _curated(spark, sf, LinkConfig(strict=True))
+
+
+# --- the feed with its whole work --------------------------------------------------------------
+
+_FEED = FeedConfig(categories=("en", "de", "es", "fr"), gate_threshold=0.6, look_back_days=10, min_description_chars=40)
+_PAPER = "id STRING, category STRING, updated TIMESTAMP, title STRING, abstract STRING, pdf_link STRING, landing INT"
+
+
+def _feed_papers(spark, sf) -> DataFrame:
+    """Documents as papers: twenty days in four landings; a landing offers the papers of the one before again.
+
+    The full text of every fifth paper lands one landing late.
+    """
+    day = F.pmod("doc_id", F.lit(20)).cast("int")
+    q = F.floor(day / 5).cast("int")
+    return table(spark, sf, "documents").select(
+        F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("category"), F.date_add(F.lit("2024-01-01").cast("date"), day).cast("timestamp").alias("updated"),
+        F.col("source").alias("title"), F.col("text").alias("abstract"), F.concat(F.lit(PDF), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("pdf_link"),
+        q.alias("q"), F.when(F.col("doc_id") % 5 == 0, q + 1).otherwise(q).alias("lands"),
+    )
+
+
+def run_feed(spark, sf, root: str, repeat: bool = False) -> intake.StateTables:
+    """Land papers and texts part by part and let the stream work on each part; ``repeat`` works on every batch twice."""
+    papers = staged(_feed_papers(spark, sf), "papers")
+    body = F.regexp_replace("abstract", "[<>&]", "")
+    tei = F.concat(F.lit('<TEI xmlns="http://www.tei-c.org/ns/1.0"><text><div><head>All</head><p>'), body, F.lit("</p></div></text></TEI>"))
+    sources = staged(_sources(spark, sf), "sources")
+
+    def texts(session):
+        return session.read.schema("id STRING, tei STRING").parquet(root + "/texts")
+
+    work = feed.paper_work(texts, lambda _: sources, F.lit("now"), _FEED, _scorer)
+    tables = intake.create_state(spark, root + "/state")
+
+    def cycle(batch, batch_id):
+        for _ in range(2 if repeat else 1):
+            intake.process_batch(batch, batch_id, tables, work, _FEED, ("id",))
+
+    for i in range(LANDINGS):
+        papers.filter(F.col("lands") == i).select("id", tei.alias("tei")).write.mode("append").parquet(root + "/texts")
+        offered = papers.filter(F.col("q").isin(i - 1, i)).drop("q", "lands")
+        offered.withColumn("landing", F.lit(i)).write.mode("append").parquet(root + "/landing")
+        stream = intake.read_stream(spark, root + "/landing", _PAPER).writeStream.foreachBatch(cycle)
+        stream.option("checkpointLocation", tables.checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return tables
+
+
+@query("t01_pipeline", f"""WITH tei_sents AS (
+  SELECT doc_id AS paper_name, unnest(s) AS text, CAST(generate_subscripts(s, 1) - 1 AS BIGINT) AS gid
+  FROM (SELECT doc_id, {s_sentences("regexp_replace(text, '[<>&]', '', 'g')")} AS s FROM documents)), {s_described('tei_sents', 40)}, {S_PRIMARY},
+fed AS (
+  SELECT doc_id, lang AS category, doc_id % 20 // 5 AS q, doc_id % 20 // 5 + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS lands, {s_clue("source || ' ' || text")} AS prob FROM documents),
+offered AS (SELECT *, q AS landing FROM fed UNION ALL SELECT *, q + 1 FROM fed WHERE q + 1 < {LANDINGS}),
+tried AS (SELECT *, CASE WHEN prob < 0.6 THEN 'filtered' WHEN lands <= landing THEN 'ok' ELSE 'failed' END AS status FROM offered),
+done AS (SELECT *, min(CASE WHEN status = 'ok' THEN landing END) OVER (PARTITION BY doc_id) AS won FROM tried),
+worked AS (SELECT * FROM done WHERE won IS NULL OR landing <= won)
+SELECT CAST(landing AS BIGINT) AS batch_id, CAST(doc_id AS VARCHAR) AS id, category, status, round(prob, 6) AS gate_prob,
+       CASE WHEN status = 'ok' THEN md5(coalesce(d.description, '')) END AS description, CASE WHEN status = 'ok' THEN a.paper_name IS NOT NULL END AS described,
+       CASE WHEN status = 'ok' AND a.paper_name IS NOT NULL THEN k.url END AS dataset_link
+FROM worked LEFT JOIN described AS d ON d.paper_name = doc_id LEFT JOIN accepted AS a ON a.paper_name = doc_id LEFT JOIN dataset_links AS k ON k.paper_id = doc_id""")
+def t01_pipeline(spark, sf):
+    """What the feed has done with every paper in every batch, by its whole work."""
+    rows = intake.results(spark, run_feed(spark, sf, new_work_dir(spark, "feed"))).filter("batch_id >= 0")
+    return rows.select(
+        "batch_id", "id", "category", "status", F.round("gate_prob", 6).alias("gate_prob"), F.md5("description").alias("description"), "described",
+        F.col("Dataset Link").alias("dataset_link"),
     )

@@ -2,10 +2,8 @@
 
 PAPER = "id STRING, title STRING, abstract STRING, updated STRING, published STRING, pdf_link STRING"
 SENTENCE = "STRUCT<sentence_id: INT, text: STRING, label: INT>"
-CORPUS_ITEM = (
-    "STRUCT<paper_name: STRING, section: STRING, paragraph_id: INT, full_text: STRING, "
-    f"sentences: ARRAY<{SENTENCE}>>"
-)
+CORPUS_FIELDS = f"paper_name STRING, section STRING, paragraph_id INT, full_text STRING, sentences ARRAY<{SENTENCE}>"
+CORPUS_ITEM = f"STRUCT<{CORPUS_FIELDS}>"
 CORPUS_FILE = f"data ARRAY<{CORPUS_ITEM}>"
 LEDGER = "`Paper Link` STRING, `Dataset Link` STRING, `Dataset Description` STRING, Timestamp STRING"
 PARTIAL = (

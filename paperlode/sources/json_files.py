@@ -2,6 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from paperlode import rules, schemas
 from paperlode.functions.basic import blank_to_null, strip
@@ -13,22 +14,22 @@ from paperlode.functions.urls import (
 )
 from paperlode.operators.ledger import normalise_fields
 from paperlode.operators.ranks import first_rows
+from paperlode.sources.json_arrays import json_records
 
 def _file() -> Column:
     return F.col("_metadata.file_path")
 
 
-def _folder(up: int) -> Column:
-    """Name of a parent folder of the file, 1 for the nearest."""
-    return F.url_decode(F.element_at(F.split(_file(), "/"), -1 - up))
-
-
 def read_papers(spark: SparkSession, path: str, schema: str = schemas.PAPER) -> DataFrame:
     """Record arrays below ``<day>/<category>.json``; day and category come from the path."""
-    rows = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).json(path)
-    return rows.select(
-        "*", _folder(1).alias("day"), F.regexp_replace(_folder(0), r"\.json$", "").alias("category")
-    )
+    rows = json_records(spark, path, schema)
+    folder = F.split("file", "/")
+    day, name = (F.url_decode(F.element_at(folder, -1 - up)) for up in (1, 0))
+    return rows.select(*_names(schema), day.alias("day"), F.regexp_replace(name, r"\.json$", "").alias("category"))
+
+
+def _names(schema: str) -> list[str]:
+    return [f"`{f.name}`" for f in StructType.fromDDL(schema).fields]
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
@@ -36,28 +37,17 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
 
     ``global_sentence_ids`` orders them into the sentences of each paper.
     """
-    raw = spark.read.schema(schemas.CORPUS_FILE).option("multiLine", True).json(path)
-    items = raw.select(_file().alias("file"), F.posexplode("data").alias("item_pos", "i"))
-    return items.select("file", "item_pos", "i.*")
+    return json_records(spark, path, schemas.CORPUS_FIELDS, numbered=True).withColumnRenamed("place", "item_pos")
 
 
 def read_training_shards(spark: SparkSession, pattern: str, schema: str = schemas.GATE_SAMPLE) -> DataFrame:
     """Samples of all shards that match; a shard is an array of samples or ``{"data": [...]}``."""
-    both = f"{schema}, data ARRAY<STRUCT<{_typed(schema)}>>"
-    raw = spark.read.schema(both).option("multiLine", True).json(pattern)
-    names = [f.name for f in raw.schema.fields if f.name != "data"]
-    single = F.array(F.struct(*names))
-    rows = raw.select(_file().alias("file"), F.posexplode(F.coalesce("data", single)).alias("pos", "s"))
-    return rows.select("file", "pos", "s.*")
-
-
-def _typed(schema: str) -> str:
-    return ", ".join(f"{n}: {t}" for n, t in (p.strip().split(" ", 1) for p in schema.split(",")))
+    return json_records(spark, pattern, schema).withColumnRenamed("place", "pos")
 
 
 def read_queries(spark: SparkSession, path: str) -> DataFrame:
     """Queries with their variant fields kept as JSON text."""
-    return spark.read.schema(schemas.QUERY).option("multiLine", True).json(path)
+    return json_records(spark, path, schemas.QUERY).drop("file", "place")
 
 
 def table_statistics(queries: DataFrame, records: DataFrame) -> DataFrame:
@@ -74,14 +64,7 @@ def table_statistics(queries: DataFrame, records: DataFrame) -> DataFrame:
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     """Ledger files (arrays of records); unreadable files are skipped."""
-    return (
-        spark.read.schema(schemas.LEDGER)
-        .option("multiLine", True)
-        .option("mode", "DROPMALFORMED")
-        .option("ignoreCorruptFiles", True)
-        .json(path)
-        .withColumn("file", _file())
-    )
+    return json_records(spark, path, schemas.LEDGER, whole_files=True).select(*_names(schemas.LEDGER), "file")
 
 
 def result_index(ledger: DataFrame, order: list[str]) -> DataFrame:
