@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperlode.llm.line_quality import normal_line
-from paperlode.llm.tables import fixed, small, word_list
+from paperlode.llm.tables import Columns, fixed, small, word_list
 
 MIN_WORDS = 20
 #: Partners of a holder that one task gets together.
@@ -123,12 +123,12 @@ def windows(hashes: list[int], words: list[int], min_words: int) -> tuple[np.nda
 
 
 _CUTS = pa.schema([("me", pa.struct([("doc_id", pa.int64()), ("text_hash", pa.int64())])), ("cut", pa.list_(pa.int32()))])
-_ROWS = pa.schema([("h", pa.int64()), ("me", _CUTS.field("me").type)])
+_ROWS = pa.schema([("me", _CUTS.field("me").type), ("keys", pa.list_(pa.int64()))])
 _ME = "me struct<doc_id:bigint,text_hash:bigint>"
 
 
-def _window_rows(docs: DataFrame, min_words: int) -> DataFrame:
-    """(h, me): the windows of documents (me, hashes, words, cut) that have a line that is not cut, once per document."""
+def _window_keys(docs: DataFrame, min_words: int) -> DataFrame:
+    """(me, keys): the windows of documents (me, hashes, words, cut) that have a line that is not cut, once per document."""
 
     def run(batches):
         for batch in batches:
@@ -137,10 +137,15 @@ def _window_rows(docs: DataFrame, min_words: int) -> DataFrame:
                 # Lines left in front of each line.
                 left = np.concatenate([[0], np.cumsum(np.isin(np.arange(len(hashes)), cut or [], invert=True))])
                 keys, firsts, ends = windows(hashes, words, min_words)
-                out += [{"h": h, "me": me} for h in np.unique(keys[left[ends] > left[firsts]]).tolist()]
+                out.append({"me": me, "keys": np.unique(keys[left[ends] > left[firsts]])})
             yield pa.RecordBatch.from_pylist(out, schema=_ROWS)
 
-    return docs.select("me", "hashes", "words", "cut").mapInArrow(run, f"h bigint, {_ME}")
+    return docs.select("me", "hashes", "words", "cut").mapInArrow(run, f"{_ME}, keys array<bigint>")
+
+
+def _window_rows(keyed: DataFrame) -> DataFrame:
+    """(h, me): one row per window."""
+    return keyed.select(F.explode("keys").alias("h"), "me")
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -200,7 +205,9 @@ def aligned_pairs(pairs: DataFrame, single: DataFrame, min_words: int) -> DataFr
 
 def cuts_of(single: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame]:
     """(me, cut) and the aligned pairs (me, holder): each of the documents against all earlier ones, in rounds."""
-    every = _window_rows(single.withColumn("cut", F.array().cast("array<int>")), min_words)
+    # The table of documents is small next to the work on it, so that it comes in few partitions.
+    tasks = int(single.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    every = _window_rows(fixed(_window_keys(single.withColumn("cut", F.array().cast("array<int>")).repartition(tasks), min_words)))
     often = small(every.groupBy("h").agg(F.count(F.lit(1)).alias("docs")).filter("docs > 1").select("h"), 500_000)
     rows = fixed(every.join(often, "h").withColumn("open", F.lit(True)))
     cuts, met = [], []
@@ -222,7 +229,7 @@ def cuts_of(single: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame]:
         # What is left of the windows whose documents were aligned now, behind those holders.
         touched = pairs.select(F.col("me").alias("of")).distinct()
         again = touched.join(cuts[-1].withColumnRenamed("me", "by"), _same("of", "by")).join(single, _same("me", "of"))
-        still = _window_rows(again, min_words).withColumnsRenamed({"h": "k", "me": "of"})
+        still = _window_rows(_window_keys(again, min_words)).withColumnsRenamed({"h": "k", "me": "of"})
         bound = heads.groupBy("h").agg(F.max("holder").alias("bound"))
         behind = rows.join(bound, "h").filter("me > bound").drop("bound")
         marked = behind.join(still, (F.col("h") == F.col("k")) & _same("me", "of"), "left")
@@ -266,8 +273,9 @@ def apply(docs: DataFrame, aligned: DataFrame, id_col: str = "doc_id", text_col:
     """The documents with all their columns, without the deleted lines; a text that loses all lines is empty."""
     cuts = aligned.filter(F.size("cut") > 0).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("cut").alias("__cut"))
     cuts = cuts.dropDuplicates(["__id", "__hash"])
-    text = F.col(text_col)
-    on = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__hash"))
+    mine = Columns(docs)
+    text = mine[text_col].cast("string")
+    on = mine[id_col].cast("bigint").eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__hash"))
 
     def without(lines: Column) -> Column:
         # Difference of line numbers by hashing: linear, in order, and equal lines stay apart.
@@ -275,8 +283,7 @@ def apply(docs: DataFrame, aligned: DataFrame, id_col: str = "doc_id", text_col:
         return F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
 
     rest = F.get(F.transform(F.array(F.split(text, "\n")), without), F.lit(0))
-    out = docs.join(cuts, on, "left").withColumn(text_col, F.when(F.col("__cut").isNotNull(), rest).otherwise(text))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return mine.back(mine.df.join(cuts, on, "left").withColumn(mine.key(text_col), F.when(F.col("__cut").isNotNull(), rest).otherwise(text)))
 
 
 def digests(docs: DataFrame, aligned: DataFrame) -> DataFrame:
