@@ -160,7 +160,8 @@ def _sorted_bucket(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return order, same, tied, lengths
 
 
-def _answer(rows: pd.DataFrame) -> pd.DataFrame:
+def answer(rows: pd.DataFrame) -> pd.DataFrame:
+    """Of one bucket: a bit per key, whether it occurs again, and whether it occurs here first."""
     rows = rows.sort_values("block", kind="stable")
     order, same, tied, lengths = _sorted_bucket(rows)
     seen = np.zeros(len(order), dtype=bool)
@@ -175,10 +176,10 @@ def _answer(rows: pd.DataFrame) -> pd.DataFrame:
     })
 
 
-def repeated(keys: DataFrame) -> DataFrame:
+def repeated(keys: DataFrame, by: Callable[[pd.DataFrame], pd.DataFrame] = answer) -> DataFrame:
     """Per block (block, flags): for each of its keys, whether another block has it and whether this is the first block.
 
-    One bucket is sorted at a time; it holds at most as many keys as :func:`n_buckets` plans for.
+    ``by`` answers the rows of a bucket; by default one bucket is sorted at a time. It holds at most as many keys as :func:`n_buckets` plans for.
     """
-    answers = keys.groupBy("bucket").applyInPandas(_answer, "block bigint, bucket bigint, seen binary, first binary")
+    answers = keys.groupBy("bucket").applyInPandas(by, "block bigint, bucket bigint, seen binary, first binary")
     return answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "seen", "first")).alias("flags"))

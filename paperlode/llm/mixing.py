@@ -12,7 +12,8 @@ Splitting tree. The quotas of all sources start at the root. A node gives half o
 how many of each source is a multivariate hypergeometric draw, made source by source by inversion around the mode.
 The right child gets the rest, so quotas stay exact. A leaf is an output shard. Along a source, the shards take
 consecutive runs of its permuted blocks: all draws are disjoint, and every block is drawn once. In a shard, pieces
-are ordered by a hash.
+are ordered by a hash. :func:`shards` gives the texts of the shards in that order; the counts per document come from
+the pieces in the shards.
 
 Everything is a DataFrame expression; no Python runs on the executors. The tables of sources and tree nodes are
 small: one row per source, and one row per shard with a number for each source.
@@ -25,6 +26,7 @@ columns are ignored. Reruns over the same rows agree.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperlode.functions.basic import bind
 from paperlode.llm.tables import Columns, fixed, word_count
 from paperlode.operators.ranks import running_total
 
@@ -34,8 +36,16 @@ MAX_REPEAT = 2
 BLOCK_WORDS = 1024
 SHARD_BLOCKS = 4096
 MIN_SHARDS = 8
-#: A prime beyond any number of blocks of a source.
-_STEP = 1_000_000_007
+
+
+def _next_prime(n: int) -> int:
+    while any(n % d == 0 for d in range(2, int(n**0.5) + 1)):
+        n += 1
+    return n
+
+
+#: Primes beyond any number of blocks of a source; a source steps through its blocks by one of them.
+STEPS = tuple(_next_prime(1_000_000_007 + 61_803_399 * i) for i in range(16))
 
 
 def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
@@ -184,7 +194,8 @@ def mix(
         parts.append(_cuts(e, F.least(end, F.col(f"r{e}")), offset, block_words))
         offset = offset + F.col(f"n{e}")
     pieces = placed.select("doc_id", "text_hash", "k", "start", "size", "blocks", F.explode(F.concat(*parts)).alias("p"))
-    turned = F.pmod(F.col("p.number") % F.col("blocks") * (_STEP % F.col("blocks")) + F.pmod(F.xxhash64(F.lit(seed), "k"), F.col("blocks")), F.col("blocks"))
+    step = F.element_at(F.array(*[F.lit(p) for p in STEPS]), (F.pmod(F.xxhash64(F.lit(seed), F.lit("step"), "k"), F.lit(len(STEPS))) + 1).cast("int"))
+    turned = F.pmod(F.col("p.number") % F.col("blocks") * (step % F.col("blocks")) + F.pmod(F.xxhash64(F.lit(seed), "k"), F.col("blocks")), F.col("blocks"))
     # One row per block: its size grows with the data, while the planner sees a few shards and would broadcast it.
     pieces = pieces.withColumn("draw", turned).join(taken.hint("merge"), ["k", "draw"]).select(
         "shard", F.xxhash64(F.lit(seed), "shard", "k", "draw", "start").alias("place"), "doc_id", "text_hash", "k", "start", "size",
@@ -209,10 +220,58 @@ def _cuts(epoch: int, stop: Column, offset: Column, block_words: int) -> Column:
 
 
 def taken_words(documents: DataFrame, pieces: DataFrame) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) per document."""
-    sums = pieces.groupBy("k", "start").agg(F.sum("words").alias("taken")).withColumn("some", F.lit(True))
+    """Per document (doc_id, size, source_size, target, taken, n_shards, first_shard, first_place), from the shards' pieces.
+
+    The first piece is the one that comes first in the order of shards and their places; null if nothing is taken.
+    """
+    first = F.min(F.struct("shard", "place"))
+    sums = pieces.groupBy("k", "start").agg(
+        F.sum("words").alias("taken"), F.size(F.collect_set("shard")).cast("bigint").alias("n_shards"),
+        first["shard"].alias("first_shard"), first["place"].alias("first_place"),
+    ).withColumn("some", F.lit(True))
     joined = documents.withColumn("some", F.col("size") > 0).join(sums, ["k", "start", "some"], "left")
-    return joined.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"))
+    none = F.lit(0).cast("bigint")
+    return joined.select(
+        "doc_id", "size", "source_size", "target", F.coalesce("taken", none).alias("taken"), F.coalesce("n_shards", none).alias("n_shards"),
+        "first_shard", "first_place",
+    )
+
+
+_WORD_ENDS = "(?<=[ \\t\\n\\x0B\\f\\r])(?=[^ \\t\\n\\x0B\\f\\r])"
+
+
+_BLANKS = " \t\n\x0b\f\r"
+
+
+def _spaced_words(text: Column) -> Column:
+    """The words of a text, each with the white space behind it."""
+    return F.split(F.ltrim(text, F.lit(_BLANKS)), _WORD_ENDS)
+
+
+def _joined(words: Column, first: Column, n: Column) -> Column:
+    """``n`` words from word ``first`` on, with the white space between them as it is."""
+    return F.rtrim(F.array_join(F.slice(words, (first + 1).cast("int"), n.cast("int")), ""), F.lit(_BLANKS))
+
+
+def shards(docs: DataFrame, documents: DataFrame, pieces: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The mix itself: (shard, place, k, epoch, block, doc_id, words, text), a row per piece, in the order of shard and place.
+
+    ``documents`` and ``pieces`` are the tables of :func:`mix` over ``docs``. A piece is what one document
+    has in one block; a shard's texts, read in the order of ``place``, are its shuffled share of the mix.
+    """
+    # All pieces of one input row, so the text is split once; their number is bounded by its length.
+    parts = pieces.groupBy("doc_id", "text_hash", "k", "start").agg(
+        F.array_agg(F.struct("shard", "place", "epoch", "block", "first", "words")).alias("pieces")
+    )
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("hash", F.xxhash64("text"))
+    # Equal rows have equal words: one of them gives the text of the pieces of all.
+    one = rows.dropDuplicates(["id", "hash"])
+    met = one.join(parts, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash")))
+    texts = bind(_spaced_words(F.col("text")), lambda ws: F.transform("pieces", lambda p: _joined(ws, p["first"], p["words"])))
+    cut = met.select("doc_id", "k", F.explode(F.arrays_zip("pieces", texts.alias("text"))).alias("p")).select(
+        "p.pieces.shard", "p.pieces.place", "k", "p.pieces.epoch", "p.pieces.block", "doc_id", "p.pieces.words", "p.text",
+    )
+    return cut.repartitionByRange("shard", "place").sortWithinPartitions("shard", "place")
 
 
 def apply(docs: DataFrame, documents: DataFrame, pieces: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -233,7 +292,6 @@ def apply(docs: DataFrame, documents: DataFrame, pieces: DataFrame, id_col: str
     number = F.row_number().over(Window.partitionBy("__key", "__text_hash").orderBy(F.lit(0))) if repeats else F.lit(1)
     named = named.withColumn("__number", number)
     on = F.col("__key").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")) & (F.col("__number") == F.col("__row"))
-    parts = F.filter(F.split(mine[text_col], "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != "")
-    cut = F.array_join(F.slice(parts, 1, F.col("__words").cast("int")), " ")
+    cut = _joined(_spaced_words(mine[text_col].cast("string")), F.lit(0), F.col("__words"))
     text = F.when(F.col("__words") < F.col("__size"), cut).otherwise(mine[text_col])
     return mine.back(named.join(used, on).withColumn(mine.key(text_col), text))

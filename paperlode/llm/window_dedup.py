@@ -2,11 +2,11 @@
 
 Pass 1. Every window of ``window`` words is represented by its anchor: the run of ``anchor`` words inside it
 with the smallest hash. Equal windows have equal anchors, so a window occurs at most as often as its anchor.
-Each block builds a count-min sketch of its anchors (``DEPTH`` rows of cells; only touched cells are kept).
-The sketches are merged by adding cell counts. The merged sketch is as wide as the data needs and lies
-distributed by ranges of cells; nothing of it is broadcast. A block gets back, for each cell it touched,
-whether the merged count is 2 or more. The smallest count over the rows is never below the true count:
-no repeated window is lost.
+Each block builds a count-min sketch of its anchors: ``DEPTH`` rows of cells with saturating counts, of which
+only the touched cells are kept. The sketches are merged by adding the counts of each cell. The merged sketch is
+as wide as the data needs and lies distributed by ranges of cells; nothing of it is broadcast. A block gets back
+the merged counts of the cells it touched and estimates each anchor by the smallest count over the rows, which is
+never below the true count (up to saturation): no repeated window is lost.
 
 Pass 2. Only windows whose anchor is estimated to repeat are grouped, by a 128-bit hash of their words.
 Of documents with equal bytes only the first sends windows in this pass; the others share its fate.
@@ -20,6 +20,7 @@ import hashlib
 from itertools import compress
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -32,6 +33,10 @@ from paperlode.llm.tables import fixed
 DEPTH = 2
 #: Cells per row of the sketch for each anchor; 8 lets 12 % of single anchors pass a row, 1.5 % both rows.
 CELLS_PER_ANCHOR = 8
+#: Counts stop here.
+SATURATED = 255
+#: A touched cell of a range as it is sent.
+CELL = np.dtype([("cell", "<u4"), ("count", "u1")])
 BLOCK_BYTES = 2 << 20
 
 SCHEMA = "doc_id bigint, n_words bigint, spans array<struct<first:bigint,end:bigint>>, kept_sha256 string"
@@ -85,29 +90,55 @@ def anchors_of(words: Words, window: int, anchor: int) -> tuple[np.ndarray, np.n
 
 
 class Sketch:
-    """Touched cells of one block's count-min sketch, as keys of slices."""
+    """Touched cells of one block's count-min sketch with their counts, cut into ranges of cells."""
 
     def __init__(self, runs: np.ndarray, positions: np.ndarray, width: int, slices: int):
         keys = runs[positions]
-        self.per_slice = -(-width // slices)
+        per_slice = -(-width // slices)
         self.rows = []
         for r in range(DEPTH):
             cell = (mix(keys ^ U(0xA5A5 + 77 * r)) % U(width)).astype(np.int64)
-            self.rows.append(bl.KeySet(cell // self.per_slice, (cell % self.per_slice).astype(np.uint32)))
+            self.rows.append(bl.KeySet(cell // per_slice, (cell % per_slice).astype(np.uint32)))
         self.slices = slices
 
     def send(self, block: int) -> list[dict]:
-        return [x for r, k in enumerate(self.rows) for x in k.rows(block, r * self.slices)]
+        """Per range of cells one row: the touched cells and the block's counts."""
+        out = []
+        for r, k in enumerate(self.rows):
+            cells = np.empty(len(k.bucket), dtype=CELL)
+            cells["cell"], cells["count"] = k.parts[0], np.minimum(k.counts, SATURATED)
+            firsts = np.flatnonzero(np.diff(k.bucket, prepend=-1))
+            ends = [*firsts[1:], len(k.bucket)] if len(firsts) else []
+            out += [
+                {"block": block, "bucket": int(k.bucket[f]) + r * self.slices, "width": CELL.itemsize, "keys": cells[f:e].tobytes()}
+                for f, e in zip(firsts, ends, strict=True)
+            ]
+        return out
 
-    def suspected(self, flags) -> np.ndarray:
-        """For each position: the smallest merged count over the rows is 2 or more."""
-        out = None
+    def estimates(self, flags: list[dict] | None) -> np.ndarray:
+        """For each position of an anchor: the smallest merged count over the rows."""
+        out = np.full(len(self.rows[0].inverse), SATURATED, dtype=np.uint8)
+        merged = {f["bucket"]: f["seen"] for f in flags or []}
         for r, k in enumerate(self.rows):
-            twice = (k.counts > 1) | k.answers(flags, "seen", r * self.slices)
-            out = twice[k.inverse] if out is None else out & twice[k.inverse]
+            counts = np.concatenate([np.zeros(0, dtype=np.uint8), *[
+                np.frombuffer(merged[b + r * self.slices], dtype=np.uint8) for b in np.unique(k.bucket).tolist()
+            ]])
+            out = np.minimum(out, counts[k.inverse])
         return out
 
 
+def merge(rows: pd.DataFrame) -> pd.DataFrame:
+    """One range of cells: counts of all blocks added, and for each block the sums of the cells it touched."""
+    parts = [np.frombuffer(k, dtype=CELL) for k in rows["keys"]]
+    total = np.zeros(max(int(p["cell"].max()) for p in parts) + 1, dtype=np.uint16)
+    for p in parts:  # A block names a cell once.
+        total[p["cell"]] = np.minimum(total[p["cell"]] + p["count"], SATURATED)
+    return pd.DataFrame({
+        "block": rows["block"].to_numpy(), "bucket": rows["bucket"].to_numpy(),
+        "seen": [total[p["cell"]].astype(np.uint8).tobytes() for p in parts], "first": b"",
+    })
+
+
 def _doc_keys(block: bl.Block) -> bl.KeySet:
     digests = np.array([xxhash.xxh3_128_intdigest(block.text(k)) for k in range(len(block.ids))], dtype=object)
     high = np.array([d >> 64 for d in digests], dtype=U)
@@ -155,7 +186,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
         for row in bl.rows_of(batches):
             block, flags = bl.Block.of(row), row["flags"]
             words, starts, at, positions, sketch = sketch_of(block)
-            anchor_suspect = sketch.suspected(flags)
+            anchor_suspect = sketch.estimates(flags) >= 2
             per_word = np.zeros(int(words.counts.sum()) + 1, dtype=bool)
             if len(starts):
                 per_word[starts] = anchor_suspect[np.searchsorted(positions, at)]
@@ -182,7 +213,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
             yield pa.RecordBatch.from_pylist([{n: out[n] for n in stage.names}], schema=stage)
 
     stage = pa.schema([("done", pa.list_(pa.struct(list(_ARROW)))), ("whole", pa.list_(pa.bool_())), ("suspect", pa.binary()), *bl._ARROW_BLOCK])
-    flags = bl.repeated(bl.key_rows(blocks, first_keys))
+    # Ranges of cells are added up; behind them come the buckets of whole documents.
+    def merge_or_answer(rows: pd.DataFrame) -> pd.DataFrame:
+        return merge(rows) if rows["bucket"].iloc[0] < first_doc_bucket else bl.answer(rows)
+
+    flags = bl.repeated(bl.key_rows(blocks, first_keys), merge_or_answer)
     staged = fixed(blocks.join(flags, "block", "left").mapInArrow(suspect, _STAGE))
 
     # Suspects are at most all windows; a bucket then still holds a bounded number of 16-byte keys.

@@ -70,6 +70,32 @@ def test_word_windows_keep_every_repeat_of_any_shape(spark):
         assert rows(window_dedup.digests(window_dedup.dedup(df, block_bytes=block_bytes))) == brute.windows(docs)
 
 
+def test_sketches_are_merged_by_adding_counts():
+    """Estimates are never below the true count of all blocks, and seldom above it."""
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    blocks = [rng.integers(0, 900, 700).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) for _ in range(4)]
+    width, slices = 8 * 2800, 16
+    sketches = [window_dedup.Sketch(b, np.arange(len(b)), width, slices) for b in blocks]
+    sent = pd.DataFrame([row for k, s in enumerate(sketches) for row in s.send(k)])
+    answers = pd.concat([window_dedup.merge(rows) for _, rows in sent.groupby("bucket")])
+    every, counts = np.unique(np.concatenate(blocks), return_counts=True)
+    true = dict(zip(every.tolist(), counts.tolist(), strict=True))
+    over = []
+    for k, (b, s) in enumerate(zip(blocks, sketches, strict=True)):
+        got = s.estimates(answers[answers["block"] == k][["bucket", "seen"]].to_dict("records"))
+        over += [int(e) - true[key] for key, e in zip(b.tolist(), got.tolist(), strict=True)]
+    assert min(over) == 0 and max(counts) > 4
+    assert sum(x > 0 for x in over) < 0.03 * len(over)
+    hot = [window_dedup.Sketch(np.full(200, 7, dtype=np.uint64), np.arange(200), width, slices) for _ in range(2)]
+    sent = pd.DataFrame([row for k, s in enumerate(hot) for row in s.send(k)])
+    answers = pd.concat([window_dedup.merge(rows) for _, rows in sent.groupby("bucket")])
+    got = hot[0].estimates(answers[answers["block"] == 0][["bucket", "seen"]].to_dict("records"))
+    assert set(got.tolist()) == {window_dedup.SATURATED}
+
+
 @pytest.mark.parametrize("options", [{}, {"block_bytes": 3000}])
 def test_byte_substrings(edge, nothing, options):
     assert rows(suffix_dedup.digests(suffix_dedup.dedup(edge, **options))) == brute.substrings([(d, t) for d, t, _ in EDGE])
@@ -242,9 +268,42 @@ def test_mix(spark, edge, nothing, options):
     assert mixed.columns == edge.columns
     assert sum(len(brute.words(r["text"])) for r in mixed.collect()) == sum(r["taken"] for r in got)
     assert mixing.taken_words(*mixing.mix(nothing)).collect() == []
+    assert mixing.shards(nothing, *mixing.mix(nothing)).collect() == []
     assert sum(sizes.values()) > 0
 
 
+def _blocks_by_shard(pieces):
+    """Blocks of each source by shard, and the place of every piece."""
+    drawn = pieces.select("shard", "k", "epoch", "block").distinct().groupBy("k").count().collect()
+    where = {(r["k"], r["start"], r["epoch"], r["block"]): (r["shard"], r["place"]) for r in pieces.collect()}
+    return {r["k"]: r["count"] for r in drawn}, where
+
+
+def test_shards_hold_the_mix(spark, edge):
+    """Texts of shards are the words the mix takes, in the order of places; another seed deals other shards of equal quotas."""
+    options = {"block_words": 50, "shard_blocks": 2}
+    documents, pieces = mixing.mix(edge, **options)
+    got = [r for part in mixing.shards(edge, documents, pieces).rdd.glom().collect() for r in part]
+    assert [(r["shard"], r["place"]) for r in got] == sorted((r["shard"], r["place"]) for r in got)
+    assert all(len(brute.words(r["text"])) == r["words"] for r in got)
+    taken = mixing.taken_words(documents, pieces).collect()
+    assert sum(r["words"] for r in got) == sum(r["taken"] for r in taken)
+    # The first epoch of a text that is taken whole, put together again.
+    whole = next(t for d, t, _ in EDGE if d == 13)
+    row = next(r for r in taken if r["doc_id"] == 13)
+    parts = sorted((p["first"], p["shard"], p["place"]) for p in pieces.filter("doc_id = 13 AND epoch = 0").collect())
+    texts = {(r["shard"], r["place"]): r["text"] for r in got}
+    if row["taken"] >= row["size"]:
+        assert brute.words(" ".join(texts[p[1:]] for p in parts)) == brute.words(whole)
+    assert all(texts[p[1:]] in whole for p in parts)  # white space between words stays
+    first = min((p["shard"], p["place"]) for p in pieces.filter("doc_id = 13").collect())
+    assert (row["first_shard"], row["first_place"]) == first
+    quotas, where = _blocks_by_shard(pieces)
+    other_quotas, other = _blocks_by_shard(mixing.mix(edge, seed=2, **options)[1])
+    assert quotas == other_quotas and where != other
+    assert len({s for s, _ in where.values()}) >= mixing.MIN_SHARDS
+
+
 def test_split_is_hypergeometric(spark):
     """Over many seeds, the left half's share of a source has the mean and variance of the distribution."""
     import statistics
