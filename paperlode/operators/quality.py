@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperlode.functions.basic import not_blank, strip
+from paperlode.operators.ranks import position_block, row_numbers
 
 IGNORED_LABEL = -100
 
@@ -83,6 +84,23 @@ def accuracy_by_paper(
     )
 
 
+def rows_by_paper(
+    predictions: DataFrame, order: str, columns: list[str], key: str = "paper_name", pred: str = "predicted_label", gold: str = "true_label",
+    part_rows: int = 1000,
+) -> DataFrame:
+    """Per-paper accuracy with the paper's rows nested below it: (key, part, rows, correct, total, accuracy).
+
+    Rows lie in the order of the numeric column ``order``. A paper of more than ``part_rows`` rows takes several parts, so no
+    cell grows with the paper; each part carries the figures of the whole paper.
+    """
+    numbered = row_numbers(predictions.select(key, order, *columns), [key], {"place": position_block(F.col(order))}, [F.col(order)], "__n")
+    part = F.floor(F.col("__n") / part_rows).cast("bigint")
+    nested = numbered.groupBy(key, part.alias("part")).agg(F.array_sort(F.collect_list(F.struct("__n", order, *columns))).alias("rows"))
+    shown = F.transform("rows", lambda r: F.struct(*[r[c].alias(c) for c in [order, *columns]]))
+    figures = accuracy_by_paper(predictions, key, pred, gold).withColumnRenamed(key, "__key")
+    return nested.withColumn("rows", shown).join(figures, F.col(key).eqNullSafe(F.col("__key"))).drop("__key")
+
+
 def prediction_statistics(
     predictions: DataFrame, key: str = "paper_name", pred: str = "predicted_label", gold: str = "true_label"
 ) -> DataFrame:

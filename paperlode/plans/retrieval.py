@@ -13,6 +13,7 @@ from paperlode.operators.retrieval import (
     search_text,
     with_instruction,
 )
+from paperlode.session import staged
 from paperlode.sources.sinks import write_experiment
 
 
@@ -55,7 +56,8 @@ def run_experiment(
     """Retrieve, evaluate and save; returns name, seconds and the saved folder."""
     began = time.time()
     name = experiment_name(encoder.name, instruction)
-    ranked = retrieve(queries, cands, encoder, max(ks), instruction)
+    # Written once: the metrics and the saved rankings both read it.
+    ranked = staged(retrieve(queries, cands, encoder, max(ks), instruction), "rankings")
     scores = evaluate(ranked, links, relevant, list(ks))
     write_experiment(ranked, scores, path, name)
     return {"name": name, "seconds": time.time() - began, "path": path}

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from paperlode import hooks
 from paperlode.config import FeedConfig, LinkConfig, WindowConfig
+from paperlode.functions import responses
 from paperlode.functions.text import split_sentences
 from paperlode.operators import quality, retrieval, splits
 from paperlode.operators.filters import category_rank, one_owner
+from paperlode.operators.links import keep_listed
 from paperlode.plans import curation, feed
 from paperlode.plans import retrieval as experiments
 from paperlode.queries.base import (
@@ -250,6 +252,19 @@ def x07(spark, sf):
     return hooks.request_table(page_links(spark, sf), ["paper_id"], "pos").select("paper_id", "batch_id", "idx", "url")
 
 
+@query("x07_pick_answers", f"""WITH {S_PAGE_LINKS} SELECT paper_id, url, 'link ' || pos AS reason, CAST(pos % 10 AS DOUBLE) / 10 AS confidence FROM page_links
+  WHERE contains(anchor, 'dataset') AND pos % 2 = 0""")
+def x07_picks(spark, sf):
+    """Answers of a picker inside prose, read, and kept if they name a candidate as it is spelled; odd ones name another url."""
+    rows = page_links(spark, sf)
+    url = F.when(F.col("pos") % 2 == 0, F.concat(F.lit(" "), "url")).otherwise(F.concat(F.lit("https://none.example/"), F.col("pos").cast("string")))
+    primary = F.struct(url.alias("url"), F.concat(F.lit("link "), F.col("pos").cast("string")).alias("reason"), (F.col("pos") % 10 / 10.0).alias("confidence"))
+    answer = F.concat(F.lit("My choice:\n"), F.to_json(F.struct(primary.alias("primary"))), F.lit("\nAs asked."))
+    answers = rows.filter(F.col("anchor").contains("dataset")).select("paper_id", answer.alias("answer"))
+    picks = answers.withColumn("pick", responses.parse_pick(F.col("answer"))).select("paper_id", "pick.*")
+    return keep_listed(picks, rows, normalised=False)
+
+
 @query("x08_experiment")
 def x08(spark, sf):
     """Benchmark texts as queries over all documents, encoded by hashing; a passage is found in its document."""
@@ -258,8 +273,11 @@ def x08(spark, sf):
     return experiments.retrieve(b, c, hooks.HashingEncoder(128), 10).withColumn("score", F.round("score", 6))
 
 
-@query("x08_given_vectors", f"""WITH {S_METRICS}, l AS (UNPIVOT (SELECT * FROM m) ON {', '.join(retrieval.METRICS)} INTO NAME metric VALUE value)
-SELECT metric, k, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, count(*) AS num_valid_queries FROM l GROUP BY 1, 2""")
+S_MEAN_METRICS = f"""WITH {S_METRICS}, l AS (UNPIVOT (SELECT * FROM m) ON {', '.join(retrieval.METRICS)} INTO NAME metric VALUE value)
+SELECT metric, k, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, count(*) AS num_valid_queries FROM l GROUP BY 1, 2"""
+
+
+@query("x08_given_vectors", S_MEAN_METRICS)
 def x08_given(spark, sf):
     """The whole experiment on stored vectors, read back from its saved scores."""
     e = table(spark, sf, "embeddings")
@@ -270,6 +288,22 @@ def x08_given(spark, sf):
     return scores.select("metric", "k", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "num_valid_queries")
 
 
+@query("x08_saved_experiment", S_MEAN_METRICS)
+def x08_saved(spark, sf):
+    """One call of the whole experiment: vectors by text, search, metrics, saved rankings and scores, read back."""
+    e = table(spark, sf, "embeddings")
+    name = F.col("vec_id").cast("string")
+    queries = e.select(F.col("vec_id").alias("query_id"), name.alias("query"), F.lit("").alias("instruction"))
+    cands = e.select(F.col("vec_id").alias("cand_id"), name.alias("vec"))
+    forms = F.explode(F.array(name, F.concat(F.lit("vec: "), name)))
+    given = hooks.make_encoder("given", e.select(forms.alias("text"), F.col("embedding").alias("vector")), "text")
+    links = e.select(F.col("vec_id").alias("cand_id"), F.col("vec_id").alias("link"))
+    done = experiments.run_experiment(queries, cands, links, _truth(spark, sf), given, new_work_dir(spark, "experiment"))
+    scores = spark.read.schema("metric STRING, k INT, mean DOUBLE, std DOUBLE, num_valid_queries BIGINT, experiment STRING").json(f"{done['path']}/score")
+    saved = scores.filter(F.col("experiment") == done["name"])
+    return saved.select("metric", "k", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "num_valid_queries")
+
+
 def _curated(spark, sf, links: LinkConfig) -> DataFrame:
     d = table(spark, sf, "documents")
     entries = d.select(

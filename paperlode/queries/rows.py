@@ -7,7 +7,7 @@ from paperlode.config import LinkConfig, PackConfig, WindowConfig
 from paperlode.functions import urls
 from paperlode.functions.dates import year_of
 from paperlode.functions.text import LABEL_REQUEST, count_tokens, has_latex, split_sentences
-from paperlode.operators import filters, ledger, links, quality, retrieval, sentences, splits, statistics, windows
+from paperlode.operators import filters, ledger, links, postings, quality, retrieval, sentences, splits, statistics, windows
 from paperlode.operators.ranks import top_rows
 from paperlode.plans.consolidation import consolidate
 from paperlode.plans.link_ranking import primary_links
@@ -42,7 +42,7 @@ from paperlode.queries.functions import (
     s_norm,
     s_score,
 )
-from paperlode.session import staged
+from paperlode.session import new_work_dir, staged
 
 PDF = "https://arxiv.org/pdf/"
 
@@ -438,6 +438,20 @@ def a13(spark, sf):
     return quality.accuracy_by_paper(predictions(spark, sf))
 
 
+@query("a13_rows_by_paper", f"""WITH {S_PREDICTIONS},
+n AS (SELECT *, CAST((row_number() OVER (PARTITION BY paper_name ORDER BY sentence_index) - 1) // 1000 AS BIGINT) AS part FROM preds),
+t AS (SELECT paper_name, count(*) FILTER (predicted_label = true_label) AS correct, count(*) AS total, round(count(*) FILTER (predicted_label = true_label) / count(*), 6) AS accuracy FROM preds GROUP BY paper_name)
+SELECT paper_name, part, any_value(correct) AS correct, any_value(total) AS total, any_value(accuracy) AS accuracy, count(*) AS n_rows,
+  md5(string_agg(sentence_index || ' ' || predicted_label || ' ' || true_label || ' ' || text, chr(10) ORDER BY sentence_index)) AS digest
+FROM n JOIN t USING (paper_name) GROUP BY 1, 2""")
+def a13_rows(spark, sf):
+    nested = quality.rows_by_paper(predictions(spark, sf), "sentence_index", ["predicted_label", "true_label", "text"])
+    line = F.transform("rows", lambda r: F.concat_ws(" ", r["sentence_index"], r["predicted_label"], r["true_label"], r["text"]))
+    return nested.select(
+        "paper_name", "part", "correct", "total", "accuracy", F.size("rows").cast("long").alias("n_rows"), F.md5(F.array_join(line, "\n")).alias("digest")
+    )
+
+
 @query("a14_prediction_statistics", f"""WITH {S_PREDICTIONS} SELECT count(DISTINCT paper_name) AS papers, count(*) AS sentences, count(*) FILTER (predicted_label = true_label) AS correct,
   round(count(*) FILTER (predicted_label = true_label) / count(*), 6) AS accuracy, count(*) FILTER (predicted_label = 1) AS positives, round(count(*) FILTER (predicted_label = 1) / count(*), 6) AS positive_ratio FROM preds""")
 def a14(spark, sf):
@@ -868,13 +882,24 @@ def s_count(e: str, token: str) -> str:
     return f"(length({e}) - length(replace({e}, '{token}', ''))) // {len(token)}"
 
 
-@query("o05_keyword_search", f"""WITH t AS (SELECT doc_id, lower('{PDF}' || doc_id || '.pdf https://' || source || '.org ' || text) AS x FROM documents),
+S_KEYWORDS = f"""WITH t AS (SELECT doc_id, lower('{PDF}' || doc_id || '.pdf https://' || source || '.org ' || text) AS x FROM documents),
 s AS (SELECT doc_id, CAST({s_count('x', 'the')} + {s_count('x', 'tion')} + {s_count('x', 'src1')} AS INTEGER) AS score FROM t)
-SELECT doc_id, score FROM s WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 50""")
+SELECT doc_id, score FROM s WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 50"""
+
+
+@query("o05_keyword_search", S_KEYWORDS)
 def o05(spark, sf):
     return retrieval.keyword_search(_records(spark, sf), " The tion  SRC1 ", tie=["doc_id"]).select("doc_id", "score")
 
 
+@query("o05_postings_search", S_KEYWORDS)
+def o05_postings(spark, sf):
+    """The same search on a written index of character grams."""
+    records, path = _records(spark, sf), new_work_dir(spark, "postings")
+    postings.write_postings(records, path, "doc_id")
+    return postings.search_postings(records, path, " The tion  SRC1 ", "doc_id", tie=["doc_id"]).select("doc_id", "score")
+
+
 @query("o06_best_link", f"""WITH {S_PAGE_LINKS}, u AS (SELECT paper_id, pos, CASE WHEN pos % 4 = 0 THEN 'https://arxiv.org/abs/1' ELSE rtrim(regexp_extract(url, '(?i)https?://[^\\s<>\\])"}}]+'), '.,;:)]}}"''') END AS url FROM page_links),
 k AS (SELECT *, coalesce(list_min(list_filter([{', '.join(f"CASE WHEN contains(lower(url), '{d}') THEN {i} END" for i, d in enumerate(rules.DOMAIN_ORDER))}], lambda r: r IS NOT NULL)), 999) AS rank FROM u WHERE NOT contains(lower(url), 'arxiv.org'))
 SELECT p.page_id AS paper_id, coalesce(k.url, '') AS link FROM pages p LEFT JOIN (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY paper_id ORDER BY rank, length(url), pos) = 1) k ON k.paper_id = p.page_id""")
