@@ -364,7 +364,7 @@ def s17(spark, sf):
         sinks.append_samples(rows.filter(F.col("category") == kind), path)
     sinks.append_samples(rows.filter(~F.col("category").isin("user", "assistant")), path)
     schema = "conv_id LONG, turn LONG, input STRING, label STRING, max_length LONG"
-    return spark.read.schema(schema).json(path).select("conv_id", "turn", "input", "label", "max_length")
+    return sinks.read_samples(spark, path, schema).select("conv_id", "turn", "input", "label", "max_length")
 
 
 @query("s18_write_csv", "SELECT o_orderpriority AS category, CAST(year(o_orderdate) AS INTEGER) AS year, count(*) AS count FROM orders GROUP BY 1, 2")
@@ -372,7 +372,7 @@ def s18(spark, sf):
     path = new_work_dir(spark, "csv")
     o = table(spark, sf, "orders")
     sinks.write_csv(o.groupBy(F.col("o_orderpriority").alias("category"), F.year("o_orderdate").alias("year")).agg(F.count(F.lit(1)).alias("count")), path)
-    return spark.read.schema("category STRING, year INT, count LONG").option("header", True).csv(path)
+    return sinks.read_csv(spark, path, "category STRING, year INT, count LONG")
 
 
 @query("s19_write_experiment", f"""WITH {S_METRICS}, l AS (UNPIVOT (SELECT * FROM m) ON {', '.join(retrieval.METRICS)} INTO NAME metric VALUE value)
@@ -382,7 +382,7 @@ def s19(spark, sf):
     ranked = _ranked(spark, sf)
     scores = retrieval.mean_metrics(retrieval.ranking_metrics(ranked, _truth(spark, sf), [1, 3, 5, 10]))
     sinks.write_experiment(ranked, scores, path, "given_without_instruction")
-    saved = spark.read.schema("metric STRING, k INT, mean DOUBLE, experiment STRING").json(path + "/score")
+    saved = sinks.read_experiment(spark, path, "score", "metric STRING, k INT, mean DOUBLE")
     return saved.select("experiment", "metric", "k", F.round("mean", 6).alias("mean"))
 
 

@@ -30,6 +30,7 @@ from paperlode.queries.base import (
 from paperlode.queries.functions import S_IS_DATASET, s_looks_like_code
 from paperlode.queries.rows import PDF, S_CANDIDATES, S_METRICS, S_TOP10, _truth, _vectors, s_picks
 from paperlode.session import new_work_dir, staged
+from paperlode.sources.sinks import read_experiment
 from paperlode.streaming import intake
 
 # --- T: streaming ------------------------------------------------------------------------------
@@ -299,7 +300,7 @@ def x08_saved(spark, sf):
     given = hooks.make_encoder("given", e.select(forms.alias("text"), F.col("embedding").alias("vector")), "text")
     links = e.select(F.col("vec_id").alias("cand_id"), F.col("vec_id").alias("link"))
     done = experiments.run_experiment(queries, cands, links, _truth(spark, sf), given, new_work_dir(spark, "experiment"))
-    scores = spark.read.schema("metric STRING, k INT, mean DOUBLE, std DOUBLE, num_valid_queries BIGINT, experiment STRING").json(f"{done['path']}/score")
+    scores = read_experiment(spark, done["path"], "score", "metric STRING, k INT, mean DOUBLE, std DOUBLE, num_valid_queries BIGINT")
     saved = scores.filter(F.col("experiment") == done["name"])
     return saved.select("metric", "k", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "num_valid_queries")
 

@@ -1,31 +1,34 @@
-"""Sinks. Partitioned sinks replace only the partitions they write."""
+"""Sinks. Every write is one version (:mod:`paperlode.sources.versions`): it becomes visible whole or not at all, and
+partitioned sinks replace only the partitions they write."""
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperlode.sources.versions import read_version, write_version
+
+DAY_CATEGORY = ["day", "category"]
+
 
 def write_metadata(papers: DataFrame, path: str, covered: list[tuple[str, str]] | None = None) -> None:
     """One JSON partition per day and category, replaced as a whole.
 
     ``covered`` lists the (day, category) pairs that the run looked at; a pair without papers loses its old partition.
     """
-    spark = papers.sparkSession
-    if covered:
-        filled = {(r["day"], r["category"]) for r in papers.select(F.col("day").cast("string"), "category").distinct().collect()}
-        for day, category in sorted(set(covered) - filled):
-            gone = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/day={day}/category={category}")
-            gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
-    papers.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "category").json(path)
+    write_version(papers, path, DAY_CATEGORY, "json", covered=covered)
 
 
 def read_metadata(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """What :func:`write_metadata` wrote; filters on day and category skip whole partitions."""
-    return spark.read.schema(schema + ", day STRING, category STRING").json(path)
+    return read_version(spark, path, schema, "json", DAY_CATEGORY)
 
 
 def append_samples(samples: DataFrame, path: str) -> None:
     """Labelled link samples as JSON lines per day and category."""
-    samples.write.mode("append").partitionBy("day", "category").json(path)
+    write_version(samples, path, DAY_CATEGORY, "json", append=True)
+
+
+def read_samples(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return read_version(spark, path, schema, "json", DAY_CATEGORY)
 
 
 def link_samples(links: DataFrame, inputs: DataFrame, labels: DataFrame, keys: list[str], window: dict) -> DataFrame:
@@ -35,12 +38,19 @@ def link_samples(links: DataFrame, inputs: DataFrame, labels: DataFrame, keys: l
 
 
 def write_csv(table: DataFrame, path: str) -> None:
-    table.write.mode("overwrite").option("header", True).csv(path)
+    write_version(table, path, [], "csv", options={"header": True})
+
+
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return read_version(spark, path, schema, "csv", [], options={"header": True})
 
 
 def write_experiment(rankings: DataFrame, scores: DataFrame, path: str, name: str) -> None:
     """Rankings and mean scores of one experiment below its name."""
     for kind, table in (("result", rankings), ("score", scores)):
-        table.withColumn("experiment", F.lit(name)).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic"
-        ).partitionBy("experiment").json(f"{path}/{kind}")
+        write_version(table.withColumn("experiment", F.lit(name)), f"{path}/{kind}", ["experiment"], "json")
+
+
+def read_experiment(spark: SparkSession, path: str, kind: str, schema: str) -> DataFrame:
+    """Rankings (``result``) or mean scores (``score``) of all experiments."""
+    return read_version(spark, f"{path}/{kind}", schema, "json", ["experiment"])

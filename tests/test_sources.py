@@ -100,7 +100,7 @@ def test_experiment(spark, tmp_path):
     truth = spark.createDataFrame([("q1", "c2"), ("q2", "c1")], "query_id string, link string")
     done = experiments.run_experiment(q, c, links, truth, HashingEncoder(512), str(tmp_path), ks=(1, 2))
     assert done["name"] == "hashing-512_without_instruction"
-    saved = spark.read.json(str(tmp_path) + "/score").filter("metric = 'hit_rate' and k = 1").first()
+    saved = sinks.read_experiment(spark, str(tmp_path), "score", "metric STRING, k INT, mean DOUBLE").filter("metric = 'hit_rate' and k = 1").first()
     assert saved["mean"] == 1.0
 
 
