@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from paperlode.functions.basic import bind, count_of, strip
 from paperlode.operators.ranks import broadcast_limit, top_rows
+from paperlode.operators.vector_balls import PART, SCORE_DIGITS, Profile, TopK
 
 METRICS = ["hit_rate", "mrr", "precision", "recall", "f1", "ndcg", "average_precision"]
-SCORE_DIGITS = 9
 
 # --- search text -------------------------------------------------------------------------------
 
@@ -50,13 +50,37 @@ def with_instruction(query: Column, instruction: Column) -> Column:
 # --- vector search -----------------------------------------------------------------------------
 
 
-def _matrix(vectors: pd.Series, unit: bool) -> bytes:
-    """Vectors of a block as one matrix, of unit length if asked; zero vectors stay zero."""
+def _rows(vectors: pd.Series, unit: bool) -> np.ndarray:
+    """Vectors as rows of one matrix, of unit length if asked; zero vectors stay zero."""
     matrix = np.stack(vectors.to_numpy()).astype(np.float64)
     if unit:
         lengths = np.linalg.norm(matrix, axis=1, keepdims=True)
         matrix /= np.where(lengths == 0, 1.0, lengths)
-    return matrix.tobytes()
+    return matrix
+
+
+def _matrix(vectors: pd.Series, unit: bool) -> bytes:
+    return _rows(vectors, unit).tobytes()
+
+
+class _Sent:
+    """Queries that every task holds: their ids and their matrix."""
+
+    def __init__(self, queries: DataFrame, query: str, vector: str, unit: bool):
+        rows = queries.select(query, vector).toPandas()
+        matrix = _rows(rows[vector], unit) if len(rows) else np.zeros((0, 1))
+        self.ids = rows[query].to_list()
+        self._held = queries.sparkSession.sparkContext.broadcast(matrix)
+
+    @property
+    def matrix(self) -> np.ndarray:
+        return self._held.value
+
+
+def _sent(queries: DataFrame, query: str, vector: str, unit: bool) -> _Sent | None:
+    """The queries, if their counted bytes are within the session's limit for broadcasts; else None."""
+    n, dim = queries.agg(F.count(F.lit(1)), F.max(F.size(vector))).first()
+    return _Sent(queries, query, vector, unit) if n * (dim or 1) * 8 <= broadcast_limit(queries.sparkSession) else None
 
 
 def _packed(df: DataFrame, key: str, vector: str, size: int, unit: bool, salts: int) -> DataFrame:
@@ -84,16 +108,13 @@ def _packed(df: DataFrame, key: str, vector: str, size: int, unit: bool, salts:
 def _block_pairs(queries: DataFrame, cands: DataFrame, query: str, cand: str, vector: str, size: int, unit: bool = True) -> DataFrame:
     """Every block of candidates next to every block of queries.
 
-    Candidate blocks are copied per query group and meet them by an equi-join on the group number. The
-    query side is broadcast only while it is small by count; otherwise the group number is salted so
-    that a few query groups still use all tasks.
+    For query sides above the limit for broadcasts. Candidate blocks are copied per query group and meet them by an
+    equi-join on the group number, salted so that a few query groups still use all tasks.
     """
     spark = queries.sparkSession
-    n, dim = queries.agg(F.count(F.lit(1)), F.max(F.size(vector))).first()
-    groups = max(1, -(-n // size))
-    small = n * (dim or 1) * 8 <= broadcast_limit(spark)
+    groups = max(1, -(-queries.count() // size))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    salts = 1 if small else max(1, -(-tasks // groups))
+    salts = max(1, -(-tasks // groups))
     key_type = queries.schema[query].dataType.simpleString()
 
     def pack_group(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -108,8 +129,6 @@ def _block_pairs(queries: DataFrame, cands: DataFrame, query: str, cand: str, ve
     )
     copies = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
     right = _packed(cands, cand, vector, size, unit, salts).withColumn("group", copies)
-    if small:
-        return right.join(F.broadcast(left), "group")
     left = left.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return right.join(left, ["group", "salt"])
 
@@ -132,11 +151,20 @@ def cosine_top_k(
 ) -> DataFrame:
     """Best ``k`` candidates of every query by cosine, ties by candidate id: (query, cand, score, rank).
 
-    Block products keep their own best ``k``, so the global ranking sees few rows. ``inner`` ranks by
-    inner product instead, as a flat index does; on unit vectors both orders agree.
+    ``inner`` ranks by inner product instead, as a flat index does; on unit vectors both orders agree. Queries
+    within the session's limit for broadcasts go to every task, which reads its candidates where they lie, leaves out
+    the parts that can't enter a query's best ``k`` (:mod:`paperlode.operators.vector_balls`) and sends on its own best
+    ``k`` only. More queries than that meet blocks of candidates by a join, and each block sends its best ``k``.
     """
     query_type = queries.schema[query].dataType.simpleString()
     cand_type = cands.schema[cand].dataType.simpleString()
+    held = _sent(queries, query, vector, not inner)
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = _searched(held, batches, k, cand, vector, size, not inner)
+        for i, q in enumerate(held.ids):
+            if found.ids[i] is not None:
+                yield pd.DataFrame({query: q, cand: found.ids[i], "score": found.scores[i]})
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -153,20 +181,57 @@ def cosine_top_k(
                     out.append(pd.DataFrame({query: q, cand: ids[order], "score": line[order]}))
                 yield pd.concat(out, ignore_index=True)
 
-    partial = _block_pairs(queries, cands, query, cand, vector, size, not inner).mapInPandas(
-        best, f"`{query}` {query_type}, `{cand}` {cand_type}, score DOUBLE"
-    )
+    hits = f"`{query}` {query_type}, `{cand}` {cand_type}, score DOUBLE"
+    if held is not None:
+        partial = cands.select(cand, vector).mapInPandas(search, hits)
+    else:
+        partial = _block_pairs(queries, cands, query, cand, vector, size, not inner).mapInPandas(best, hits)
     return top_rows(partial, [query], [F.col("score").desc(), F.col(cand)], k)
 
 
+def _searched(held: _Sent, batches: Iterator[pd.DataFrame], k: int, cand: str, vector: str, size: int, unit: bool) -> TopK:
+    found = TopK(held.matrix, k, min(size, PART))
+    for pdf in batches:
+        if len(pdf) and held.ids:
+            found.add(np.asarray(pdf[cand].to_list()), _rows(pdf[vector], unit))
+    return found
+
+
+def met_share(
+    queries: DataFrame, cands: DataFrame, k: int, query: str = "query_id", cand: str = "cand_id", vector: str = "vector", size: int = 1024,
+    inner: bool = False,
+) -> DataFrame:
+    """What :func:`cosine_top_k` costs on these tables: (pairs, met), met being the pairs whose product is taken."""
+    held = _sent(queries, query, vector, not inner)
+    if held is None:
+        raise ValueError("queries above the limit for broadcasts meet all candidates")
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = _searched(held, batches, k, cand, vector, size, not inner)
+        yield pd.DataFrame({"pairs": [found.pairs], "met": [found.met]})
+
+    rows = cands.select(cand, vector).mapInPandas(count, "pairs LONG, met LONG")
+    return rows.agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"), F.coalesce(F.sum("met"), F.lit(0)).alias("met"))
+
+
 def similarity_profile(
     queries: DataFrame, cands: DataFrame, at_least: float, query: str = "query_id", cand: str = "cand_id", vector: str = "vector", size: int = 1024
 ) -> DataFrame:
     """Every query against every candidate, folded per query: compared, similar and best score.
 
-    The pairs exist only inside a block product; rows leave it already summed.
+    The pairs exist only inside a block product; rows leave it already summed. Queries travel as in :func:`cosine_top_k`;
+    parts of the candidates that lie wholly on one side of ``at_least`` and can't raise the best score are only counted.
     """
     query_type = queries.schema[query].dataType.simpleString()
+    held = _sent(queries, query, vector, True)
+
+    def profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = Profile(held.matrix, at_least, min(size, PART))
+        for pdf in batches:
+            if len(pdf) and held.ids:
+                found.add(_rows(pdf[vector], True))
+        met = found.compared > 0
+        yield pd.DataFrame({query: held.ids, "compared": found.compared, "similar": found.similar, "best": found.best})[met]
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -177,9 +242,11 @@ def similarity_profile(
                     "similar": (scores >= at_least).sum(axis=1), "best": scores.max(axis=1),
                 })
 
-    partial = _block_pairs(queries, cands, query, cand, vector, size).mapInPandas(
-        fold, f"`{query}` {query_type}, compared LONG, similar LONG, best DOUBLE"
-    )
+    sums = f"`{query}` {query_type}, compared LONG, similar LONG, best DOUBLE"
+    if held is not None:
+        partial = cands.select(vector).mapInPandas(profile, sums)
+    else:
+        partial = _block_pairs(queries, cands, query, cand, vector, size).mapInPandas(fold, sums)
     return partial.groupBy(query).agg(
         F.sum("compared").alias("compared"), F.sum("similar").alias("similar"), F.max("best").alias("best")
     )
