@@ -330,6 +330,42 @@ def s14(spark, sf):
     return archives.expand_archives(_archives(spark, sf))
 
 
+ARCHIVE_DOCUMENTS = 100
+
+
+@query("s14_landed_archives", f"""WITH d AS (SELECT doc_id, CAST(floor(doc_id / {ARCHIVE_DOCUMENTS}) AS BIGINT) AS paper_id, coalesce(text, '') AS text FROM documents)
+SELECT paper_id, 'd' || doc_id || '.tex' AS path, text, NULL AS reason FROM d WHERE paper_id % 10 <> 9
+UNION ALL SELECT DISTINCT paper_id, NULL, NULL, 'broken' FROM d WHERE paper_id % 10 = 9""")
+def s14_landed(spark, sf):
+    """Archives of a block of documents each, landed as files; a tar of texts is text itself, so Spark's text sink writes it."""
+    d = table(spark, sf, "documents").select(
+        "doc_id", F.floor(F.col("doc_id") / ARCHIVE_DOCUMENTS).alias("paper_id"), F.coalesce("text", F.lit("")).alias("text")
+    )
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        import io
+        import tarfile
+
+        buffer = io.BytesIO()
+        with tarfile.open(fileobj=buffer, mode="w", format=tarfile.GNU_FORMAT) as archive:
+            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+                for name in (f"d{doc_id}.tex", f"../d{doc_id}.tex"):
+                    raw = text.encode()
+                    info = tarfile.TarInfo(name)
+                    info.size = len(raw)
+                    archive.addfile(info, io.BytesIO(raw))
+        paper = int(pdf["paper_id"].iloc[0])
+        value = "broken" if paper % 10 == 9 else buffer.getvalue().decode()
+        return pd.DataFrame({"paper_id": [paper], "value": [value]})
+
+    path = new_work_dir(spark, "archives")
+    d.groupBy("paper_id").applyInPandas(pack, "paper_id LONG, value STRING").write.partitionBy("paper_id").text(path)
+    paper = F.regexp_extract("path", r"paper_id=(\d+)/", 1).cast("bigint")
+    members, rejects = archives.read_members(spark, path, paper_id=paper)
+    no_text = F.lit(None).cast("string")
+    return members.withColumn("reason", no_text).unionByName(rejects.select("paper_id", no_text.alias("path"), no_text.alias("text"), "reason"))
+
+
 @query("s15_concatenate_sources", """SELECT doc_id AS paper_id, chr(10) || chr(10) || '===== b.sty =====' || chr(10) || 'style' || chr(10) || chr(10) || '===== main.tex =====' || chr(10) || text
   || chr(10) || chr(10) || '===== a/refs.bib =====' || chr(10) || source AS text FROM documents WHERE doc_id % 10 <> 9""")
 def s15(spark, sf):

@@ -1,20 +1,64 @@
 """Source archives of papers."""
 
+import io
+import lzma
+import tarfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperlode import rules
+from paperlode.session import staged
 
 
-def read_archives(spark: SparkSession, path: str, limit: int = rules.ARCHIVE_LIMIT_BYTES) -> DataFrame:
-    """Landed archives up to the size limit; larger ones are not even read."""
+#: Text that is handed on at a time while an archive is read.
+SLICE_BYTES = 16 << 20
+TOO_LARGE, BROKEN = "too large", "broken"
+
+
+def _files(spark: SparkSession, path: str, paper_id: Column | None) -> DataFrame:
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    small = raw.filter(F.col("length") <= limit)
     name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.(tar\.gz|tgz|tar|gz)$", "")
-    return small.select(name.alias("paper_id"), "content")
+    return raw.withColumn("paper_id", name if paper_id is None else paper_id)
+
+
+def read_archives(spark: SparkSession, path: str, limit: int = rules.ARCHIVE_LIMIT_BYTES, paper_id: Column | None = None) -> DataFrame:
+    """Landed archives up to the size limit; larger ones are not even read. ``paper_id`` is made from the file's ``path``,
+    by default its name."""
+    return _files(spark, path, paper_id).filter(F.col("length") <= limit).select("paper_id", "content")
+
+
+def read_members(
+    spark: SparkSession, path: str, limit: int = rules.ARCHIVE_LIMIT_BYTES, endings: tuple = rules.TEXT_MEMBERS, paper_id: Column | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Members of all landed archives, and the archives that gave none because they could not be read.
+
+    Members are (paper_id, path, text); rejects are (paper_id, file, reason), the reason being ``too large`` or ``broken``.
+    Archives are read once; a reject takes nothing from the others. An archive without text members is in neither,
+    nor is a file without bytes, which Spark's listing leaves out.
+    """
+    files = _files(spark, path, paper_id)
+    key_type = files.schema["paper_id"].dataType.simpleString()
+    small = files.filter(F.col("length") <= limit).select("paper_id", F.col("path").alias("file"), "content")
+
+    def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for paper, file, content in zip(pdf["paper_id"], pdf["file"], pdf["content"], strict=True):
+                if not is_whole(content):
+                    yield pd.DataFrame([(paper, file, None, None, BROKEN)], columns=columns)
+                    continue
+                for rows in slices(members_of(content, endings)):
+                    yield pd.DataFrame([(paper, file, *m, None) for m in rows], columns=columns)
+
+    columns = ["paper_id", "file", "path", "text", "reason"]
+    read = staged(small.mapInPandas(expand, f"paper_id {key_type}, file STRING, path STRING, text STRING, reason STRING"), "archives")
+    # The size is known from the listing: the content of these files is never asked for.
+    large = files.filter(F.col("length") > limit).select("paper_id", F.col("path").alias("file"), F.lit(TOO_LARGE).alias("reason"))
+    rejects = read.filter("reason is not null").select("paper_id", "file", "reason").unionByName(large)
+    return read.filter("reason is null").select("paper_id", "path", "text"), rejects
 
 
 def expand_archives(archives: DataFrame, endings: tuple = rules.TEXT_MEMBERS) -> DataFrame:
@@ -24,28 +68,48 @@ def expand_archives(archives: DataFrame, endings: tuple = rules.TEXT_MEMBERS) ->
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for paper_id, content in zip(pdf["paper_id"], pdf["content"]):
-                rows = [(paper_id, *m) for m in text_members(content, endings)]
-                yield pd.DataFrame(rows, columns=["paper_id", "path", "text"])
+                if is_whole(content):
+                    for rows in slices(members_of(content, endings)):
+                        yield pd.DataFrame([(paper_id, *m) for m in rows], columns=["paper_id", "path", "text"])
 
     return archives.select("paper_id", "content").mapInPandas(expand, f"paper_id {key_type}, path STRING, text STRING")
 
 
-def text_members(content: bytes, endings: tuple) -> list[tuple[str, str]]:
-    """(name, text) of the text members of one archive."""
-    import io
-    import tarfile
-
-    out = []
+def is_whole(content: bytes) -> bool:
+    """Whether an archive can be read to its end; nothing of it is kept meanwhile."""
     try:
-        with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as archive:
+        with tarfile.open(fileobj=io.BytesIO(content), mode="r|*") as archive:
             for member in archive:
-                name = member.name
-                safe = not name.startswith("/") and ".." not in name
-                if safe and member.isfile() and name.lower().endswith(endings):
-                    out.append((name, archive.extractfile(member).read().decode("utf-8", "ignore")))
-    except (tarfile.TarError, OSError, EOFError):
-        return []
-    return out
+                if member.isfile():
+                    data = archive.extractfile(member)
+                    while data.read(1 << 20):
+                        pass
+    except (tarfile.TarError, OSError, EOFError, zlib.error, lzma.LZMAError):
+        return False
+    return True
+
+
+def members_of(content: bytes, endings: tuple) -> Iterator[tuple[str, str]]:
+    """(name, text) of the text members of an archive that is whole, one at a time."""
+    with tarfile.open(fileobj=io.BytesIO(content), mode="r|*") as archive:
+        for member in archive:
+            name = member.name
+            safe = not name.startswith("/") and ".." not in name
+            if safe and member.isfile() and name.lower().endswith(endings):
+                yield name, archive.extractfile(member).read().decode("utf-8", "ignore")
+
+
+def slices(members: Iterator[tuple[str, str]], size: int = SLICE_BYTES) -> Iterator[list[tuple[str, str]]]:
+    """Members in lists of about ``size`` characters, so that a long archive is never held as text."""
+    rows, held = [], 0
+    for name, text in members:
+        rows.append((name, text))
+        held += len(text)
+        if held >= size:
+            yield rows
+            rows, held = [], 0
+    if rows:
+        yield rows
 
 
 def concatenate_sources(members: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import io
 import json
 import tarfile
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from paperlode import schemas
@@ -83,6 +84,40 @@ def test_archives(spark, tmp_path):
     assert joined == "\n\n===== b.tex =====\nB\n\n===== a/z.bib =====\nZ"
 
 
+def test_archives_that_cannot_be_read_are_listed(spark, tmp_path):
+    def tar(name, members, mode="w:gz"):
+        with tarfile.open(tmp_path / name, mode) as t:
+            for path, data in members.items():
+                info = tarfile.TarInfo(path)
+                info.size = len(data)
+                t.addfile(info, io.BytesIO(data))
+
+    rng = np.random.default_rng(0)
+    tar("good.tar.gz", {"b.tex": "é".encode(), "x.png": b"P", "/etc/a.tex": b"E"})
+    tar("plain.tar", {"c.tex": b"C"}, "w")
+    tar("none.tgz", {"x.png": b"P"})
+    tar("cut.tar.gz", {"a.tex": b"first", "b.tex": rng.bytes(9000)})
+    whole = (tmp_path / "cut.tar.gz").read_bytes()
+    (tmp_path / "cut.tar.gz").write_bytes(whole[:5000])  # the first member is whole, the second is not
+    (tmp_path / "noise.tar.gz").write_bytes(b"noise")
+    (tmp_path / "empty.tar.gz").write_bytes(b"")
+    tar("big.tar.gz", {"a.tex": rng.bytes(40000)})
+    members, rejects = archives.read_members(spark, str(tmp_path), limit=20000)
+    assert sorted(tuple(r) for r in members.collect()) == [("good", "b.tex", "é"), ("plain", "c.tex", "C")]
+    found = sorted((r.paper_id, r.file.rsplit("/", 1)[1], r.reason) for r in rejects.collect())
+    # Spark's file listing has no row for a file without bytes, so there is nothing to reject.
+    assert spark.read.format("binaryFile").load(str(tmp_path / "empty.tar.gz")).count() == 0
+    assert found == [
+        ("big", "big.tar.gz", "too large"), ("cut", "cut.tar.gz", "broken"), ("noise", "noise.tar.gz", "broken")
+    ]
+
+
+def test_long_archives_are_handed_on_in_slices():
+    members = [("a", "x" * 6), ("b", "y" * 6), ("c", "z"), ("d", "")]
+    assert [[n for n, _ in part] for part in archives.slices(iter(members), 10)] == [["a", "b"], ["c", "d"]]
+    assert list(archives.slices(iter([]))) == []
+
+
 def test_metadata_write_is_by_partition(spark, tmp_path):
     path = str(tmp_path / "m")
     df = spark.createDataFrame([("1", "d1", "c"), ("2", "d2", "c")], "id string, day string, category string")
