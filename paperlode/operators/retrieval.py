@@ -154,32 +154,34 @@ def cosine_top_k(
     ``inner`` ranks by inner product instead, as a flat index does; on unit vectors both orders agree. Queries
     within the session's limit for broadcasts go to every task, which reads its candidates where they lie, leaves out
     the parts that can't enter a query's best ``k`` (:mod:`paperlode.operators.vector_balls`) and sends on its own best
-    ``k`` only. More queries than that meet blocks of candidates by a join, and each block sends its best ``k``.
+    ``k`` only. More queries than that meet blocks of candidates by a join, and each task sends
+    the best ``k`` of each group of queries over all blocks it meets.
     """
     query_type = queries.schema[query].dataType.simpleString()
     cand_type = cands.schema[cand].dataType.simpleString()
     held = _sent(queries, query, vector, not inner)
 
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found = _searched(held, batches, k, cand, vector, size, not inner)
-        for i, q in enumerate(held.ids):
+    def hits_of(ids: list, found: TopK) -> Iterator[pd.DataFrame]:
+        for i, q in enumerate(ids):
             if found.ids[i] is not None:
                 yield pd.DataFrame({query: q, cand: found.ids[i], "score": found.scores[i]})
 
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from hits_of(held.ids, _searched(held, batches, k, cand, vector, size, not inner))
+
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # The join sorts by group: a task keeps the best of one group of queries over all its blocks.
+        group, ids, found = None, [], None
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                scores, ids = _similarities(row), np.asarray(row.ids)
-                out = []
-                for q, line in zip(row.query_ids, scores):
-                    if len(line) > k:
-                        floor = np.partition(line, len(line) - k)[len(line) - k]
-                        near = np.flatnonzero(line >= floor)
-                    else:
-                        near = np.arange(len(line))
-                    order = near[np.lexsort((ids[near], -line[near]))][:k]
-                    out.append(pd.DataFrame({query: q, cand: ids[order], "score": line[order]}))
-                yield pd.concat(out, ignore_index=True)
+                if found is None or row.group != group:
+                    if found is not None:
+                        yield from hits_of(ids, found)
+                    group, ids = row.group, list(row.query_ids)
+                    found = TopK(np.frombuffer(row.query_matrix).reshape(len(ids), -1), k, min(size, PART))
+                found.add(np.asarray(list(row.ids)), np.frombuffer(row.matrix).reshape(row.n, -1))
+        if found is not None:
+            yield from hits_of(ids, found)
 
     hits = f"`{query}` {query_type}, `{cand}` {cand_type}, score DOUBLE"
     if held is not None:
