@@ -1,12 +1,14 @@
 """Retrieval: vector and keyword search, ranking metrics and their means."""
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paperlode.functions.basic import bind, count_of, strip
 from paperlode.operators.ranks import broadcast_limit, top_rows
@@ -59,10 +61,6 @@ def _rows(vectors: pd.Series, unit: bool) -> np.ndarray:
     return matrix
 
 
-def _matrix(vectors: pd.Series, unit: bool) -> bytes:
-    return _rows(vectors, unit).tobytes()
-
-
 class _Sent:
     """Queries that every task holds: their ids and their matrix."""
 
@@ -77,66 +75,64 @@ class _Sent:
         return self._held.value
 
 
-def _sent(queries: DataFrame, query: str, vector: str, unit: bool) -> _Sent | None:
-    """The queries, if their counted bytes are within the session's limit for broadcasts; else None."""
+def _sent(queries: DataFrame, query: str, vector: str, unit: bool) -> _Sent | int:
+    """The queries, if their counted bytes are within the session's limit for broadcasts; else these bytes."""
     n, dim = queries.agg(F.count(F.lit(1)), F.max(F.size(vector))).first()
-    return _Sent(queries, query, vector, unit) if n * (dim or 1) * 8 <= broadcast_limit(queries.sparkSession) else None
+    held = n * (dim or 1) * 8
+    return _Sent(queries, query, vector, unit) if held <= broadcast_limit(queries.sparkSession) else held
 
 
-def _packed(df: DataFrame, key: str, vector: str, size: int, unit: bool, salts: int) -> DataFrame:
-    """Blocks of vectors, packed where they are read: one row per salt and slice of an Arrow batch.
-
-    The salt of a vector follows from its key, so a task that runs again puts it into the same place.
-    """
-    key_type = df.schema[key].dataType.simpleString()
-
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for salt, rows in pdf.groupby("salt"):
-                for i in range(0, len(rows), size):
-                    part = rows.iloc[i:i + size]
-                    yield pd.DataFrame({
-                        "ids": [part[key].to_list()], "matrix": [_matrix(part[vector], unit)], "n": [len(part)], "salt": [salt],
-                    })
-
-    salt = F.pmod(F.xxhash64(key), F.lit(salts)).cast("int")
-    return df.select(key, vector, salt.alias("salt")).mapInPandas(
-        pack, f"ids ARRAY<{key_type}>, matrix BINARY, n INT, salt INT"
-    )
+#: Bytes of queries a cell of :func:`_cells` holds at most.
+CELL_BYTES = 64 * 2**20
 
 
-def _block_pairs(queries: DataFrame, cands: DataFrame, query: str, cand: str, vector: str, size: int, unit: bool = True) -> DataFrame:
-    """Every block of candidates next to every block of queries.
+def _cells(queries: DataFrame, cands: DataFrame, query: str, cand: str, vector: str, held: int) -> DataFrame:
+    """Both tables dealt over a grid, a task a cell: (cell, is_cand, query, cand, vector), the queries of a cell first.
 
-    For query sides above the limit for broadcasts. Candidate blocks are copied per query group and meet them by an
-    equi-join on the group number, salted so that a few query groups still use all tasks.
+    For query sides above the limit for broadcasts. A row of cells has a group of queries, a column a group of
+    candidates; every query meets every candidate in one cell. With t cells the vectors are copied about sqrt(t) times,
+    however many there are; only groups of queries above ``CELL_BYTES`` are made smaller, with more rows of cells.
     """
-    spark = queries.sparkSession
-    groups = max(1, -(-queries.count() // size))
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    salts = max(1, -(-tasks // groups))
-    key_type = queries.schema[query].dataType.simpleString()
-
-    def pack_group(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({
-            "group": [int(pdf["group"].iloc[0])], "query_ids": [pdf[query].to_list()],
-            "query_matrix": [_matrix(pdf[vector], unit)],
-        })
-
-    grouped = queries.select(query, vector, F.pmod(F.xxhash64(query), F.lit(groups)).cast("int").alias("group"))
-    left = grouped.groupBy("group").applyInPandas(
-        pack_group, f"group INT, query_ids ARRAY<{key_type}>, query_matrix BINARY"
-    )
-    copies = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
-    right = _packed(cands, cand, vector, size, unit, salts).withColumn("group", copies)
-    left = left.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return right.join(left, ["group", "salt"])
-
-
-def _similarities(row) -> np.ndarray:
-    q = np.frombuffer(row.query_matrix).reshape(len(row.query_ids), -1)
-    c = np.frombuffer(row.matrix).reshape(row.n, -1)
-    return np.round(q @ c.T, SCORE_DIGITS)
+    tasks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = max(math.isqrt(tasks), -(-held // CELL_BYTES))
+    columns = max(1, tasks // groups)
+    vector_type = queries.schema[vector].dataType
+    if vector_type != cands.schema[vector].dataType:
+        vector_type = "array<double>"
+
+    def dealt(df: DataFrame, key: str, cells: Callable[[Column], Column], parts: int, is_cand: bool) -> DataFrame:
+        own = F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
+        # Ids travel in arrays of one or none: a column with nulls would turn whole numbers into floating-point ones.
+        none = {n: F.array().cast(T.ArrayType(d.schema[c].dataType)) for n, d, c in (("query", queries, query), ("cand", cands, cand))}
+        ids = [c.alias(n) for n, c in (none | {"cand" if is_cand else "query": F.array(F.col(key))}).items()]
+        return df.select(F.explode(cells(own)).alias("cell"), F.lit(is_cand).alias("is_cand"), *ids, F.col(vector).cast(vector_type).alias("vector"))
+
+    left = dealt(queries, query, lambda own: F.transform(F.sequence(F.lit(0), F.lit(columns - 1)), lambda j: own * columns + j), groups, False)
+    right = dealt(cands, cand, lambda own: F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda i: i * columns + own), columns, True)
+    met = left.unionByName(right).repartitionById(groups * columns, "cell")
+    return met.sortWithinPartitions("cell", "is_cand")
+
+
+def _by_cell(batches: Iterator[pd.DataFrame], unit: bool, start: Callable, add: Callable) -> Iterator:
+    """What ``start(query ids, matrix)`` makes for each cell, after ``add`` was called for each batch of its candidates."""
+    cell, ids, rows, found = None, [], [], None
+    for pdf in batches:
+        for number, part in pdf.groupby("cell"):
+            if number != cell:
+                if found is not None:
+                    yield ids, found
+                cell, ids, rows, found = number, [], [], None
+            own = part[~part["is_cand"]]
+            if len(own):
+                ids += [x[0] for x in own["query"]]
+                rows.append(_rows(own["vector"], unit))
+            met = part[part["is_cand"]]
+            if len(met) and ids:
+                if found is None:
+                    found = start(np.concatenate(rows))
+                add(found, np.asarray([x[0] for x in met["cand"]]), _rows(met["vector"], unit))
+    if found is not None:
+        yield ids, found
 
 
 def cosine_top_k(
@@ -154,40 +150,31 @@ def cosine_top_k(
     ``inner`` ranks by inner product instead, as a flat index does; on unit vectors both orders agree. Queries
     within the session's limit for broadcasts go to every task, which reads its candidates where they lie, leaves out
     the parts that can't enter a query's best ``k`` (:mod:`paperlode.operators.vector_balls`) and sends on its own best
-    ``k`` only. More queries than that meet blocks of candidates by a join, and each task sends
-    the best ``k`` of each group of queries over all blocks it meets.
+    ``k`` only. More queries than that meet the candidates in the cells of a grid, and each cell
+    sends the best ``k`` of its queries over all its candidates.
     """
     query_type = queries.schema[query].dataType.simpleString()
     cand_type = cands.schema[cand].dataType.simpleString()
     held = _sent(queries, query, vector, not inner)
 
     def hits_of(ids: list, found: TopK) -> Iterator[pd.DataFrame]:
-        for i, q in enumerate(ids):
-            if found.ids[i] is not None:
-                yield pd.DataFrame({query: q, cand: found.ids[i], "score": found.scores[i]})
+        names = np.empty(len(ids), dtype=object)
+        names[:] = ids
+        for q, c, scores in found.hits():
+            yield pd.DataFrame({query: names[q], cand: c, "score": scores})
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield from hits_of(held.ids, _searched(held, batches, k, cand, vector, size, not inner))
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # The join sorts by group: a task keeps the best of one group of queries over all its blocks.
-        group, ids, found = None, [], None
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                if found is None or row.group != group:
-                    if found is not None:
-                        yield from hits_of(ids, found)
-                    group, ids = row.group, list(row.query_ids)
-                    found = TopK(np.frombuffer(row.query_matrix).reshape(len(ids), -1), k, min(size, PART))
-                found.add(np.asarray(list(row.ids)), np.frombuffer(row.matrix).reshape(row.n, -1))
-        if found is not None:
+        for ids, found in _by_cell(batches, not inner, lambda q: TopK(q, k, min(size, PART)), TopK.add):
             yield from hits_of(ids, found)
 
     hits = f"`{query}` {query_type}, `{cand}` {cand_type}, score DOUBLE"
-    if held is not None:
+    if isinstance(held, _Sent):
         partial = cands.select(cand, vector).mapInPandas(search, hits)
     else:
-        partial = _block_pairs(queries, cands, query, cand, vector, size, not inner).mapInPandas(best, hits)
+        partial = _cells(queries, cands, query, cand, vector, held).mapInPandas(best, hits)
     return top_rows(partial, [query], [F.col("score").desc(), F.col(cand)], k)
 
 
@@ -205,7 +192,7 @@ def met_share(
 ) -> DataFrame:
     """What :func:`cosine_top_k` costs on these tables: (pairs, met), met being the pairs whose product is taken."""
     held = _sent(queries, query, vector, not inner)
-    if held is None:
+    if not isinstance(held, _Sent):
         raise ValueError("queries above the limit for broadcasts meet all candidates")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -236,19 +223,17 @@ def similarity_profile(
         yield pd.DataFrame({query: held.ids, "compared": found.compared, "similar": found.similar, "best": found.best})[met]
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                scores = _similarities(row)
-                yield pd.DataFrame({
-                    query: row.query_ids, "compared": scores.shape[1],
-                    "similar": (scores >= at_least).sum(axis=1), "best": scores.max(axis=1),
-                })
+        def add(found: Profile, _: np.ndarray, matrix: np.ndarray) -> None:
+            found.add(matrix)
+
+        for ids, found in _by_cell(batches, True, lambda q: Profile(q, at_least, min(size, PART)), add):
+            yield pd.DataFrame({query: ids, "compared": found.compared, "similar": found.similar, "best": found.best})
 
     sums = f"`{query}` {query_type}, compared LONG, similar LONG, best DOUBLE"
-    if held is not None:
+    if isinstance(held, _Sent):
         partial = cands.select(vector).mapInPandas(profile, sums)
     else:
-        partial = _block_pairs(queries, cands, query, cand, vector, size).mapInPandas(fold, sums)
+        partial = _cells(queries, cands, query, cand, vector, held).mapInPandas(fold, sums)
     return partial.groupBy(query).agg(
         F.sum("compared").alias("compared"), F.sum("similar").alias("similar"), F.max("best").alias("best")
     )

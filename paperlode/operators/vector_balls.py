@@ -9,10 +9,14 @@ The bounds hold for vectors of any length, zero vectors included. How much is le
 clusters leave out most, independent random ones of many dimensions nearly nothing, at the cost of one more product a part.
 """
 
+from collections.abc import Iterator
+
 import numpy as np
 
 #: Vectors of a part. Larger parts have wider bounds, smaller ones cost more calls.
 PART = 128
+#: Queries that meet a batch at once: their bounds and products are held.
+SLICE = 4096
 #: Scores are rounded to this many digits, so that equal ones are equal whatever the shape of a product.
 SCORE_DIGITS = 9
 #: Widening of the bounds, relative to the size of what is added up.
@@ -42,30 +46,59 @@ def parts_of(matrix: np.ndarray, size: int = PART) -> list[np.ndarray]:
     return done
 
 
+class Parts:
+    """Parts of a batch with their centres and radii."""
+
+    def __init__(self, matrix: np.ndarray, size: int = PART):
+        self.rows = parts_of(matrix, size)
+        self.centres = np.stack([matrix[p].mean(axis=0) for p in self.rows])
+        self.radii = np.array([np.sqrt(((matrix[p] - m) ** 2).sum(axis=1).max()) for p, m in zip(self.rows, self.centres, strict=True)])
+
+
 class Balls:
     """Parts of a batch with bounds of their products with some queries."""
 
-    def __init__(self, queries: np.ndarray, matrix: np.ndarray, size: int = PART):
-        self.parts = parts_of(matrix, size)
-        centres = np.stack([matrix[p].mean(axis=0) for p in self.parts])
-        radii = np.array([np.sqrt(((matrix[p] - m) ** 2).sum(axis=1).max()) for p, m in zip(self.parts, centres, strict=True)])
+    def __init__(self, queries: np.ndarray, matrix: np.ndarray, size: int = PART, parts: Parts | None = None):
+        made = parts or Parts(matrix, size)
+        self.parts = made.rows
         lengths = np.linalg.norm(queries, axis=1)[:, None]
-        middle, span = queries @ centres.T, lengths * radii
-        slack = SLACK * (1 + lengths * (np.linalg.norm(centres, axis=1) + radii))
+        middle, span = queries @ made.centres.T, lengths * made.radii
+        slack = SLACK * (1 + lengths * (np.linalg.norm(made.centres, axis=1) + made.radii))
         self.upper, self.lower = middle + span + slack, middle - span - slack
 
 
+def _slices(n: int) -> list[slice]:
+    return [slice(i, min(i + SLICE, n)) for i in range(0, n, SLICE)]
+
+
 class TopK:
     """Best ``k`` candidates of each query over all batches it was given; ties by id."""
 
     def __init__(self, queries: np.ndarray, k: int, size: int = PART):
         self.queries, self.k, self.size = queries, k, size
-        self.floor = np.full(len(queries), -np.inf)
-        self.scores = [np.empty(0)] * len(queries)
-        self.ids: list = [None] * len(queries)
+        n = len(queries)
+        self.floor = np.full(n, -np.inf)
+        #: Candidates each query has so far, and their scores and ids, best first.
+        self.counts = np.zeros(n, dtype=np.int64)
+        self._scores = np.full((n, k), -np.inf)
+        self._ids: np.ndarray | None = None
         #: Pairs of query and candidate whose product was taken, and all pairs.
         self.met = self.pairs = 0
 
+    @property
+    def scores(self) -> list[np.ndarray]:
+        return [line[:n] for line, n in zip(self._scores, self.counts, strict=True)]
+
+    @property
+    def ids(self) -> list:
+        return [line[:n] if n else None for line, n in zip(self._ids, self.counts, strict=True)] if self._ids is not None else [None] * len(self.counts)
+
+    def hits(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """All that was found, in slices of queries: number of the query, id and score."""
+        for at in _slices(len(self.counts)) if self._ids is not None else []:
+            filled = np.arange(self.k) < self.counts[at, None]
+            yield np.nonzero(filled)[0] + at.start, self._ids[at][filled], self._scores[at][filled]
+
     def add(self, ids: np.ndarray, matrix: np.ndarray) -> None:
         """Candidates with an entry that is no finite number have no score and never come up."""
         finite = np.isfinite(matrix).all(axis=1)
@@ -73,31 +106,59 @@ class TopK:
         ids, matrix = ids[finite], matrix[finite]
         if not len(ids) or not len(self.queries):
             return
-        balls = Balls(self.queries, matrix, self.size)
-        upper = balls.upper
+        if self._ids is None:
+            self._ids = np.zeros(self._scores.shape, dtype=ids.dtype)
+        elif self._ids.dtype != ids.dtype:
+            self._ids = self._ids.astype(np.promote_types(self._ids.dtype, ids.dtype))
+        parts = Parts(matrix, self.size)
+        for at in _slices(len(self.queries)):
+            self._add(at, ids, matrix, parts)
+
+    def _add(self, at: slice, ids: np.ndarray, matrix: np.ndarray, parts: Parts) -> None:
+        balls = Balls(self.queries[at], matrix, self.size, parts)
+        upper, floor = balls.upper, self.floor[at]
         # Every query meets its most promising part first: that raises its floor for the others.
         first = upper.argmax(axis=1)
-        own = upper[np.arange(len(first)), first] >= self.floor
+        own = upper[np.arange(len(first)), first] >= floor
         for j in np.unique(first[own]):
-            self._meet(np.flatnonzero(own & (first == j)), balls.parts[j], ids, matrix)
+            self._meet(at.start + np.flatnonzero(own & (first == j)), balls.parts[j], ids, matrix)
         upper[np.arange(len(first)), first] = -np.inf
         for j in np.argsort(-upper.max(axis=0), kind="stable"):
-            self._meet(np.flatnonzero((upper[:, j] > -np.inf) & (upper[:, j] >= self.floor)), balls.parts[j], ids, matrix)
+            self._meet(at.start + np.flatnonzero((upper[:, j] > -np.inf) & (upper[:, j] >= floor)), balls.parts[j], ids, matrix)
 
     def _meet(self, queries: np.ndarray, part: np.ndarray, ids: np.ndarray, matrix: np.ndarray) -> None:
         self.met += len(queries) * len(part)
-        lines = np.round(self.queries[queries] @ matrix[part].T, SCORE_DIGITS)
-        entering = lines >= self.floor[queries, None]
-        for row in np.flatnonzero(entering.any(axis=1)):
-            self._merge(queries[row], lines[row, entering[row]], ids[part[entering[row]]])
-
-    def _merge(self, q: int, scores: np.ndarray, ids: np.ndarray) -> None:
-        if self.ids[q] is not None:
-            scores, ids = np.concatenate([self.scores[q], scores]), np.concatenate([self.ids[q], ids])
-        order = np.lexsort((ids, -scores))[:self.k]
-        self.scores[q], self.ids[q] = scores[order], ids[order]
-        if len(order) == self.k:
-            self.floor[q] = scores[order[-1]]
+        lines = self.queries[queries] @ matrix[part].T
+        bar = self.floor[queries]
+        if len(part) > self.k:
+            # A query that has no floor yet takes the best k of the part and their equals.
+            new = np.flatnonzero(bar == -np.inf)
+            seen = lines[new]
+            bar[new] = np.partition(np.where(np.isnan(seen), -np.inf, seen), len(part) - self.k, axis=1)[:, len(part) - self.k]
+        # Scores are rounded where they may enter only; until then the bar is lower by more than the rounding.
+        row, column = np.nonzero(lines >= (bar - SLACK * (1 + np.where(np.isfinite(bar), np.abs(bar), 0)))[:, None])
+        if len(row):
+            self._merge(queries, row, np.round(lines[row, column], SCORE_DIGITS), ids[part[column]])
+
+    def _merge(self, queries: np.ndarray, row: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        """Scores and ids that may enter, by place of their query in ``queries``, next to those it has."""
+        able = scores >= self.floor[queries[row]]
+        row, scores, ids = row[able], scores[able], ids[able]
+        touched, row = np.unique(row, return_inverse=True)
+        at = queries[touched]
+        held_row, held_rank = np.nonzero(np.arange(self.k) < self.counts[at, None])
+        row = np.concatenate([held_row, row])
+        scores = np.concatenate([self._scores[at[held_row], held_rank], scores])
+        ids = np.concatenate([self._ids[at[held_row], held_rank], ids])
+        order = np.lexsort((ids, -scores, row))
+        row = row[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        kept = rank < self.k
+        to, rank, order = at[row[kept]], rank[kept], order[kept]
+        self._scores[to, rank], self._ids[to, rank] = scores[order], ids[order]
+        self.counts[at] = np.minimum(np.bincount(row, minlength=len(at)), self.k)
+        full = at[self.counts[at] == self.k]
+        self.floor[full] = self._scores[full, self.k - 1]
 
 
 class Profile:
@@ -114,13 +175,19 @@ class Profile:
         matrix = matrix[np.isfinite(matrix).all(axis=1)]
         if not len(matrix) or not len(self.queries):
             return
-        balls = Balls(self.queries, matrix, self.size)
+        parts = Parts(matrix, self.size)
+        for at in _slices(len(self.queries)):
+            self._add(at, matrix, parts)
+
+    def _add(self, at: slice, matrix: np.ndarray, parts: Parts) -> None:
+        queries, similar, best = self.queries[at], self.similar[at], self.best[at]
+        balls = Balls(queries, matrix, self.size, parts)
         for j in np.argsort(-balls.upper.max(axis=0), kind="stable"):
             upper, part = balls.upper[:, j], balls.parts[j]
-            raises = upper >= self.best
+            raises = upper >= best
             # Whole parts on one side of the limit are counted without a product.
-            self.similar[~raises & (balls.lower[:, j] >= self.at_least)] += len(part)
+            similar[~raises & (balls.lower[:, j] >= self.at_least)] += len(part)
             alive = np.flatnonzero(raises | (upper >= self.at_least) & (balls.lower[:, j] < self.at_least))
-            lines = np.round(self.queries[alive] @ matrix[part].T, SCORE_DIGITS)
-            self.similar[alive] += (lines >= self.at_least).sum(axis=1)
-            self.best[alive] = np.maximum(self.best[alive], lines.max(axis=1))
+            lines = np.round(queries[alive] @ matrix[part].T, SCORE_DIGITS)
+            similar[alive] += (lines >= self.at_least).sum(axis=1)
+            best[alive] = np.maximum(best[alive], lines.max(axis=1))

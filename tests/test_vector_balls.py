@@ -115,3 +115,41 @@ def test_profile_in_spark_equals_the_join(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     pd.testing.assert_frame_equal(held, joined)
+
+
+@pytest.mark.parametrize("inner", [False, True])
+def test_many_queries_meet_all_candidates_without_a_copy_for_each_group(spark, inner):
+    rng = np.random.default_rng(5)
+    m = rng.integers(-2, 3, size=(2500, 4)).astype(float)
+    first = 2**60 + 1
+    rows = [(first + i, [float(x) for x in v]) for i, v in enumerate(m)]
+    c = spark.createDataFrame(rows, "cand_id long, vector array<double>").repartition(3)
+    q = c.withColumnRenamed("cand_id", "query_id")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "0")
+    try:
+        found = retrieval.cosine_top_k(q, c, 4, inner=inner)
+        got = {(r.query_id - first, r["rank"], r.cand_id - first) for r in found.collect()}
+        assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+        # No more copies than the grid of the session's tasks has sides, however many queries there are.
+        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        cells = retrieval._cells(q, c, "query_id", "cand_id", "vector", 2500 * 4 * 8)
+        assert cells.count() <= 2500 * 2 * (tasks ** 0.5 + 1)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    unit = m if inner else m / np.where(np.linalg.norm(m, axis=1) == 0, 1, np.linalg.norm(m, axis=1))[:, None]
+    ids = np.arange(2500)
+    assert got == {(i, r + 1, int(x)) for i, (best, _) in enumerate(_full(unit, ids, unit, 4)) for r, x in enumerate(best)}
+
+
+def test_slices_of_queries_equal_full_scan(monkeypatch):
+    monkeypatch.setattr("paperlode.operators.vector_balls.SLICE", 7)
+    rng = np.random.default_rng(6)
+    m = rng.integers(-2, 3, size=(300, 3)).astype(float)
+    found, profile = TopK(m[:50], 5, 16), Profile(m[:50], 1.0, 16)
+    for at in range(0, 300, 64):
+        found.add(np.arange(300)[at:at + 64], m[at:at + 64])
+        profile.add(m[at:at + 64])
+    assert [(list(a), list(b)) for a, b in zip(found.ids, found.scores)] == _full(m[:50], np.arange(300), m, 5)
+    scores = m[:50] @ m.T
+    assert list(profile.similar) == list((scores >= 1.0).sum(axis=1)) and list(profile.best) == list(scores.max(axis=1))
