@@ -49,8 +49,12 @@ def label_sentences(
         zero = F.lit(0).cast("long")
         windows = windows.unionByName(spans.select("paper_name", zero.alias("window_id"), zero.alias("first"), "last"))
     rows = tokens.drop("tokens")
-    members = window_members(windows).join(rows.select("paper_name", "gid", "text"), ["paper_name", "gid"])
-    tagged = (tag_whole_windows if whole_windows else tag_windows)(members, scorer, threshold)
+    members, texts = window_members(windows), rows.select("paper_name", "gid", "text")
+    if whole_windows:
+        tagged = tag_whole_windows(members.join(texts, ["paper_name", "gid"]), scorer, threshold)
+    else:
+        # A sentence has the same probability in all its windows: it is scored where it lies, and its text does not travel.
+        tagged = members.join(tag_windows(texts, scorer, threshold).drop("text"), ["paper_name", "gid"])
     if vote == "mean":
         return mean_vote(tagged, rows.drop("label"), threshold)
     return apply_predictions(rows, any_vote(tagged), ["paper_name", "gid"])
@@ -79,13 +83,15 @@ def curate(
     ``papers`` has id, title, abstract, pdf_link; ``items`` are corpus items whose paper_name is the
     id; ``sources`` has paper_id, path and text. Each step keeps only papers that passed the one before.
     """
-    kept = staged(accepted_papers(papers, scorer), "accepted")
+    # Titles and abstracts are read by the gate only; what is staged, joined and staged again goes without them.
+    kept = staged(accepted_papers(papers, scorer).select("id", "pdf_link", "gate_prob"), "accepted")
     wanted = items.join(kept.select(F.col("id").alias("paper_name")), "paper_name", "left_semi")
     labelled = label_sentences(wanted, scorer, windows)
-    records = staged(stage_records(kept, labelled).filter("desc_gate.accepted"), "described")
+    records = stage_records(kept, labelled).filter("desc_gate.accepted")
     keys = records.select(
         F.col("id").alias("paper_id"), F.col("pdf_link").alias("paper_link_pdf"), "dataset_description"
     )
+    keys = staged(keys, "described")
     files = sources.join(keys.select("paper_id"), "paper_id", "left_semi")
     found = link_windows(extract_links(files, window=links.probe_sentences), links)
     return ledger_records(keys, staged(found, "links"), ["form", "path", "pos"], timestamp, cfg=links)

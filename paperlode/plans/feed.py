@@ -54,8 +54,10 @@ def paper_work(
         landed = texts(spark).join(accepted.select("id"), "id", "left_semi").filter("tei IS NOT NULL").dropDuplicates(["id"])
         landed = staged(landed, "texts")
         labelled = label_sentences(items_of_texts(landed), scorer, windows)
-        ready = accepted.join(landed.select("id"), "id", "left_semi")
-        records = staged(stage_records(ready, labelled, cfg.gate_threshold, cfg.min_description_chars), "records")
+        # Title and abstract come back from the scored entries; the records go without them.
+        ready = accepted.select("id", "pdf_link", "gate_prob").join(landed.select("id"), "id", "left_semi")
+        records = stage_records(ready, labelled, cfg.gate_threshold, cfg.min_description_chars)
+        records = staged(records.select("id", "pdf_link", "dataset_description", "desc_gate"), "records")
 
         described = records.filter("desc_gate.accepted")
         keys = described.select(F.col("id").alias("paper_id"), F.col("pdf_link").alias("paper_link_pdf"), "dataset_description")
