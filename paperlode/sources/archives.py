@@ -7,6 +7,7 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,14 +66,23 @@ def expand_archives(archives: DataFrame, endings: tuple = rules.TEXT_MEMBERS) ->
     """One row per text member: (paper_id, path, text). Unsafe names and unreadable archives are left out."""
     key_type = archives.schema["paper_id"].dataType.simpleString()
 
-    def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for paper_id, content in zip(pdf["paper_id"], pdf["content"]):
-                if is_whole(content):
-                    for rows in slices(members_of(content, endings)):
-                        yield pd.DataFrame([(paper_id, *m) for m in rows], columns=["paper_id", "path", "text"])
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            papers, contents = batch.columns
+            for rows in slices(members(contents)):
+                at, paths, texts = zip(*rows, strict=True)
+                made = [papers.take(pa.array(at, pa.int32())), pa.array(paths, pa.string()), pa.array(texts, pa.string())]
+                yield pa.RecordBatch.from_arrays(made, names=["paper_id", "path", "text"])
+
+    def members(contents: pa.Array) -> Iterator[tuple[int, str, str]]:
+        # One archive at a time leaves the batch: it is never held as bytes a second time.
+        for k, held in enumerate(contents):
+            content = held.as_py()
+            if is_whole(content):
+                for name, text in members_of(content, endings):
+                    yield k, name, text
 
-    return archives.select("paper_id", "content").mapInPandas(expand, f"paper_id {key_type}, path STRING, text STRING")
+    return archives.select("paper_id", "content").mapInArrow(expand, f"paper_id {key_type}, path STRING, text STRING")
 
 
 def is_whole(content: bytes) -> bool:
@@ -99,12 +109,12 @@ def members_of(content: bytes, endings: tuple) -> Iterator[tuple[str, str]]:
                 yield name, archive.extractfile(member).read().decode("utf-8", "ignore")
 
 
-def slices(members: Iterator[tuple[str, str]], size: int = SLICE_BYTES) -> Iterator[list[tuple[str, str]]]:
-    """Members in lists of about ``size`` characters, so that a long archive is never held as text."""
+def slices(members: Iterator[tuple], size: int = SLICE_BYTES) -> Iterator[list[tuple]]:
+    """Members, their text last, in lists of about ``size`` characters, so that long archives are never held as text."""
     rows, held = [], 0
-    for name, text in members:
-        rows.append((name, text))
-        held += len(text)
+    for member in members:
+        rows.append(member)
+        held += len(member[-1])
         if held >= size:
             yield rows
             rows, held = [], 0

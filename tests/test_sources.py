@@ -142,3 +142,18 @@ def test_experiment(spark, tmp_path):
 def test_schemas_parse(spark):
     for name in ("PAPER", "CORPUS_FILE", "LEDGER", "PARTIAL", "QUERY", "GATE_SAMPLE"):
         assert spark.createDataFrame([], getattr(schemas, name)).schema.fields
+
+
+def test_members_of_many_archives_share_slices():
+    members = [(0, "a", "xxxx"), (1, "b", "yyyyyy"), (1, "c", "z")]
+    assert [[m[:2] for m in part] for part in archives.slices(iter(members), 10)] == [[(0, "a"), (1, "b")], [(1, "c")]]
+
+
+def test_sections_of_a_large_batch_are_made_in_slices():
+    import pandas as pd
+
+    documents = pd.Series([f"<TEI><div><p>{i}</p></div></TEI>" for i in range(600)] + [None, "<TEI"])
+    made = list(markup.read_slices(iter([documents, documents.iloc[:3], documents.iloc[:0]])))
+    assert [len(x) for x in made] == [256, 256, 90, 3]
+    rows = pd.concat(made).to_list()
+    assert rows[599] == [{"section": "", "full_text": "599"}] and rows[600:602] == [None, None] and rows[602] == rows[0]
