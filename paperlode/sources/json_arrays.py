@@ -3,7 +3,7 @@
 A file is ``[{...}, ...]`` or ``{"data": [{...}, ...]}``. Spark's text source cuts it into splits behind closing braces (its line
 separator here), so a split never begins inside an escape, but it may begin inside a string or a record.
 
-Pass 1: every split is scanned twice, as if it began outside and inside a string, and tells how depth and quotes change.
+Pass 1: every split but a file's first is scanned twice, as if it began outside and inside a string, and tells how depth and quotes change.
 The changes of a file's splits, one small row each, are added up in order; that gives the state each split begins in.
 Pass 2: with that state every split finds its records. What lies across a border comes as pieces, and only these are
 brought together and joined. Records are parsed by Spark.
@@ -85,10 +85,11 @@ _STATE = "file STRING, begins LONG, level INT, quoted BOOLEAN, depth INT, listed
 
 def _changes(batches):
     for (file, begins), texts in _by_split(batches):
-        both = [Scanner(), Scanner(quoted=True)]
+        # A file does not begin inside a string: its first split is scanned once.
+        both = [Scanner(), Scanner(quoted=True)] if begins else [Scanner()]
         for s in both:
             s.lists = {}
-        first, last = "", [0, 0]
+        first, last = "", [0] * len(both)
         for text in texts:
             first = first or text.lstrip("\ufeff \t\r\n")[:1]
             for k, s in enumerate(both):
@@ -181,15 +182,19 @@ def json_texts(spark: SparkSession, path: str | list[str], numbered: bool = Fals
     lines = spark.read.option("lineSep", "}").option("recursiveFileLookup", True).text(path)
     lines = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("begins"), "value")
     changes = lines.mapInArrow(_changes, _CHANGE)
-    states = staged(changes.groupBy("file").applyInPandas(_states, _STATE), "splits")
+    # A group call a file: rows are few, but many small files must not end up in one task.
+    dealt = changes.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "file")
+    states = staged(dealt.groupBy("file").applyInPandas(_states, _STATE), "splits")
     if states.count() > MAX_SPLITS:
         raise ValueError("too many splits: raise spark.sql.files.maxPartitionBytes")
     known = {(r["file"], r["begins"]): (r["level"], r["quoted"], r["depth"], r["listed"], r["whole"], r["final"]) for r in states.collect()}
     shared = spark.sparkContext.broadcast(known)
     pieces = lines.mapInArrow(_pieces(shared), "file STRING, begins LONG, place LONG, kind INT, text STRING, whole BOOLEAN")
     records = pieces.filter(F.col("kind") == _WHOLE)
-    # At most two pieces a split are no whole records: they are read again and joined.
-    cut = staged(pieces.filter(F.col("kind") != _WHOLE), "borders")
+    # At most two pieces a split are no whole records: they are read again and joined. What numbers the records is kept by the same pass.
+    told = pieces if numbered else pieces.filter(F.col("kind") != _WHOLE)
+    told = staged(told.withColumn("text", F.when(F.col("kind") != _WHOLE, F.col("text"))), "borders")
+    cut = told.filter(F.col("kind") != _WHOLE)
     of_file = Window.partitionBy("file").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
     run = F.sum((F.col("kind") == _OPENING).cast("int")).over(of_file)
     joined = cut.withColumn("run", run).groupBy("file", "run").agg(
@@ -200,7 +205,7 @@ def json_texts(spark: SparkSession, path: str | list[str], numbered: bool = Fals
         joined.filter(F.col("ends") == _CLOSING).select("file", "begins", "place", "text", "whole")
     )
     if numbered:
-        begun = pieces.filter(F.col("kind").isin(_WHOLE, _OPENING)).groupBy("file", "begins").agg(F.count(F.lit(1)).alias("n"))
+        begun = told.filter(F.col("kind").isin(_WHOLE, _OPENING)).groupBy("file", "begins").agg(F.count(F.lit(1)).alias("n"))
         before = F.sum("n").over(Window.partitionBy("file").orderBy("begins")) - F.col("n")
         # One row per split, as bounded as the states above.
         offsets = staged(begun.select("file", "begins", before.alias("before")), "offsets")

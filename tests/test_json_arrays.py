@@ -3,9 +3,11 @@
 import json
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from paperlode.sources import json_arrays
 from paperlode.sources.json_arrays import json_records, json_texts
 
 SCHEMA = "id LONG, text STRING, inner STRUCT<a: ARRAY<STRUCT<b: STRING>>, c: STRING>"
@@ -73,3 +75,22 @@ def test_odd_files(spark, tmp_path, small_splits):
         assert got == {"one": [1], "numbers": [2], "cut": [5, 6], "cut_string": [7], "bom": [9], "tail": [10], "nested": [11], "cut_data": [13]}
         whole = {r["file"].split("/")[-1][:-5] for r in json_records(spark, str(tmp_path), "id LONG", whole_files=True).collect()}
         assert whole == {"one", "numbers", "bom", "tail", "nested"}
+
+
+def test_files_are_scanned_three_times_to_number_records_and_first_splits_in_one_state(spark, tmp_path, monkeypatch):
+    """One pass finds the states, one the borders and the counts, one the records; a file begins outside a string."""
+    passes = []
+    held = json_arrays.staged
+
+    def count(df, name):
+        passes.append((name, df))
+        return held(df, name)
+
+    monkeypatch.setattr(json_arrays, "staged", count)
+    (tmp_path / "a.json").write_text('[{"a": "}x"}, {"a": "y"}]')
+    texts = json_arrays.json_texts(spark, str(tmp_path), numbered=True)
+    assert [(r.place, r.text) for r in texts.orderBy("place").collect()] == [(0, '{"a": "}x"}'), (1, '{"a": "y"}')]
+    scans = {name: df._jdf.queryExecution().executedPlan().toString().count("FileScan text") for name, df in passes}
+    assert scans == {"splits": 1, "borders": 1, "offsets": 0}
+    changes = list(json_arrays._changes([pa.RecordBatch.from_pydict({"f": ["a", "a"], "b": [0, 9], "v": ['[{"a": 1', " "]})]))
+    assert [len(b.column("quoted")[0].as_py()) for b in changes] == [1, 2]
