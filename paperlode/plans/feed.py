@@ -66,7 +66,9 @@ def paper_work(
         written = ledger_records(keys, found, ["form", "path", "pos"], timestamp, cfg=links)
 
         told = records.select("id", F.col("dataset_description").alias("description"), F.col("desc_gate.accepted").alias("described"))
-        rows = scored.join(told, "id", "left").join(written.withColumn("pdf_link", F.col("Paper Link")), "pdf_link", "left")
+        # Records find their entries by their links first, without descriptions; then all that is joined to the entries is dealt by id.
+        named = scored.select("id", "pdf_link").join(written.withColumn("pdf_link", F.col("Paper Link")), "pdf_link").drop("pdf_link")
+        rows = scored.join(told, "id", "left").join(named, "id", "left")
         status = F.when(F.col("gate_prob") >= cfg.gate_threshold, F.when(F.col("described").isNotNull(), OK).otherwise(FAILED)).otherwise(FILTERED)
         return rows.withColumn("status", status)
 

@@ -379,7 +379,7 @@ def _feed_papers(spark, sf) -> DataFrame:
 
 def run_feed(spark, sf, root: str, repeat: bool = False) -> intake.StateTables:
     """Land papers and texts part by part and let the stream work on each part; ``repeat`` works on every batch twice."""
-    papers = staged(_feed_papers(spark, sf), "papers")
+    papers = _feed_papers(spark, sf)
     body = F.regexp_replace("abstract", "[<>&]", "")
     tei = F.concat(F.lit('<TEI xmlns="http://www.tei-c.org/ns/1.0"><text><div><head>All</head><p>'), body, F.lit("</p></div></text></TEI>"))
     sources = staged(_sources(spark, sf), "sources")

@@ -37,3 +37,23 @@ def test_parameters_are_used(spark, least, described):
     assert got["b"]["Dataset Link"] == "https://zenodo.org/record/1" and got["a"]["Dataset Link"] is None
     high = FeedConfig(gate_threshold=2.0)
     assert {r["status"] for r in feed.paper_work(lambda s: tei, lambda s: sources, F.lit("now"), high, scorer)(papers).collect()} == {feed.FILTERED}
+
+
+def test_records_are_staged_without_titles_and_abstracts(spark, monkeypatch):
+    """Only what later steps read is written between the steps; the landed papers are written by their landing alone."""
+    from paperlode.plans import curation, feed
+
+    written: dict[str, set] = {}
+    held = feed.staged
+
+    def keep(df, name):
+        written.setdefault(name, set()).update(df.columns)
+        return held(df, name)
+
+    for module in (curation, feed, jobs):
+        monkeypatch.setattr(module, "staged", keep)
+    assert jobs.curate_strict(spark, SF).count() > 0
+    assert jobs.t01_pipeline(spark, SF).count() > 0
+    assert "papers" not in written
+    for name in ("accepted", "described", "records"):
+        assert written[name] and not written[name] & {"title", "abstract"}
