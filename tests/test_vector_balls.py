@@ -153,3 +153,51 @@ def test_slices_of_queries_equal_full_scan(monkeypatch):
     assert [(list(a), list(b)) for a, b in zip(found.ids, found.scores)] == _full(m[:50], np.arange(300), m, 5)
     scores = m[:50] @ m.T
     assert list(profile.similar) == list((scores >= 1.0).sum(axis=1)) and list(profile.best) == list(scores.max(axis=1))
+
+
+def _same(q, m, k, size=16, step=100):
+    ids = np.random.default_rng(9).permutation(len(m))
+    found = TopK(q, k, size)
+    for at in range(0, len(m), step):
+        found.add(ids[at:at + step], m[at:at + step])
+    want = _full(q, ids, m, k)
+    assert [list(x) for x in found.ids] == [x for x, _ in want]
+    return found
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e12, 1e18, 1e-20])
+def test_single_precision_decides_nothing(scale):
+    rng = np.random.default_rng(7)
+    # Vectors that differ by less than single precision holds: the order is that of double precision.
+    one = rng.normal(size=24)
+    m = np.concatenate([one + 3e-9 * rng.normal(size=(400, 24)), rng.normal(size=(200, 24))])
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    q = np.concatenate([m[:150], m[-40:]])
+    _same(scale * q, m / scale, 10)
+    _same(q, m, 10)
+
+
+def test_equal_vectors_and_queries_without_a_number():
+    m = np.ones((500, 4))
+    q = np.concatenate([m[:30], np.full((1, 4), np.nan), np.zeros((2, 4))])
+    ids = np.random.default_rng(8).permutation(500)
+    found = TopK(q, 6, 16)
+    for at in range(0, 500, 100):
+        found.add(ids[at:at + 100], m[at:at + 100])
+    assert [list(x) for n, x in enumerate(found.ids) if n != 30] == [list(range(6))] * 32 and found.ids[30] is None
+
+
+def test_a_merge_serves_many_parts(monkeypatch):
+    rng = np.random.default_rng(10)
+    m = rng.normal(size=(4000, 32))
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    merge, calls = TopK._merge, []
+
+    def counted(self, *args):
+        calls.append(1)
+        return merge(self, *args)
+
+    monkeypatch.setattr(TopK, "_merge", counted)
+    # No part of independent vectors can be left out; sorting after each of them took more time than the products.
+    found = _same(m[:300], m, 10, 32, 4000)
+    assert found.met > 0.9 * found.pairs and len(calls) < len(parts_of(m, 32)) / 3
