@@ -465,3 +465,17 @@ def test_wavelet_matrix():
         at = np.flatnonzero(ids == 13)
         assert m.occurrences(13).tolist() == at.tolist() and m.count(13, n // 3, n) == (ids[n // 3:] == 13).sum()
         assert [m.select(13, k) for k in (0, len(at) - 1)] == [at[0], at[-1]] and m.select(13, len(at)) == -1 and m.count(60_000) == 0
+
+
+def test_pieces_are_encoded_as_the_tokenizer_does():
+    """Words, stops, contractions, accents, white space and control characters; a NUL behind a blank begins no text."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rng = random.Random(11)
+    stuff = ["foo", "Bar", "été", "ﬁn", "漢字", "don't", "I'LL", "'s", "x.", "y,", "...", ".", "3.14", "a1b", "#$%", "~", "’", "\t", "\n", "\r\n", "\x0b", "\x00", "\x00foo", "\x1f", "\x7f", "\x85", "\xa0", "×", "ǃ", "ɏ", "  ", " ", " ", " "]
+    texts = ["foo \x00foo foo", *("".join(rng.choices(stuff, k=rng.randint(1, 12))) for _ in range(6000))]
+    encoder = token_store.Encoder(path)
+    wanted = [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [list(memoryview(got).cast("H")) for got in encoder.encode(texts)] == wanted
+    assert list(memoryview(token_store.Encoder(path).encode(["a foo", "b \x00foo"])[1]).cast("H")) == encoder.tokenizer.encode("b \x00foo").ids
