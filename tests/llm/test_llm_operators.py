@@ -479,3 +479,46 @@ def test_pieces_are_encoded_as_the_tokenizer_does():
     wanted = [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
     assert [list(memoryview(got).cast("H")) for got in encoder.encode(texts)] == wanted
     assert list(memoryview(token_store.Encoder(path).encode(["a foo", "b \x00foo"])[1]).cast("H")) == encoder.tokenizer.encode("b \x00foo").ids
+
+
+def test_a_round_asks_once_for_each_piece():
+    """Ordinary texts, texts with runs of blanks, null and empty ones in one call; words repeat, long pieces are not kept."""
+    import public_tokenizers
+    import pyarrow as pa
+
+    class Counted(token_store.Known):
+        asked = made = 0
+
+        def __getitem__(self, key):
+            self.asked += 1
+            return super().__getitem__(key)
+
+        def _part(self, part):
+            self.made += part not in self
+            return super()._part(part)
+
+    rng = random.Random(12)
+    words = ["foo", "Bar.", "été,", "end.\nStart", "###", "3.14", "don't", "a.b.", "..", ".", "漢字。", "x" * 300]
+    texts = [" ".join(rng.choices(words, k=rng.randint(1, 60))) for _ in range(400)]
+    texts += [None, "", " ", ".", "a.", " foo  Bar. \n foo", "foo ", "\tfoo\u2003 Bar.\n\n", "漢字" * 200, *texts[:5]]
+    rng.shuffle(texts)
+    encoder = token_store.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    wanted = [encoder.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    encoder.known = Counted(encoder.tokenizer)
+    given = pa.array(["not asked", *texts], pa.string())[1:]
+    rounds = [(k, encoder.encode(some)) for k, some in token_store._rounds(pa.array(range(len(texts))), given)]
+    assert [k for ks, _ in rounds for k in ks] == list(range(len(texts)))
+    assert [list(memoryview(got).cast("H")) for _, some in rounds for got in some] == wanted
+    assert encoder.known.asked < 60 and encoder.known.made < 60 and max(map(len, encoder.known)) <= token_store._KEEP_LENGTH
+    assert encoder.encode([]) == [] == list(token_store._rounds(pa.array([], pa.int64()), pa.array([], pa.string())))
+    assert encoder.encode(["foo"]) == encoder.encode(pa.array(["foo"])) and encoder.encode([None, ""]) == [b"", b""]
+
+
+def test_rounds_end_by_bytes(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(token_store, "_ROUND", 10)
+    texts = ["a" * 9, None, "é", "b" * 30, "", "c" * 10, "d"]
+    assert [(k, t.to_pylist()) for k, t in token_store._rounds(pa.array(range(7)), pa.array(texts))] == [
+        ([0, 1, 2], texts[:3]), ([3], texts[3:4]), ([4, 5], texts[4:6]), ([6], texts[6:]),
+    ]
