@@ -522,3 +522,41 @@ def test_rounds_end_by_bytes(monkeypatch):
     assert [(k, t.to_pylist()) for k, t in token_store._rounds(pa.array(range(7)), pa.array(texts))] == [
         ([0, 1, 2], texts[:3]), ([3], texts[3:4]), ([4, 5], texts[4:6]), ([6], texts[6:]),
     ]
+
+
+def test_workers_keep_their_encoder(spark):
+    """A worker process loads a tokenizer file once, not once a task."""
+    import os
+
+    import public_tokenizers
+    import pyarrow as pa
+
+    path, of = public_tokenizers.path("byte_bpe_50k.json"), token_store.Encoder.of
+
+    def run(batches):
+        for _ in batches:
+            encoder = of(path)
+            encoder.uses = getattr(encoder, "uses", 0) + 1
+            yield pa.RecordBatch.from_pydict({"pid": [os.getpid()], "uses": [encoder.uses]})
+
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    rows = spark.range(tasks, numPartitions=tasks).mapInArrow(run, "pid bigint, uses bigint").collect()
+    assert len(rows) == tasks > len({r.pid for r in rows})
+    for pid in {r.pid for r in rows}:
+        uses = sorted(r.uses for r in rows if r.pid == pid)
+        assert uses == list(range(1, len(uses) + 1))
+
+
+def test_table_of_pieces_is_bounded(monkeypatch):
+    """However many pieces come, also within one call, few are held; those asked for again stay."""
+    import public_tokenizers
+
+    monkeypatch.setattr(token_store, "_KEEP", 50)
+    encoder = token_store.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    for first in range(0, 4000, 800):
+        texts = [f"Often w{n}x, {n} and{n}b.c" for n in range(first, first + 800)]
+        wanted = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [list(memoryview(got).cast("H")) for got in encoder.encode(texts)] == wanted
+        assert len(encoder.known) <= 50 and len(encoder.known.old) <= 50
+    for n in range(200):
+        assert encoder.encode([f"Often {n}z"]) and ("Often" in encoder.known or "Often" in encoder.known.old)
