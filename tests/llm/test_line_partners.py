@@ -44,3 +44,15 @@ def test_lines_that_the_first_holders_leave(spark):
         lines = "\n".join(parts).split("\n")
         docs.append((d, "\n".join(x for x in lines if rng.random() < 0.97)))
     assert sum(map(len, check(spark, docs).values())) > 100
+
+
+def test_rounds_do_not_multiply_the_planners_sizes(spark):
+    """A passage twice in the last document meets all 12 holders, in four rounds."""
+    passage = "\n".join(prose(1000 + k, 8) for k in range(4))
+    docs = [(d, f"{prose(1100 + d, 6)}\n{passage}\n{prose(1300 + d, 6)}") for d in range(12)]
+    docs.append((12, f"{passage}\n{prose(1500, 6)}\n{passage}"))
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    aligned = line_align.align(df)
+    size = aligned._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    assert size.bit_length() < 4000
+    assert {r["doc_id"]: list(r["cut"]) for r in aligned.collect()} == cuts(docs)
